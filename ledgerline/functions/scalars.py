@@ -5,6 +5,8 @@ The builders return Spark SQL expression text, to be used with `with_exprs`,
 cost of a table with ninety derived columns low.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -20,14 +22,23 @@ def text(value: str | None) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """Keep later filters above this point, and count the rows that pass it.
+
+    A filter on a column at the end of a long chain would otherwise be pushed
+    below the chain with the whole chain copied into the condition.
+    """
+    return df.observe(f"rows_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def with_exprs(df: DataFrame, exprs: dict) -> DataFrame:
     """Add or replace columns from expression texts; all of them see the input columns."""
     return df.withColumns({name: F.expr(body) for name, body in exprs.items()}) if exprs else df
 
 
 def number(c: str) -> str:
-    """Text or number to double; text that is no number, NaN and infinities become null."""
-    return f"case when abs(try_cast({c} as double)) < double('infinity') then try_cast({c} as double) end"
+    """Text or number to double; text that is no number, and NaN, become null."""
+    return f"nanvl(try_cast({c} as double), null)"
 
 
 def count_present(cols) -> str:
@@ -92,7 +103,8 @@ def rule_holds(c: str, operator: str, threshold) -> str:
     if operator not in OPERATORS:
         raise ValueError(f"Unsupported operator {operator!r}; use one of {OPERATORS}")
     limit = threshold if isinstance(threshold, str) else num(threshold)
-    return f"coalesce({number(c)} {operator} {limit}, false)"
+    finite = f"nullif(nullif({number(c)}, double('infinity')), double('-infinity'))"
+    return f"coalesce({finite} {operator} {limit}, false)"
 
 
 def rounded(c: str, digits: int = 6) -> str:

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.scalars import count_present, existing, text, with_exprs
+from ..functions.scalars import count_present, existing, sealed, text, with_exprs
 
 
 def segment_rows(df: DataFrame, segment: str = C.TARGET_SEGMENT, column: str = C.SEGMENT_COL) -> DataFrame:
@@ -45,7 +45,7 @@ def row_coverage(df: DataFrame, features=None, min_features: int = C.MIN_FEATURE
     features = list(C.DOMAINS if features is None else features)
     if not features:
         return df
-    return df.filter(f"{count_present(features)} >= {min_present(len(features), min_features, share)}")
+    return sealed(df).filter(f"{count_present(features)} >= {min_present(len(features), min_features, share)}")
 
 
 def eligible_rows(df: DataFrame, segment: str = C.TARGET_SEGMENT, column: str = C.SEGMENT_COL, features=None) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from . import feature_queries, ingest  # noqa: F401
+from . import feature_queries, ingest, profile_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

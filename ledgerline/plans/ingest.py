@@ -1,12 +1,10 @@
 """Queries: sources, universe, facts to panel (S*, E*)."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import panel as P
-from ..session import checkpoint_folder
+from ..session import new_folder
 from ..sources import filings as S, tables as T
 from .oracle import CTES, FIRST_YEAR, LAST_YEAR, SIC, cols, sector, segment, r
 from .registry import Data, query, shape
@@ -27,13 +25,6 @@ def fact_shape(df):
     return df.selectExpr(*FACT_COLUMNS, "round(round(numeric_value, 4), 2) as numeric_value")
 
 
-def new_folder(spark) -> str:
-    base = checkpoint_folder(spark)
-    import uuid
-
-    return f"{base}/ledgerline-{uuid.uuid4().hex}"
-
-
 def base(d: Data):
     return P.year_window(d.facts(), FIRST_YEAR, LAST_YEAR)
 
@@ -57,7 +48,7 @@ def _(d):
 
 @query("ingest_csv_to_parquet")
 def _(d):
-    folder = new_folder(d.spark)
+    folder = new_folder(d.spark, "files")
     d.facts().write.option("header", True).csv(f"{folder}/csv")
     T.ingest_csv(d.spark, f"{folder}/csv", f"{folder}/facts")
     return d.spark.read.parquet(f"{folder}/facts").groupBy("fiscal_year").agg(F.count("*").alias("n"))
@@ -79,7 +70,7 @@ def _(d):
 @query("read_company_input")
 def _(d):
     """The panel written as company CSV and read back with the input schema."""
-    folder = new_folder(d.spark)
+    folder = new_folder(d.spark, "files")
     panel = d.panel().withColumnsRenamed({"assets_current": "current_assets", "liabilities_current": "current_liabilities"})
     have = {f.name for f in T.COMPANY_SCHEMA if f.name in panel.columns}
     panel.selectExpr(*[
@@ -90,7 +81,7 @@ def _(d):
 
 @query("write_result_tables")
 def _(d):
-    folder = new_folder(d.spark)
+    folder = new_folder(d.spark, "files")
     tables = {"manifest": P.manifest(d.facts()), "by_year": P.facts_by_year(d.facts())}
     paths = T.write_results(tables, folder, "r1")
     return d.spark.read.parquet(paths["manifest"])

@@ -9,6 +9,7 @@ from ..operators.quantiles import median_row
 from ..operators.scoring import Model, assign_clusters, score_features
 from ..operators.filters import eligible_rows
 from ..operators.outlook import with_outlook
+from ..session import stored
 from ..sources import filings as S
 from .oracle import CENTROIDS, FIRST_YEAR, LAST_YEAR, RANKS, kind, sql
 
@@ -54,6 +55,10 @@ class Data:
     def feats(self) -> DataFrame:
         return Fe.engineer(self.panel())
 
+    def stored_feats(self) -> DataFrame:
+        """The engineered panel as a written table: every training and scoring query reads it more than once."""
+        return stored(self.feats(), "features")
+
     def non_financial(self) -> DataFrame:
         return self.feats().filter(f"financial_flag = '{C.TARGET_SEGMENT}'")
 
@@ -67,14 +72,14 @@ class Data:
         )
 
     def scored(self) -> DataFrame:
-        feats = self.feats()
+        feats = self.stored_feats()
         model = self.model(feats)
         return with_outlook(score_features(feats, model), model)
 
     def clustered(self) -> DataFrame:
         """Eligible rows of the target segment with the clusters of the fixed model."""
-        feats = self.feats()
+        feats = self.stored_feats()
         model = self.model(feats)
         use = eligible_rows(feats)
         out = assign_clusters(use, model)
-        return out.selectExpr("*", "concat(financial_flag, '__', cluster) as cluster_key")
+        return stored(out.selectExpr("*", "concat(financial_flag, '__', cluster) as cluster_key"), "clustered")

@@ -1,6 +1,7 @@
 """Session settings and lineage cuts shared by jobs, tests and the benchmark."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder, so that a lost executor costs a re-read."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write the rows once as Parquet in the shared folder and read them from there.
+
+    For frames that several passes read: a lost executor costs a re-read instead
+    of a recomputation, and later passes load only the columns they use.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
