@@ -129,12 +129,12 @@ def family_rates(df: DataFrame, keys, **options) -> DataFrame:
     """Share of companies hit by each rule family; one pass, families are a fixed list."""
     found = guardrail_rules(df, options.get("rules"), options.get("external_rating"))
     families = list(dict.fromkeys(family for _, family, _, _ in found))
-    names = ", ".join(text(f) for f in families)
-    conds = ", ".join(
-        "cast(" + " or ".join(c for _, fam, _, c in found if fam == f) + " as int)" for f in families
+    parts = ", ".join(
+        f"named_struct('family', {text(f)}, 'hit', cast(" + " or ".join(c for _, fam, _, c in found if fam == f) + " as int))"
+        for f in families
     )
     return (
-        df.selectExpr(f"inline(arrays_zip(array({names}) as family, array({conds}) as hit))")
+        df.selectExpr(f"inline(array({parts}))")
         .groupBy("family")
         .agg(F.sum("hit").alias("companies_hit"), F.count("*").alias("companies"))
         .withColumn("hit_rate", F.expr("companies_hit / companies"))

@@ -323,5 +323,7 @@ def sql(body: str, extra: dict | None = None) -> str:
                 order.append(word)
 
     visit(body)
-    head = ",\n".join(f"{n} AS ({known[n].strip()})" for n in order)
+    shared = {"facts", "panel", "feat", "med", "scored", "clustered", "guarded", "sguarded", "pts", "prof"}
+    head = ",\n".join(
+        f"{n} AS {'MATERIALIZED ' if n in shared else ''}({known[n].strip()})" for n in order)
     return (f"WITH {head}\n" if head else "") + body

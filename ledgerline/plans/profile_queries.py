@@ -98,9 +98,12 @@ def _(d):
     return Pr.cluster_medians(d.clustered())
 
 
-@query("feature_extremes", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {p}::DOUBLE AS prob, {r(f'quantile_cont({f}, {p})', 3)} AS value FROM clustered"
-    for f in C.PROFILE_FEATURES if f != "gross_margin" for p in C.EXTREME_QUANTILES))
+_probs = "[" + ", ".join(str(p) for p in C.EXTREME_QUANTILES) + "]"
+CTES["extremes"] = "SELECT " + ", ".join(f"quantile_cont({f}, {_probs}) AS {f}" for f in C.PROFILE_FEATURES) + " FROM clustered"
+
+
+@query("feature_extremes", f"""SELECT feature, prob::DOUBLE AS prob, {r('v', 3)} AS value FROM (
+ SELECT feature, unnest({_probs}) AS prob, unnest(vals) AS v FROM (UNPIVOT extremes ON {', '.join(C.PROFILE_FEATURES)} INTO NAME feature VALUE vals))""")
 def _(d):
     return Pr.feature_extremes(d.clustered())
 

@@ -3,12 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as C
-from ..functions.scalars import rounded
+from ..functions.scalars import num, rounded
 from ..operators import features as Fe, panel as P
 from ..operators.quantiles import median_row
 from ..operators.scoring import Model, assign_clusters, score_features
 from ..operators.filters import eligible_rows
+from ..operators.guardrails import apply_guardrails
 from ..operators.outlook import with_outlook
+from ..operators.scenarios import score_scenarios
 from ..session import stored
 from ..sources import filings as S
 from .oracle import CENTROIDS, FIRST_YEAR, LAST_YEAR, RANKS, kind, sql
@@ -35,11 +37,28 @@ def shape(df: DataFrame, names) -> DataFrame:
 
 
 class Data:
-    """Frames derived from the given tables; every access builds a lazy plan."""
+    """Frames derived from the given tables.
+
+    The engineered panel, the fixed model and the clustered panel are written
+    once per session and folder and shared by the queries, as a scoring job
+    shares a stored feature table and a stored model.  `forget()` drops them.
+    """
+
+    shared: dict = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.shared.clear()
+
+    def once(self, name: str, build):
+        key = (self.spark.sparkContext.applicationId, id(self.spark._jsparkSession), self.folder, name)
+        if key not in self.shared:
+            self.shared[key] = build()
+        return self.shared[key]
+
     def table(self, name: str) -> DataFrame:
         return S.read(self.spark, self.folder, name)
 
@@ -57,29 +76,43 @@ class Data:
 
     def stored_feats(self) -> DataFrame:
         """The engineered panel as a written table: every training and scoring query reads it more than once."""
-        return stored(self.feats(), "features")
+        return self.once("features", lambda: stored(self.feats(), "features"))
 
     def non_financial(self) -> DataFrame:
         return self.feats().filter(f"financial_flag = '{C.TARGET_SEGMENT}'")
 
-    def model(self, feats: DataFrame | None = None) -> Model:
+    def model(self) -> Model:
         """The fixed model: literal centroids, exact medians of the non-financial panel."""
-        feats = self.feats() if feats is None else feats
-        medians = median_row(feats.filter(f"financial_flag = '{C.TARGET_SEGMENT}'"), C.DOMAINS)
+        return self.once("model", self._model)
+
+    def _model(self) -> Model:
+        use = self.stored_feats().filter(f"financial_flag = '{C.TARGET_SEGMENT}'")
         return Model(
-            segment=C.TARGET_SEGMENT, features=list(C.DOMAINS), centroids=CENTROIDS, medians=medians,
+            segment=C.TARGET_SEGMENT, features=list(C.DOMAINS), centroids=CENTROIDS,
+            medians=median_row(use, C.DOMAINS),
             labels={c: C.RANK_LABELS[k] for c, k in RANKS.items()}, ranks=dict(RANKS),
         )
 
     def scored(self) -> DataFrame:
-        feats = self.stored_feats()
-        model = self.model(feats)
-        return with_outlook(score_features(feats, model), model)
+        model = self.model()
+        return with_outlook(score_features(self.stored_feats(), model), model)
+
+    def guarded(self) -> DataFrame:
+        return apply_guardrails(self.scored())
+
+    def scenarios(self) -> DataFrame:
+        return score_scenarios(self.panel(), self.model())
 
     def clustered(self) -> DataFrame:
-        """Eligible rows of the target segment with the clusters of the fixed model."""
-        feats = self.stored_feats()
-        model = self.model(feats)
-        use = eligible_rows(feats)
-        out = assign_clusters(use, model)
-        return stored(out.selectExpr("*", "concat(financial_flag, '__', cluster) as cluster_key"), "clustered")
+        """Eligible rows of the target segment with the clusters of the fixed model, and the
+        gap-free model features as x_0 .. x_5."""
+        return self.once("clustered", self._clustered)
+
+    def _clustered(self) -> DataFrame:
+        model = self.model()
+        out = assign_clusters(eligible_rows(self.stored_feats()), model)
+        points = [f"coalesce({f}, {num(model.medians[f])}) as x_{i}" for i, f in enumerate(model.features)]
+        return stored(out.selectExpr("*", "concat(financial_flag, '__', cluster) as cluster_key", *points), "clustered")
+
+
+POINTS = [f"x_{i}" for i in range(len(C.DOMAINS))]
