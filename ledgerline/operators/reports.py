@@ -83,7 +83,7 @@ def narrative() -> str:
         text(C.NARRATIVE_TEXT)
         .replace("{company}", "', coalesce(company_name, 'The company'), '")
         .replace("{label}", "', coalesce(cluster_label, 'unlabelled risk group'), '")
-        .replace("{score}", "', case when scorecard_credit_score is null then 'n/a' else format_string('%.1f', round(scorecard_credit_score, 1)) end, '")
+        .replace("{score}", "', case when scorecard_credit_score is null then 'n/a' else format_string('%.1f', round(round(scorecard_credit_score, 10), 1)) end, '")
         .replace("{outlook}", "', coalesce(outlook_flag, 'Neutral'), '")
     )
     return f"concat({parts})"
