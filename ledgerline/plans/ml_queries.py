@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import scalars as X
-from ..operators import cluster as Cl, filters as Fi, hierarchy as Hi, metrics as Me, projection as Pj, training as Tr
+from ..operators import cluster as Cl, density as De, filters as Fi, hierarchy as Hi, metrics as Me, projection as Pj, training as Tr
 from ..operators.quantiles import median_row
 from ..session import new_folder, stored
 from ..sources import model_store as Ms
@@ -234,3 +234,67 @@ def _(d):
 @query("pca_projection")
 def _(d):
     return Pj.pca(points(d), POINTS, 2, [*KEYS, "cluster"])
+
+
+def dbscan_labels(d):
+    return d.once("dbscan", lambda: stored(De.dbscan_grid(keyed_points(d), 6, keep=[*KEYS, "cluster"]), "dbscan"))
+
+
+def dbscan_report(d):
+    return d.once("dbscan_report", lambda: stored(De.grid_report(dbscan_labels(d), 6, "cluster"), "dbscan_report"))
+
+
+_pair = "+".join(f"(a.x_{i}-b.x_{i})*(a.x_{i}-b.x_{i})" for i in range(6))
+CTES["ball"] = "SELECT ticker, fiscal_year, " + ", ".join(f"least(count(*) FILTER (WHERE d<={e}::DOUBLE*{e}::DOUBLE), 100) AS n{i}" for i, e in enumerate(C.DBSCAN_EPS)) + f" FROM (SELECT a.ticker, a.fiscal_year, {_pair} AS d FROM pts a, pts b) GROUP BY 1,2"
+CTES["reach"] = "SELECT ticker, fiscal_year, " + ", ".join(f"max(CASE WHEN d<={e}::DOUBLE*{e}::DOUBLE THEN n{i} END) AS r{i}" for i, e in enumerate(C.DBSCAN_EPS)) + f""" FROM (
+ SELECT a.ticker, a.fiscal_year, {_pair} AS d, n0, n1, n2, n3, n4, n5, n6 FROM pts a, (SELECT * FROM pts JOIN ball USING (ticker, fiscal_year)) b) GROUP BY 1,2"""
+
+
+@query("dbscan_core_flags", " UNION ALL ".join(f"SELECT ticker, fiscal_year, {e}::DOUBLE AS eps, n{i} AS neighbours FROM ball" for i, e in enumerate(C.DBSCAN_EPS)))
+def _(d):
+    table = De.neighbour_table(keyed_points(d), 6, C.DBSCAN_EPS, max(C.DBSCAN_MIN_SAMPLES))
+    eps = ", ".join(X.num(e) for e in C.DBSCAN_EPS)
+    return keyed_points(d).join(table, POINTS).selectExpr(*KEYS, f"array({eps})[e] as eps", "neighbours")
+
+
+@query("dbscan_noise", " UNION ALL ".join(
+    f"SELECT {e}::DOUBLE AS eps, {m} AS min_samples, count(*) AS rows, count(*) FILTER (WHERE r{i}<{m}) AS noise FROM reach"
+    for i, e in enumerate(C.DBSCAN_EPS) for m in C.DBSCAN_MIN_SAMPLES))
+def _(d):
+    return dbscan_labels(d).groupBy("eps", "min_samples").agg(
+        F.count("*").alias("rows"), F.expr("count(*) filter (where label = -1) as noise"))
+
+
+@query("dbscan_grid")
+def _(d):
+    return dbscan_report(d)
+
+
+@query("dbscan_select")
+def _(d):
+    return De.practical_candidate(dbscan_report(d))
+
+
+CTES["nlab"] = "SELECT CASE WHEN scorecard_credit_score<30 THEN -1 ELSE cluster END AS label FROM clustered"
+
+
+@query("dbscan_diagnostics", f"""SELECT count(DISTINCT label) FILTER (WHERE label<>-1) AS clusters_ex_noise, {r('count(*) FILTER (WHERE label=-1)/count(*)::DOUBLE')} AS noise_share,
+ {r('(SELECT max(n) FROM (SELECT count(*) AS n FROM nlab WHERE label<>-1 GROUP BY label))/count(*) FILTER (WHERE label<>-1)::DOUBLE')} AS largest_cluster_share FROM nlab""")
+def _(d):
+    """Diagnostics of a labeling that treats low scores (and missing ones never) as noise."""
+    labels = d.clustered().selectExpr("if(coalesce(scorecard_credit_score < 30, false), -1, cluster) as label")
+    out = Me.noise_report(labels, "label")
+    return out.selectExpr("clusters_ex_noise", f"{X.rounded('noise_share')} as noise_share", f"{X.rounded('largest_cluster_share')} as largest_cluster_share")
+
+
+@query("method_comparison")
+def _(d):
+    """KMeans, the best Ward cut and the practical DBSCAN setting (if any) side by side."""
+    names = ["clusters", "silhouette", "calinski_harabasz", "davies_bouldin", "ari_vs_kmeans", "nmi_vs_kmeans"]
+    base = Me.validity(points(d), "cluster", POINTS).selectExpr("'KMeans' as id", "clusters", *names[1:4], "1D as ari_vs_kmeans", "1D as nmi_vs_kmeans")
+    ward = ward_table(d).withColumnsRenamed({"ari": "ari_vs_kmeans", "nmi": "nmi_vs_kmeans"})
+    ward = ward.orderBy(F.col("silhouette").desc_nulls_last(), F.desc("ari_vs_kmeans"), "k").limit(1).selectExpr("'Agglomerative' as id", *names)
+    dense = De.practical_candidate(dbscan_report(d)).selectExpr("'DBSCAN' as id", "clusters_ex_noise as clusters", *names[1:])
+    out = base.unionByName(ward).unionByName(dense)
+    texts = {f"{c}": X.case_map("id", {k: v[i] for k, v in C.METHOD_TEXT.items()}) for i, c in enumerate(("method", "selected_role", "comment"))}
+    return X.with_exprs(out, texts).select("method", "selected_role", *names, "comment")
