@@ -109,7 +109,7 @@ def rule_holds(c: str, operator: str, threshold) -> str:
 
 def rounded(c: str, digits: int = 6) -> str:
     """Round half up after dropping floating-point noise, so that ties round alike everywhere."""
-    return f"round(round({c}, {10 if digits > 2 else 4}), {digits})"
+    return f"round(round({c}, {10 if digits > 2 else 6}), {digits})"
 
 
 def case_map(c: str, mapping: dict, default: str | None = None) -> str:

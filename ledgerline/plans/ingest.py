@@ -22,7 +22,7 @@ CTES["base"] = f"SELECT * FROM facts WHERE fiscal_year BETWEEN {FIRST_YEAR} AND
 
 
 def fact_shape(df):
-    return df.selectExpr(*FACT_COLUMNS, "round(round(numeric_value, 4), 2) as numeric_value")
+    return df.selectExpr(*FACT_COLUMNS, "round(round(numeric_value, 6), 2) as numeric_value")
 
 
 def base(d: Data):
@@ -224,7 +224,7 @@ IYF_COLUMNS = ["ticker", "cik", "sic", "fiscal_year", "canonical_feature", "comp
 
 @query("issuer_year_facts", f"SELECT {', '.join(IYF_COLUMNS)}, {r('value', 2)} AS value FROM iyf")
 def _(d):
-    return d.iyf().selectExpr(*IYF_COLUMNS, "round(round(value, 4), 2) as value")
+    return d.iyf().selectExpr(*IYF_COLUMNS, "round(round(value, 6), 2) as value")
 
 
 @query("join_concept_lookup", "SELECT canonical_feature, concept, count(*) AS n FROM facts JOIN lookup USING (concept) GROUP BY 1,2")
@@ -238,7 +238,7 @@ def _(d):
  FROM facts JOIN lookup USING (concept) WHERE fiscal_period='FY' AND fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}) WHERE rn=1""")
 def _(d):
     out = P.issuer_year_facts(d.facts(), FIRST_YEAR, LAST_YEAR, pick="priority")
-    return out.selectExpr("ticker", "cik", "sic", "fiscal_year", "canonical_feature", "round(round(value, 4), 2) as value")
+    return out.selectExpr("ticker", "cik", "sic", "fiscal_year", "canonical_feature", "round(round(value, 6), 2) as value")
 
 
 @query("facts_feature_coverage", "SELECT canonical_feature, count(*) AS row_count, count(DISTINCT ticker) AS ticker_count FROM iyf GROUP BY 1")

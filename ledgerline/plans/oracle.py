@@ -38,7 +38,7 @@ def kind(name: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    scale = 4 if digits <= 2 else 10
+    scale = 6 if digits <= 2 else 10
     return f"CAST(round(CAST({expr} AS DECIMAL(38,{scale})), {digits}) AS DOUBLE)"
 
 
