@@ -7,6 +7,8 @@ around the wanted rank; counting finishes the job exactly inside that band.
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import stored
+
 # Groups up to this size are answered by the sketch alone, which is still exact then.
 EXACT_ROWS = 20_000
 ACCURACY = 100_000
@@ -22,28 +24,32 @@ def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = N
     """Exact median per group, for many groups of which most are small.
 
     One aggregation with partial (map-side) merging answers every group up to
-    EXACT_ROWS.  Only groups above that go through a second pass: their rows are
-    found through a hash-bucket filter of at most BUCKETS entries, so the pass
-    is skipped at run time when there are none, and the hot keys are salted.
+    EXACT_ROWS.  Only if there are larger groups do their rows go through a
+    second pass: they are found through a hash-bucket filter of at most BUCKETS
+    entries, and the hot keys are salted.
     """
     carry = carry or {}
     v = F.col(value)
     sketch = df.groupBy(keys).agg(
         F.count(value).alias("n_"),
-        F.percentile_approx(v, [0.5 - 5e-5, 0.5, 0.5 + 5e-5], ACCURACY).alias("q_"),
-        (-F.percentile_approx(-v, 0.5, ACCURACY)).alias("upper_"),
+        # Rank ceil(p n): 0.5 is the lower middle value, a hair above 0.5 the upper one.
+        F.percentile_approx(v, [0.5 - 5e-5, 0.5, 0.5 + 1e-9, 0.5 + 5e-5], ACCURACY).alias("q_"),
         *[c.alias(name) for name, c in carry.items()],
     )
+    # One row per group, written once: the check for large groups and both parts read it from there.
+    sketch = stored(sketch, "medians")
     small = sketch.filter(F.col("n_") <= EXACT_ROWS).select(
-        *keys, *carry, ((F.col("q_")[1] + F.col("upper_")) / 2).alias(value)
+        *keys, *carry, ((F.col("q_")[1] + F.col("q_")[2]) / 2).alias(value)
     )
 
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     big = sketch.filter(F.col("n_") > EXACT_ROWS)
+    if big.isEmpty():
+        return small
     buckets = big.select(bucket.alias("bucket_")).distinct()
     salted = big.select(
         *[F.col(k).alias(f"k_{k}") for k in keys], *carry, "n_",
-        F.col("q_")[0].alias("lo_"), F.col("q_")[2].alias("hi_"),
+        F.col("q_")[0].alias("lo_"), F.col("q_")[3].alias("hi_"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("k_salt_"),
     )
     rows = (
