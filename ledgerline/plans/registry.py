@@ -39,7 +39,7 @@ def shape(df: DataFrame, names) -> DataFrame:
 class Data:
     """Frames derived from the given tables.
 
-    The facts, the engineered panel, the fixed model and the clustered panel are written
+    The issuer-year facts, the engineered panel, the fixed model and the clustered panel are written
     once per session and folder and shared by the queries, as a scoring job
     shares a stored feature table and a stored model.  `forget()` drops them.
     """
@@ -65,15 +65,12 @@ class Data:
     def facts(self) -> DataFrame:
         return S.raw_facts(self.spark, self.folder)
 
-    def fact_table(self) -> DataFrame:
-        """The facts as an ingested Parquet table, the usual start of the panel job."""
-        return self.once("facts", lambda: stored(self.facts(), "facts"))
-
     def iyf(self) -> DataFrame:
-        return P.issuer_year_facts(self.fact_table(), FIRST_YEAR, LAST_YEAR)
+        """One pass over the facts; the result per issuer, year and item is a stored table."""
+        return self.once("iyf", lambda: P.issuer_year_facts(self.facts(), FIRST_YEAR, LAST_YEAR))
 
     def panel(self) -> DataFrame:
-        return P.issuer_year_panel(self.fact_table(), FIRST_YEAR, LAST_YEAR)
+        return P.complete_panel(P.pivot_panel(self.iyf()))
 
     def feats(self) -> DataFrame:
         return Fe.engineer(self.panel())
