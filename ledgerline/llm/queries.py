@@ -1,13 +1,19 @@
 """Registered queries of the operators: whole tables, production parameters."""
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import decode_tokens, encode_texts
 from .exact_dedup import exact_dedup
+from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
+from .repetition import repetition_rules
 from .sharding import kd_shards
+from .token_files import read_tokens, write_tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(key: str, oracle: str | None = None):
@@ -46,3 +52,26 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_kd_sharding")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards(table(spark, folder, "documents"), shards=16)
+
+
+@query("op2_license_scan")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op6_token_files")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    written, files = write_tokens(table(spark, folder, "documents"), VOCABULARY, end_id=1)
+    return read_tokens(spark, written, files).select("doc_id", "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"), "offset", "file")
+
+
+@query("op8_bpe")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_texts(table(spark, folder, "documents"), VOCABULARY)
+    return decode_tokens(encoded, VOCABULARY).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op9_repetition")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition_rules(table(spark, folder, "documents"))
