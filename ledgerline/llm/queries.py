@@ -10,6 +10,8 @@ from .mixing import mix_sources, mixing_sql
 from .repetition import repetition_rules
 from .sharding import kd_shards
 from .token_files import read_tokens, write_tokens
+from .toxicity import held_out, score_toxicity, train
+from .warc import read_warc, write_warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,6 +56,27 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards(table(spark, folder, "documents"), shards=16)
 
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGEST = " || ".join(
+    f"substr('{BASE32}', 1 + ((('0x' || substr(h, {1 + 5 * g}, 5))::BIGINT >> {shift}) & 31)::INT, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+
+@query("op1_warc", f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+ r AS (SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS keep_id FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC))
+SELECT page_id, payload_bytes, {DIGEST} AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN nth > 1 THEN keep_id END AS refers_to FROM r""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    written, files = write_warc(table(spark, folder, "pages"))
+    return read_warc(spark, written, files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_toxicity")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "offending")
+
+
 @query("op2_license_scan")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents"))
