@@ -1,13 +1,15 @@
 """Registered queries of the operators: whole tables, production parameters."""
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_tokens, encode_texts
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
+from .ngram_join import ngram_components
 from .repetition import repetition_rules
+from .settings import EPOCHS, REST, SEED, VOCABULARY, WEIGHTS
 from .sharding import kd_shards
 from .token_files import read_tokens, write_tokens
 from .toxicity import held_out, score_toxicity, train
@@ -15,7 +17,6 @@ from .warc import read_warc, write_warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(key: str, oracle: str | None = None):
@@ -40,11 +41,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
 
 
-#: Target weights: the largest source gives way to nineteen others; whatever has no name here shares `rest`.
-WEIGHTS = {"src0": 0.2} | {f"src{i}": 0.04 for i in range(1, 20)}
-REST, EPOCHS, SEED = 0.04, 1.0, 17
-
-
 @query("op4_poisson_mixing", mixing_sql(WEIGHTS, REST, EPOCHS, SEED, "doc_id, text, lang, source, n_chars, mix_mean, mix_copy, mix_key"))
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
@@ -98,3 +94,13 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_repetition")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_rules(table(spark, folder, "documents"))
+
+
+@query("op10_ngram_join")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(table(spark, folder, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
