@@ -38,19 +38,19 @@ def plan_records(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).cast("long").alias("bytes"))
     same = rows.filter(F.col("bytes") >= min_bytes)
     heads = same.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "url", "html")).alias("head"))
-    response = heads.select("head.*", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("keep_id"), "bytes", F.lit(0).alias("copy"))
+    response = heads.select("head.*", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("keep_id"), "bytes", F.lit(0).cast("long").alias("copy"))
     keep = same.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "url")).alias("keep"))
     others = same.groupBy("sha", "bytes", "page_id", "url").agg(F.count(F.lit(1)).alias("n")).join(keep, ["sha", "bytes"])
     is_head = F.col("page_id").eqNullSafe(F.col("keep.page_id")) & F.col("url").eqNullSafe(F.col("keep.url"))
     left = (F.col("n") - is_head.cast("int")).cast("int")
     revisit = others.filter(left > 0).select(
         "page_id", "url", F.lit(None).cast("string").alias("html"), F.lit("revisit").alias("kind"), F.col("keep.page_id").alias("keep_id"), "bytes",
-        F.explode(F.sequence(F.lit(1), left)).alias("copy"), "sha")
+        F.explode(F.sequence(F.lit(1).cast("long"), left.cast("long"))).alias("copy"), "sha")
     out = response.withColumn("sha", F.lit(None).cast("string")).unionByName(revisit)
     if min_bytes > 0:
         small = rows.filter(F.col("bytes") < min_bytes).select(
             "page_id", "url", "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("keep_id"), "bytes",
-            F.monotonically_increasing_id().cast("int").alias("copy"), F.lit(None).cast("string").alias("sha"))
+            F.monotonically_increasing_id().alias("copy"), F.lit(None).cast("string").alias("sha"))
         out = out.unionByName(small)
     return out
 
