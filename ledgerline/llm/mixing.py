@@ -37,13 +37,18 @@ def source_means(docs: DataFrame, weights: Mapping[str, float], rest: float, epo
     """
     size = docs.groupBy(bucket(weights).alias("bucket")).agg(
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("bytes"))
-    goal = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("bucket")], F.lit(float(rest)))
-    size = size.withColumn("weight", goal.cast("double")).filter("weight > 0")
+    goal = F.coalesce(F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, millionths(w))])[F.col("bucket")], F.lit(millionths(rest)))
+    size = size.withColumn("weight", goal.cast("long")).filter("weight > 0")
     total = size.agg(F.sum("weight").alias("all_weight"), F.sum("bytes").alias("all_bytes"))
     return size.join(F.broadcast(total)).select(  # one row
         "bucket", (F.col("weight") / F.col("all_weight") * (F.lit(float(epochs)) * F.col("all_bytes")) / F.col("bytes")).alias("mean"))
 
 
+def millionths(weight: float) -> int:
+    """Weights are added as whole numbers, so that their sum does not depend on an order."""
+    return round(weight * 1_000_000)
+
+
 def bucket(weights: Mapping[str, float]) -> Column:
     """The name of a source that has a weight of its own; the empty string for all others, null included."""
     return F.when(F.col("source").isin(*weights), F.col("source")).otherwise(F.lit(""))
@@ -82,12 +87,12 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], rest: float = 0.0
 def mixing_sql(weights: Mapping[str, float], rest: float, epochs: float, seed: int, columns: str, docs: str = "documents") -> str:
     """The same selection in DuckDB's SQL (means up to one piece a draw are cut in the same way)."""
     names = ", ".join(f"'{k}'" for k in weights)
-    goal = " ".join(f"WHEN '{k}' THEN {float(v)!r}" for k, v in weights.items())
+    goal = " ".join(f"WHEN '{k}' THEN {millionths(v)}" for k, v in weights.items())
     u = f"(('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || k), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     key = f"(('0x' || substr(md5('{seed + 1}|' || coalesce(doc_id::VARCHAR, '') || '|' || mix_copy), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
     return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT *, CASE WHEN source IN ({names}) THEN source ELSE '' END AS bucket FROM {docs}),
- size AS (SELECT bucket, sum(coalesce(strlen(text), 0) + 1) AS bytes, CASE bucket {goal} ELSE {float(rest)!r} END::DOUBLE AS weight FROM d GROUP BY 1),
- means AS MATERIALIZED (SELECT bucket, weight / (SELECT sum(weight) FROM size WHERE weight > 0)
+ size AS (SELECT bucket, sum(coalesce(strlen(text), 0) + 1) AS bytes, CASE bucket {goal} ELSE {millionths(rest)} END::BIGINT AS weight FROM d GROUP BY 1),
+ means AS MATERIALIZED (SELECT bucket, weight::DOUBLE / (SELECT sum(weight) FROM size WHERE weight > 0)::DOUBLE
   * ({float(epochs)!r}::DOUBLE * (SELECT sum(bytes) FROM size WHERE weight > 0)::DOUBLE) / bytes::DOUBLE AS mean FROM size WHERE weight > 0),
  parts AS MATERIALIZED (SELECT bucket, mean, greatest(ceil(mean / {PIECE}), 1)::INT AS pieces FROM means),
  terms AS (SELECT bucket, 0 AS k, exp(-(mean / pieces)) AS term, exp(-(mean / pieces)) AS total, mean / pieces AS m FROM parts
