@@ -155,7 +155,7 @@ def repetition_rules(docs: DataFrame, min_repeat: int = 8, max_covered: float =
     repeated substrings of `min_repeat` words or more may cover `max_covered` of the words and the longest
     repeat may have `max_repeat` words.  Returns the columns of SCHEMA; covered_words and longest_repeat are
     in words.  Null and empty texts have no words and fail; repeated rows give repeated results; an empty
-    table gives an empty result.  Memory: a few arrays over the words of 8 MB of text or of one longer text.
+    table gives an empty result.  Memory: a few arrays over the words of 2 MB of text or of one longer text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
