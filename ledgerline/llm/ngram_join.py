@@ -30,6 +30,8 @@ SLOT_BITS, PART_BITS = 28, 12
 FREQUENT, MOST = 16, 1 << 18
 #: N-grams that one task counts before it sends them on, and about how many sets are in one prefix tree.
 FLUSH, TREE = 4_000_000, 256
+#: Sets of an n-gram's group with which all others of the group are paired at first.
+LEADERS = 3
 
 _FACTORS = mix(np.arange(1, WORDS + 2, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
@@ -180,22 +182,25 @@ def postings(docs: DataFrame, order) -> DataFrame:
 
 
 def shared(found: DataFrame) -> DataFrame:
-    """The postings of n-grams that several sets have, each with a leader: the smallest set of its group that a link
-    of this size can reach.  Rows stream by in order of (token, n, set_id); nothing but the last row is held."""
-    names = ("token", "set_id", "n", "place")
+    """The postings of n-grams that several sets have, each with the LEADERS sets of its group with the smallest set_id
+    (`leaders`: set_id, n, place; a leader's own row has those before it).  A set_id is a hash, so a group of similar
+    sets has few leaders over all its n-grams.  Rows stream by in order of (token, set_id); nothing but the last row is held."""
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("na", pa.int32()), ("pa", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row so far, whether its group has more rows, and the leader of its group
-        leader = (0, 0, 0)
-
-        def lead(token, set_id, n, place, fresh):
-            nonlocal leader
-            out = []
-            for t, s, k, p, f in zip(token.tolist(), set_id.tolist(), n.tolist(), place.tolist(), fresh.tolist()):
-                if f or leader[1] * 100 < k * PERCENT:
-                    leader = (s, k, p)
-                out.append(leader)
-            return np.array(out, np.int64).reshape(-1, 3)
+        held, leaders = None, []  # the last row and whether rows of its group came before it; leaders of this group so far
+
+        def out(token, set_id, n, place, fresh):
+            nonlocal leaders
+            led = []
+            for s, k, p, f in zip(set_id.tolist(), n.tolist(), place.tolist(), fresh.tolist()):
+                if f:
+                    leaders = []
+                led.append(list(leaders))
+                if len(leaders) < LEADERS:
+                    leaders.append({"a": s, "na": k, "pa": p})
+            return pa.RecordBatch.from_pydict({
+                "token": pa.array(token), "set_id": pa.array(set_id), "n": pa.array(n), "place": pa.array(place), "leaders": pa.array(led, kind)})
 
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(4)]
@@ -203,28 +208,20 @@ def shared(found: DataFrame) -> DataFrame:
                 rows = [np.append(h, r) for h, r in zip(held[0], rows)]
             if not len(rows[0]):
                 continue
-            same_set = np.append(False, (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]))
-            rows = [r[~same_set] for r in rows]
+            again = np.append(False, (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]))  # copies in other tasks
+            rows = [r[~again] for r in rows]
             above = np.append(held[1] if held is not None else False, rows[0][1:] == rows[0][:-1])
-            below = np.append(rows[0][1:] == rows[0][:-1], False)
-            show = (above | below)
+            show = above | np.append(rows[0][1:] == rows[0][:-1], False)
             show[-1] = False  # its group may go on
             held = ([r[-1:] for r in rows], bool(above[-1]))
             if show.any():
-                part = [r[show] for r in rows]
-                led = lead(*part, ~above[show])
-                yield pa.RecordBatch.from_pydict(
-                    {k: pa.array(v) for k, v in zip(names, part)}
-                    | {"leader": pa.array(led[:, 0]), "leader_n": pa.array(led[:, 1].astype(np.int32)), "leader_place": pa.array(led[:, 2].astype(np.int32))})
+                yield out(*[r[show] for r in rows], ~above[show])
         if held is not None and held[1]:
-            led = lead(*held[0], np.array([False]))
-            yield pa.RecordBatch.from_pydict(
-                {k: pa.array(v) for k, v in zip(names, held[0])}
-                | {"leader": pa.array(led[:, 0]), "leader_n": pa.array(led[:, 1].astype(np.int32)), "leader_place": pa.array(led[:, 2].astype(np.int32))})
+            yield out(*held[0], np.array([False]))
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(n, "token").sortWithinPartitions("token", "n", "set_id")
-    return mapped(dealt, run, "token long, set_id long, n int, place int, leader long, leader_n int, leader_place int")
+    dealt = found.repartition(n, "token").sortWithinPartitions("token", "set_id")
+    return mapped(dealt, run, "token long, set_id long, n int, place int, leaders array<struct<a long, na int, pa int>>")
 
 
 def possible(hits: DataFrame) -> DataFrame:
@@ -389,11 +386,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     members = stored(shared(postings(docs, order)), "shared")
 
     # pairs with the leader of an n-gram that share half of what a link needs in the prefixes
-    leads = members.filter("leader != set_id").selectExpr(
-        "leader as a", "leader_n as na", "leader_place as pa", "set_id as b", "n as nb", "place as pb")
+    leads = members.selectExpr("inline(leaders)", "set_id as b", "n as nb", "place as pb")
     first = stored(possible(leads).filter(
         f"2 * c > {need('na', 'nb')} - greatest({kept('na')}, {kept('nb')})").select("a", "b"), "first")
-    hints = components(first, rounds=2)
+    hints = components(first)
     labelled = stored(members.join(hints, F.col("set_id") == F.col("id"), "left").select(
         "token", "set_id", "n", "place", F.coalesce("label", "set_id").alias("label")), "labelled")
     second = stored(possible(cross_hits(labelled, "x.label != y.label")).select("a", "b"), "second")
