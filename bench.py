@@ -32,7 +32,7 @@ def main() -> None:
     times = {}
     for name in wanted:
         # No stored panel of an earlier query is reused: every time starts at the raw tables.
-        Data.forget()
+        Data.forget(spark)
         start = time.time()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)

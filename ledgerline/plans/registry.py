@@ -1,6 +1,6 @@
 """Registry of the queries: a Spark callable and, where one exists, the equal SQL."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions.scalars import num, rounded
@@ -11,7 +11,7 @@ from ..operators.filters import eligible_rows
 from ..operators.guardrails import apply_guardrails
 from ..operators.outlook import with_outlook
 from ..operators.scenarios import score_scenarios
-from ..session import stored
+from ..session import drop_folders, stored
 from ..sources import filings as S
 from .oracle import CENTROIDS, FIRST_YEAR, LAST_YEAR, RANKS, kind, sql
 
@@ -41,20 +41,36 @@ class Data:
 
     The issuer-year facts, the engineered panel, the fixed model and the clustered panel are written
     once per session and folder and shared by the queries, as a scoring job
-    shares a stored feature table and a stored model.  `forget()` drops them.
+    shares a stored feature table and a stored model.  Files of the folder that
+    change in between end the sharing.  `forget()` drops and deletes them.
     """
 
     shared: dict = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._state: str | None = None
+
+    @property
+    def state(self) -> str:
+        if self._state is None:
+            self._state = self.version()
+        return self._state
 
     @classmethod
-    def forget(cls) -> None:
+    def forget(cls, spark: SparkSession | None = None) -> None:
         cls.shared.clear()
+        if spark is not None:
+            drop_folders(spark)
+
+    def version(self) -> str:
+        """Number, size and newest time of the files that the shared frames come from."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(
+            [f"{self.folder}/{t}.parquet" for t in ("customer", "orders", "lineitem")]).select("path", "length", "modificationTime")
+        return str(files.agg(F.count("*"), F.sum("length"), F.max("modificationTime")).first())
 
     def once(self, name: str, build):
-        key = (self.spark.sparkContext.applicationId, id(self.spark._jsparkSession), self.folder, name)
+        key = (self.spark.sparkContext.applicationId, id(self.spark._jsparkSession), self.folder, self.state, name)
         if key not in self.shared:
             self.shared[key] = build()
         return self.shared[key]

@@ -1,10 +1,14 @@
 """Session settings and lineage cuts shared by jobs, tests and the benchmark."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict = {}
+
 
 def build_session(master: str | None = None, app: str = "ledgerline", **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -23,20 +27,38 @@ def build_session(master: str | None = None, app: str = "ledgerline", **conf) ->
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a new temporary one only where none is set (tests)."""
+    """The shared folder of the cluster.
+
+    Only a local master may go without one (tests, a laptop): there all tasks see the same disk, and a temporary folder is
+    made and removed when the driver ends.  Elsewhere each executor would write to its own disk, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None and context.getCheckpointDir() is not None:
         return context.getCheckpointDir()
     if folder is None:
+        if not (context.master or "").startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/ledgerline/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def drop_folders(spark: SparkSession) -> int:
+    """Delete all folders that `new_folder` named in this application; frames that read them end with it."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    for folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
