@@ -17,6 +17,8 @@ from .. import constants as C
 from ..functions.scalars import num, text
 
 MASK64 = (1 << 64) - 1
+# Distances that one matrix product holds at a time.
+CELLS = 2_000_000
 
 
 @dataclass
@@ -48,18 +50,16 @@ def point_table(df: DataFrame, features: list, medians: dict, keep=()) -> DataFr
     return table.withColumn("row_key", key)
 
 
-def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform (0, 1) per row from its key: the same on every run and every partitioning."""
+def _uniform(keys: np.ndarray, salt) -> np.ndarray:
+    """Uniform (0, 1) per row (and salt) from its key: the same on every run and every partitioning."""
+    salts = np.asarray([int(s) * 0x9E3779B97F4A7C15 & MASK64 for s in np.atleast_1d(salt)], np.uint64)
     with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64) + np.uint64((salt * 0x9E3779B97F4A7C15) & MASK64)
+        z = keys.astype(np.uint64)[:, None] + salts[None, :]
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(float) / 9007199254740992.0 + 1e-17
-
-
-def _chosen(keys, spec: Spec):
-    return None if spec.share >= 1 else _uniform(keys, spec.seed * 7919 + 17) < spec.share
+    out = (z >> np.uint64(11)).astype(float) / 9007199254740992.0 + 1e-17
+    return out if np.ndim(salt) else out[:, 0]
 
 
 def _sq(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -67,12 +67,41 @@ def _sq(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
-def _scaled(x, spec):
-    return x if spec.mask is None else x * np.sqrt(np.asarray(spec.mask))
+class Stack:
+    """Models with the same number of centroids, compared with rows in one matrix product.
+
+    With feature weights w the squared distance is w.x^2 - 2 x.(w c) + w.c^2, so masks only change the matrices."""
+
+    def __init__(self, members: list, specs: list, centres: list, n_features: int):
+        self.members, self.specs = members, [specs[m] for m in members]
+        w = np.array([s.mask if s.mask is not None else [1.0] * n_features for s in self.specs], float)
+        c = np.array([centres[m] for m in members], float)
+        self.k = c.shape[1]
+        self.by_row = w.T
+        self.cross = (w[:, None] * c).reshape(-1, n_features).T
+        self.own = (w[:, None] * c * c).sum(2).reshape(-1)
+        self.shared = [i for i, s in enumerate(self.specs) if s.share < 1]
+
+    def chunks(self, n: int):
+        size = max(1, CELLS // (len(self.members) * self.k))
+        return range(0, n, size), size
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """rows x models x centroids."""
+        d = (self.own[None] - 2.0 * (x @ self.cross)).reshape(len(x), len(self.members), self.k)
+        return np.maximum(d + ((x * x) @ self.by_row)[:, :, None], 0.0)
+
+    def outside(self, keys: np.ndarray) -> np.ndarray | None:
+        """Rows that a model with a row share does not see."""
+        if not self.shared:
+            return None
+        out = np.zeros((len(keys), len(self.members)), bool)
+        out[:, self.shared] = _uniform(keys, [self.specs[i].seed * 7919 + 17 for i in self.shared]) >= [self.specs[i].share for i in self.shared]
+        return out
 
 
 def seed_centroids(points: DataFrame, n_features: int, specs: list) -> list:
-    """k-means++ over all rows: in each round, one pass picks one new centre per model.
+    """k-means++ over all rows: in each round, one pass picks one new centre for every model.
 
     Drawing a row with probability proportional to its squared distance is the
     same as taking the smallest -ln(u) / distance, so a task returns one
@@ -82,78 +111,128 @@ def seed_centroids(points: DataFrame, n_features: int, specs: list) -> list:
     centres = [np.empty((0, n_features)) for _ in specs]
     schema = "m int, score double, row_key long, " + ", ".join(f"{n} double" for n in names)
     for step in range(max(s.k for s in specs)):
-        current = centres
-
-        def draw(batches, current=current, step=step):
-            best = {}
+        open_models = [m for m, s in enumerate(specs) if s.k > step]
+        # The first centre needs no distances; a centre at the origin keeps one code path.
+        start = centres if step else [np.zeros((1, n_features))] * len(specs)
+
+        def draw(batches, start=start, step=step, open_models=open_models):
+            stack = Stack(open_models, specs, start, n_features)
+            salts = [specs[m].seed * 1000003 + m * 101 + step for m in open_models]
+            best = np.full(len(open_models), np.inf)
+            best_key, best_x = np.zeros(len(open_models), np.int64), np.zeros((len(open_models), n_features))
             for pdf in batches:
-                x, keys = pdf[names].to_numpy(), pdf["row_key"].to_numpy()
-                for m, spec in enumerate(specs):
-                    if step >= spec.k:
-                        continue
-                    gap = -np.log(_uniform(keys, spec.seed * 1000003 + m * 101 + step))
+                every_x, every_key = pdf[names].to_numpy(), pdf["row_key"].to_numpy()
+                starts, size = stack.chunks(len(pdf))
+                for at in starts:
+                    x, keys = every_x[at:at + size], every_key[at:at + size]
+                    gap = -np.log(_uniform(keys, salts))
                     if step:
-                        d = _sq(_scaled(x, spec), _scaled(current[m], spec)).min(1)
+                        d = stack.distances(x).min(2)
                         gap = np.where(d > 1e-12, gap / np.maximum(d, 1e-12), np.inf)
-                    inside = _chosen(keys, spec)
-                    if inside is not None:
-                        gap = np.where(inside, gap, np.inf)
-                    i = int(np.argmin(gap))
-                    if m not in best or (gap[i], keys[i]) < best[m][:2]:
-                        best[m] = (gap[i], keys[i], x[i])
-            yield pd.DataFrame(
-                [(m, g, int(k), *row) for m, (g, k, row) in best.items()], columns=["m", "score", "row_key", *names])
+                    outside = stack.outside(keys)
+                    if outside is not None:
+                        gap[outside] = np.inf
+                    i = gap.argmin(0)
+                    low = gap[i, np.arange(len(i))]
+                    better = (low < best) | ((low == best) & (keys[i] < best_key))
+                    best, best_key = np.where(better, low, best), np.where(better, keys[i], best_key)
+                    best_x[better] = x[i[better]]
+            found = np.isfinite(best)
+            yield pd.DataFrame({"m": np.array(open_models, np.int32)[found], "score": best[found], "row_key": best_key[found]}
+                               | {n: best_x[found, j] for j, n in enumerate(names)})
 
         picked = (
             points.select(*names, "row_key").mapInPandas(draw, schema)
-            .groupBy("m").agg(F.min_by(F.struct(*names), F.struct("score", "row_key")).alias("row")).collect()
+            .groupBy("m").agg(F.min_by(F.struct(*names), F.struct("score", "row_key")).alias("row")).selectExpr("m", "row.*").toPandas()
         )
-        grown = list(centres)
-        for r in picked:
-            grown[r["m"]] = np.vstack([centres[r["m"]], [r["row"][n] for n in names]])
-        centres = grown
+        rows = dict(zip(picked["m"], picked[names].to_numpy()))
+        # A model that has seen all distinct rows already repeats its last centre.
+        centres = [c if m not in open_models else np.vstack([c, rows[m] if m in rows else c[-1]]) for m, c in enumerate(centres)]
     return centres
 
 
-def random_centroids(points: DataFrame, n_features: int, spec: Spec) -> np.ndarray:
-    """k rows in the order of their seeded row key: one pass, for runs with many clusters."""
+def spread_centroids(points: DataFrame, n_features: int, spec: Spec, rounds: int = 5) -> np.ndarray:
+    """Starts for a model with many clusters: a few rounds draw many rows at once by squared distance, then weighted
+    k-means++ picks k of the candidates, each weighted by the rows nearest to it (k-means||)."""
     names = [f"x_{i}" for i in range(n_features)]
-    rows = points.select(*names).distinct().orderBy(F.xxhash64(F.lit(spec.seed), *names), *names).limit(spec.k).collect()
-    return np.array([list(r) for r in rows])
+    each = -(-2 * spec.k // rounds)
+    found = np.empty((0, n_features))
+    for step in range(rounds + 1):
+        want = 1 if step == 0 else each
+
+        def draw(batches, found=found, step=step, want=want):
+            kept = pd.DataFrame(columns=["score", *names])
+            for pdf in batches:
+                x = pdf[names].to_numpy()
+                gap = -np.log(_uniform(pdf["row_key"].to_numpy(), spec.seed * 1000003 + step))
+                if step:
+                    d = np.concatenate([_sq(x[at:at + 5000], found).min(1) for at in range(0, len(x), 5000)])
+                    gap = np.where(d > 1e-12, gap / np.maximum(d, 1e-12), np.inf)
+                rows = pd.DataFrame(x, columns=names).assign(score=gap)
+                kept = pd.concat([kept, rows[np.isfinite(gap)]]).nsmallest(want, "score") if len(kept) else rows[np.isfinite(gap)].nsmallest(want, "score")
+            if len(kept):
+                yield kept[["score", *names]].astype(float)
+
+        drawn = points.select(*names, "row_key").mapInPandas(draw, "score double, " + ", ".join(f"{n} double" for n in names))
+        found = np.vstack([found, drawn.orderBy("score", *names).limit(want).select(*names).toPandas().to_numpy()])
+    found = np.unique(found, axis=0)
+    if len(found) <= spec.k:
+        return found
+    weight = lloyd_pass(points, n_features, [spec], [found])[0][:, 0]
+    rng = np.random.default_rng(spec.seed)
+    chosen = [int(rng.choice(len(found), p=weight / weight.sum()))]
+    while len(chosen) < spec.k:
+        odds = weight * _sq(found, found[chosen]).min(1)
+        odds[chosen] = 0
+        left = odds if odds.sum() > 0 else np.where(np.isin(np.arange(len(found)), chosen), 0.0, 1.0)
+        chosen.append(int(rng.choice(len(found), p=left / left.sum())))
+    return found[chosen]
 
 
 def lloyd_pass(points: DataFrame, n_features: int, specs: list, centres: list) -> dict:
-    """One assign-and-sum pass: (model, cluster) -> row count, feature sums, squared distance."""
+    """One assign-and-sum pass: per live model an array clusters x (row count, squared distance, feature sums)."""
     names = [f"x_{i}" for i in range(n_features)]
     schema = "m int, c int, n long, inertia double, " + ", ".join(f"s_{i} double" for i in range(n_features))
-    live = [m for m, c in enumerate(centres) if c is not None]
+    by_k: dict = {}
+    for m, c in enumerate(centres):
+        if c is not None:
+            by_k.setdefault(len(c), []).append(m)
 
     def sums(batches):
-        total = {}
+        stacks = [Stack(members, specs, centres, n_features) for members in by_k.values()]
+        totals = [np.zeros((2 + n_features, len(s.members) * s.k + 1)) for s in stacks]  # one more for rows outside
         for pdf in batches:
-            x, keys = pdf[names].to_numpy(), pdf["row_key"].to_numpy()
-            for m in live:
-                spec = specs[m]
-                inside = _chosen(keys, spec)
-                rows = x if inside is None else x[inside]
-                if not len(rows):
-                    continue
-                d = _sq(_scaled(rows, spec), _scaled(centres[m], spec))
-                label = d.argmin(1)
-                k = len(centres[m])
-                part = np.zeros((k, 2 + n_features))
-                part[:, 0] = np.bincount(label, minlength=k)
-                part[:, 1] = np.bincount(label, d[np.arange(len(rows)), label], minlength=k)
-                for j in range(n_features):
-                    part[:, 2 + j] = np.bincount(label, rows[:, j], minlength=k)
-                total[m] = total.get(m, 0) + part
-        yield pd.DataFrame(
-            [(m, c, int(row[0]), *row[1:]) for m, part in total.items() for c, row in enumerate(part)],
-            columns=["m", "c", "n", "inertia", *[f"s_{i}" for i in range(n_features)]])
-
-    cells = points.select(*names, "row_key").mapInPandas(sums, schema).groupBy("m", "c").agg(
-        F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(n_features)])
-    return {(r["m"], r["c"]): r for r in cells.collect()}
+            every_x, every_key = pdf[names].to_numpy(), pdf["row_key"].to_numpy()
+            for stack, total in zip(stacks, totals):
+                cells = total.shape[1]
+                starts, size = stack.chunks(len(pdf))
+                for at in starts:
+                    x = every_x[at:at + size]
+                    d = stack.distances(x)
+                    label = d.argmin(2)
+                    nearest = np.take_along_axis(d, label[:, :, None], 2)[:, :, 0].ravel()
+                    label += np.arange(len(stack.members))[None, :] * stack.k
+                    outside = stack.outside(every_key[at:at + size])
+                    if outside is not None:
+                        label[outside] = cells - 1
+                    flat = label.ravel()
+                    total[0] += np.bincount(flat, minlength=cells)
+                    total[1] += np.bincount(flat, nearest, minlength=cells)
+                    for j in range(n_features):
+                        total[2 + j] += np.bincount(flat, np.repeat(x[:, j], len(stack.members)), minlength=cells)
+        for stack, total in zip(stacks, totals):
+            part = total[:, :-1]
+            yield pd.DataFrame(
+                {"m": np.repeat(np.array(stack.members, np.int32), stack.k), "c": np.tile(np.arange(stack.k, dtype=np.int32), len(stack.members)),
+                 "n": part[0].astype(np.int64), "inertia": part[1]} | {f"s_{i}": part[2 + i] for i in range(n_features)})
+
+    got = points.select(*names, "row_key").mapInPandas(sums, schema).groupBy("m", "c").agg(
+        F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(n_features)]).toPandas()
+    out = {m: np.zeros((len(centres[m]), 2 + n_features)) for members in by_k.values() for m in members}
+    values = got[["n", "inertia", *[f"s_{i}" for i in range(n_features)]]].to_numpy(float)
+    for m, c, row in zip(got["m"], got["c"], values):
+        out[m][c] = row
+    return out
 
 
 def fit_many(points: DataFrame, n_features: int, specs: list, max_iter: int = C.MAX_ITER, tol: float = C.TOL, init: list | None = None) -> list:
@@ -168,19 +247,13 @@ def fit_many(points: DataFrame, n_features: int, specs: list, max_iter: int = C.
     fits = [Fit(s, np.asarray(c), float("inf"), 0, 0) for s, c in zip(specs, centres)]
     for step in range(max_iter + 1):
         cells = lloyd_pass(points, n_features, specs, live)
-        for m, old in enumerate(live):
-            if old is None:
-                continue
-            got = [cells.get((m, c)) for c in range(len(old))]
-            fit = fits[m]
-            fit.inertia = float(sum(r["inertia"] for r in got if r))
-            fit.rows = int(sum(r["n"] for r in got if r))
+        for m, got in cells.items():
+            old, fit = live[m], fits[m]
+            fit.inertia, fit.rows = float(got[:, 1].sum()), int(got[:, 0].sum())
             fit.centroids, fit.iterations = old, step
             fit.history.append(fit.inertia)
             # A cluster that lost all its rows keeps its place.
-            new = np.array([
-                [r[f"s_{i}"] / r["n"] for i in range(n_features)] if r and r["n"] else old[c] for c, r in enumerate(got)
-            ])
+            new = np.where(got[:, :1] > 0, got[:, 2:] / np.maximum(got[:, :1], 1), old)
             done = step == max_iter or float(((new - old) ** 2).sum()) <= limit
             live[m] = None if done else new
         if all(c is None for c in live):

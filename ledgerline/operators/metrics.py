@@ -85,7 +85,7 @@ def silhouette_squared(points: DataFrame, sums: DataFrame, label: str, features:
     scored = joined.withColumns({"own_": own, "b_": others})
     scored = with_exprs(scored, {"a_": "case when own_.n > 1 then greatest(own_.d, 0D) * own_.n / (own_.n - 1) end"})
     s = "case when b_ is null then null when a_ is null then 0D else (greatest(b_, 0D) - a_) / nullif(greatest(a_, b_), 0D) end"
-    out = scored.groupBy(*group).agg(F.avg(F.expr(f"coalesce({s}, if(b_ is null, null, 0D))")).alias("silhouette"))
+    out = scored.groupBy(*group).agg(F.avg(F.expr(f"coalesce({s}, if(b_ is null, null, 0D))")).alias("silhouette_squared"))
     return out if by else out.drop("one_")
 
 
@@ -137,7 +137,10 @@ def silhouette_sample(points: DataFrame, label: str, features: list, keys: list,
 
 
 def validity(points: DataFrame, label: str, features: list, by: list = ()) -> DataFrame:
-    """All indices of one or many labelings in one table."""
+    """All indices of one or many labelings in one table.
+
+    silhouette_squared uses squared distances and is not comparable with the Euclidean silhouette, which needs all
+    pairs of rows (`silhouette_sample` computes that one for a sample of a size the caller gives)."""
     sums = cluster_sums(points, label, features, by)
     by = list(by)
     if not by:
@@ -150,8 +153,8 @@ def validity(points: DataFrame, label: str, features: list, by: list = ()) -> Da
         .join(silhouette_squared(points, sums, label, features, by_), by_, "left")
     )
     ok = "clusters >= 2 and clusters < rows"
-    out = with_exprs(out, {c: f"case when {ok} then {c} end" for c in ("silhouette", "calinski_harabasz", "davies_bouldin")})
-    return out.select(*by, "clusters", "rows", "inertia", "silhouette", "calinski_harabasz", "davies_bouldin")
+    out = with_exprs(out, {c: f"case when {ok} then {c} end" for c in ("silhouette_squared", "calinski_harabasz", "davies_bouldin")})
+    return out.select(*by, "clusters", "rows", "inertia", "silhouette_squared", "calinski_harabasz", "davies_bouldin")
 
 
 def contingency(df: DataFrame, a: str, b: str, by: list = ()) -> DataFrame:

@@ -5,7 +5,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions.scalars import num, text, with_exprs
+from ..session import stored
 from . import cluster as Cl, features as Fe, metrics as Me
+from .quantiles import median_row
 
 STABILITY_SCHEMA = "model string, rows bigint, inertia double, ari double, nmi double, rank_kept boolean"
 
@@ -47,18 +49,18 @@ def stability(points: DataFrame, n_features: int, baseline: list, groups: dict)
     return points.sparkSession.createDataFrame(rows, STABILITY_SCHEMA)
 
 
-def seed_stability(points, n_features, seeds=tuple(C.STABILITY_SEEDS), n_init: int = 4, k: int = C.K_CLUSTERS):
+def seed_stability(points, n_features, seeds=tuple(C.STABILITY_SEEDS), n_init: int = C.N_INIT, k: int = C.K_CLUSTERS):
     groups = {f"seed_{s}": Cl.restarts(k, n_init, s, tag=f"s{s}") for s in seeds}
     return stability(points, n_features, Cl.restarts(k, n_init, C.SEED, tag="base"), groups)
 
 
-def bootstrap_stability(points, n_features, samples: int = 30, share: float = 0.8, n_init: int = 2, k: int = C.K_CLUSTERS):
+def bootstrap_stability(points, n_features, samples: int = 30, share: float = 0.8, n_init: int = C.N_INIT, k: int = C.K_CLUSTERS):
     """Each sample is a seeded row share, drawn inside the passes; scoring covers all rows."""
     groups = {f"sample_{i}": Cl.restarts(k, n_init, 1000 + i, tag=f"b{i}", share=share) for i in range(samples)}
     return stability(points, n_features, Cl.restarts(k, n_init, C.SEED, tag="base"), groups)
 
 
-def leave_one_out(points, features: list, n_init: int = 4, k: int = C.K_CLUSTERS):
+def leave_one_out(points, features: list, n_init: int = C.N_INIT, k: int = C.K_CLUSTERS):
     d = len(features)
     groups = {
         f"without_{f}": Cl.restarts(k, n_init, C.SEED, tag=f"l{i}", mask=tuple(0.0 if j == i else 1.0 for j in range(d)))
@@ -67,6 +69,25 @@ def leave_one_out(points, features: list, n_init: int = 4, k: int = C.K_CLUSTERS
     return stability(points, d, Cl.restarts(k, n_init, C.SEED, tag="base"), groups)
 
 
+def refit_stability(variants: dict, features: list, keys: list, baseline: str, n_init: int = C.N_INIT, k: int = C.K_CLUSTERS) -> DataFrame:
+    """Fit every variant of the engineered rows anew and compare its labels with the baseline's on their common rows.
+
+    variants: name -> (rows, fill value of each feature, or None for the variant's own medians)."""
+    d, labels = len(features), {}
+    for name, (rows, fill) in variants.items():
+        points = stored(Cl.point_table(rows, features, fill or median_row(rows, features), keys), "points")
+        fit = Cl.kmeans(points, d, k, n_init)
+        labels[name] = points.selectExpr(*keys, f"{Cl.label_text(fit.centroids, d)} as label")
+    base = labels[baseline].withColumnRenamed("label", "base")
+    both = None
+    for name, df in labels.items():
+        pair = df.join(base, keys).select(F.lit(name).alias("variant"), "base", "label")
+        both = pair if both is None else both.unionByName(pair)
+    both = stored(both, "refits")
+    counts = both.groupBy("variant").agg(F.count("*").alias("common_rows"))
+    return counts.join(Me.agreement(both, "base", "label", ["variant"]), "variant")
+
+
 def scaled_rules(factor: float) -> dict:
     """All thresholds of the component rules times 1 + factor."""
     return {n: (s, d, a * (1 + factor), b * (1 + factor)) for n, (s, d, a, b) in C.COMPONENT_RULES.items()}

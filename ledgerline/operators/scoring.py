@@ -25,6 +25,8 @@ class Model:
     caps: dict | None = None
     version: str = C.MODEL_VERSION
     meta: dict = field(default_factory=dict)
+    profile: object | None = None
+    profile_ranks: dict = field(default_factory=dict)
 
     @property
     def k(self) -> int:
@@ -32,8 +34,10 @@ class Model:
 
     @property
     def near_default(self) -> int | None:
-        """The cluster with the highest rank stands for near-default companies."""
-        return max(self.ranks, key=lambda c: self.ranks[c]) if self.ranks else None
+        """The cluster with the highest rank stands for near-default companies; a model without ranks of its own takes
+        them from its stored, ranked profile."""
+        ranks = self.ranks or self.profile_ranks
+        return max(ranks, key=lambda c: ranks[c]) if ranks else None
 
 
 def resolve_model(models: dict, segment: str) -> Model:

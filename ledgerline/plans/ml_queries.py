@@ -13,7 +13,6 @@ from .registry import POINTS, Data, query
 from .profile_queries import with_band
 
 KEYS = ["ticker", "fiscal_year"]
-N_INIT = 16
 CTES["pts"] = "SELECT ticker, fiscal_year, cluster, scorecard_credit_score, " + ", ".join(f"x{i} AS x_{i}" for i in range(6)) + " FROM clustered"
 _d2 = ["(" + "+".join(f"(x_{i}-{v})*(x_{i}-{v})" for i, v in enumerate(c)) + ")" for c in CENTROIDS]
 _all = "least(" + ", ".join(_d2) + ")"
@@ -42,9 +41,20 @@ def _(d):
     return points(d).selectExpr(*KEYS, *[f"{X.rounded(p)} as {p}" for p in POINTS])
 
 
+def fitted(d: Data):
+    """The best of all restarts on the clustered panel: the KMeans that other methods are compared with."""
+    return d.once("kmeans", lambda: Cl.kmeans(keyed_points(d), 6))
+
+
+def fitted_points(d: Data):
+    """Stored points with the clusters of the fitted KMeans."""
+    return d.once("fitted_points", lambda: stored(
+        keyed_points(d).selectExpr(*KEYS, *POINTS, "row_key", f"{Cl.label_text(fitted(d).centroids, 6)} as cluster"), "fitted"))
+
+
 @query("kmeans_fit")
 def _(d):
-    fit = Cl.kmeans(keyed_points(d), 6, n_init=N_INIT)
+    fit = fitted(d)
     body = f"{Cl.label_text(fit.centroids, 6)} as cluster"
     return keyed_points(d).selectExpr(body, *POINTS).groupBy("cluster").agg(
         F.count("*").alias("rows"), *[F.avg(p).alias(p) for p in POINTS])
@@ -60,11 +70,31 @@ def _(d):
     import numpy as np
 
     cells = Cl.lloyd_pass(keyed_points(d), 6, [Cl.Spec("fixed")], [np.array(CENTROIDS)])
-    rows = [(c, cell["n"], *[cell[f"s_{i}"] / cell["n"] for i in range(6)]) for (_, c), cell in cells.items() if cell["n"]]
+    rows = [(c, int(cell[0]), *[float(v / cell[0]) for v in cell[2:]]) for c, cell in enumerate(cells[0]) if cell[0]]
     out = d.spark.createDataFrame(rows, "cluster int, rows bigint, " + ", ".join(f"{p} double" for p in POINTS))
     return out.selectExpr("cluster", "rows", *[f"{X.rounded(p)} as {p}" for p in POINTS])
 
 
+STEPS = 3
+CTES["step0"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{v}::DOUBLE' for v in c)})" for i, c in enumerate(CENTROIDS)) + ") v(c, " + ", ".join(f"c{i}" for i in range(6)) + ")"
+_to = "+".join(f"(x_{i}-c{i})*(x_{i}-c{i})" for i in range(6))
+for _t in range(STEPS):
+    CTES[f"near{_t}"] = f"SELECT ticker, fiscal_year, arg_min(c, {_to}) AS c, min({_to}) AS d FROM pts, step{_t} GROUP BY 1, 2"
+    CTES[f"step{_t + 1}"] = f"SELECT n.c, {', '.join(f'avg(x_{i}) AS c{i}' for i in range(6))} FROM pts JOIN near{_t} n USING (ticker, fiscal_year) GROUP BY 1"
+CTES[f"near{STEPS}"] = f"SELECT ticker, fiscal_year, min({_to}) AS d FROM pts, step{STEPS} GROUP BY 1, 2"
+
+
+@query("kmeans_fit_from_starts", f"SELECT c AS cluster, {', '.join(f'{r(f"c{i}")} AS x_{i}' for i in range(6))}, (SELECT {r('sum(d)')} FROM near{STEPS}) AS inertia FROM step{STEPS}")
+def _(d):
+    """The fit itself, with given starts and a fixed number of passes, so that SQL can follow it."""
+    import numpy as np
+
+    fit = Cl.fit_many(keyed_points(d), 6, [Cl.Spec("fixed")], max_iter=STEPS, tol=0.0, init=[np.array(CENTROIDS)])[0]
+    rows = [(c, *map(float, centre), fit.inertia) for c, centre in enumerate(fit.centroids)]
+    out = d.spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{p} double" for p in POINTS) + ", inertia double")
+    return out.selectExpr("cluster", *[f"{X.rounded(p)} as {p}" for p in POINTS], f"{X.rounded('inertia')} as inertia")
+
+
 @query("kmeans_inertia", f"SELECT count(*) AS rows, {r(f'sum({_all})')} AS inertia FROM pts")
 def _(d):
     best = f"least({', '.join(Cl.distance_text(c, 6) for c in CENTROIDS)})"
@@ -83,7 +113,7 @@ DB = f"SELECT {r('avg(m)')} AS davies_bouldin FROM (SELECT a.cluster, max((a.s+b
 _dot = "+".join(f"x_{i}*s{i}" for i in range(6))
 _sq = "+".join(f"x_{i}*x_{i}" for i in range(6))
 CTES["meand"] = f"SELECT p.ticker, p.fiscal_year, p.cluster AS own, c.cluster, c.n, {_sq}-2*({_dot})/n+q/n AS d FROM pts p, csum c"
-SIL = f"""SELECT {r('avg(CASE WHEN n=1 THEN 0 ELSE (b-a)/greatest(a,b) END)')} AS silhouette FROM (
+SIL = f"""SELECT {r('avg(CASE WHEN n=1 THEN 0 ELSE (b-a)/greatest(a,b) END)')} AS silhouette_squared FROM (
  SELECT ticker, fiscal_year, max(CASE WHEN own=cluster THEN n END) AS n, max(CASE WHEN own=cluster THEN d*n/nullif(n-1,0) END) AS a,
  min(CASE WHEN own<>cluster THEN d END) AS b FROM meand GROUP BY 1,2)"""
 
@@ -104,19 +134,7 @@ def _(d):
 
 @query("silhouette", SIL)
 def _(d):
-    return validity(d).selectExpr(f"{X.rounded('silhouette')} as silhouette")
-
-
-CTES["apart"] = "SELECT a.ticker, a.fiscal_year, a.cluster AS own, b.cluster, count(*) AS n, sum(sqrt(" + "+".join(f"pow(a.x_{i}-b.x_{i},2)" for i in range(6)) + ")) AS d FROM samp a, samp b GROUP BY 1,2,3,4"
-CTES["samp"] = f"SELECT * FROM pts ORDER BY md5('42|'||ticker||'|'||fiscal_year), ticker, fiscal_year LIMIT {C.HEAVY_ROWS}"
-
-
-@query("silhouette_sample", f"""SELECT count(*) AS rows, {r('avg(CASE WHEN n=1 THEN 0 ELSE (b-a)/greatest(a,b) END)')} AS silhouette FROM (
- SELECT ticker, fiscal_year, max(CASE WHEN own=cluster THEN n END) AS n, max(CASE WHEN own=cluster THEN d/nullif(n-1,0) END) AS a,
- min(CASE WHEN own<>cluster THEN d/n END) AS b FROM apart GROUP BY 1,2)""")
-def _(d):
-    out = Me.silhouette_sample(points(d), "cluster", POINTS, KEYS, C.HEAVY_ROWS)
-    return out.selectExpr("rows", f"{X.rounded('silhouette')} as silhouette")
+    return validity(d).selectExpr(f"{X.rounded('silhouette_squared')} as silhouette_squared")
 
 
 @query("valid_metric_guard", "SELECT 'cluster' AS labels, count(DISTINCT cluster) AS clusters, count(*) AS rows, count(DISTINCT cluster)>=2 AND count(DISTINCT cluster)<count(*) AS valid FROM pts UNION ALL SELECT 'one', 1, count(*), false FROM pts")
@@ -128,7 +146,7 @@ def _(d):
 
 @query("cluster_segment")
 def _(d):
-    fit = d.once("fit", lambda: Tr.fit_segment(d.stored_feats(), C.TARGET_SEGMENT, n_init=N_INIT))
+    fit = d.once("fit", lambda: Tr.fit_segment(d.stored_feats(), C.TARGET_SEGMENT))
     if fit.clustered is None:
         return d.spark.createDataFrame([fit.metrics], Tr.METRIC_SCHEMA)
     return fit.clustered.select(*KEYS, "cluster", "cluster_key", *C.DOMAINS)
@@ -136,20 +154,20 @@ def _(d):
 
 @query("cluster_segments")
 def _(d):
-    return Tr.fit_segments(d.stored_feats(), n_init=N_INIT)[1]
+    return Tr.fit_segments(d.stored_feats())[1]
 
 
 @query("evaluate_k_range")
 def _(d):
-    return Tr.evaluate_k_range(d.stored_feats(), n_init=4)
+    return Tr.evaluate_k_range(d.stored_feats())
 
 
 @query("evaluate_segments_k_range")
 def _(d):
-    return Tr.evaluate_segments(d.stored_feats(), n_init=4)
+    return Tr.evaluate_segments(d.stored_feats())
 
 
-@query("features_for_segment")
+@query("features_for_segment", "SELECT financial_flag, count(*) AS rows, CASE WHEN financial_flag='Non-financial' THEN 6 ELSE 0 END AS features FROM panel GROUP BY 1")
 def _(d):
     """Segments of the panel with the number of features each is clustered on."""
     counts = d.panel().groupBy("financial_flag").agg(F.count("*").alias("rows"))
@@ -159,7 +177,7 @@ def _(d):
 
 @query("model_store")
 def _(d):
-    fit = d.once("fit", lambda: Tr.fit_segment(d.stored_feats(), C.TARGET_SEGMENT, n_init=N_INIT))
+    fit = d.once("fit", lambda: Tr.fit_segment(d.stored_feats(), C.TARGET_SEGMENT))
     model = fit.model or d.model()
     folder = Ms.save(d.spark, {model.segment: model}, new_folder(d.spark, "model"), profile=fit.profile)
     loaded = Ms.load(d.spark, folder)[model.segment]
@@ -211,7 +229,7 @@ def _(d):
 
 
 def ward_table(d):
-    wide = d.once("ward", lambda: stored(Hi.ward_labels(keyed_points(d), 6, keep=["cluster"]), "ward"))
+    wide = d.once("ward", lambda: stored(Hi.ward_labels(fitted_points(d), 6, keep=["cluster"]), "ward"))
     rows = ", ".join(f"named_struct('k', {k}, 'label', ward_{k})" for k in C.WARD_K)
     long = wide.selectExpr("cluster", *POINTS, f"inline(array({rows}))")
     return Me.validity(long, "label", POINTS, ["k"]).join(Me.agreement(long, "cluster", "label", ["k"]), "k")
@@ -219,7 +237,7 @@ def ward_table(d):
 
 @query("ward_hierarchy")
 def _(d):
-    return ward_table(d).selectExpr("'Agglomerative' as method", "k", "'ward' as linkage", "clusters", "silhouette",
+    return ward_table(d).selectExpr("'Agglomerative' as method", "k", "'ward' as linkage", "clusters", "silhouette_squared",
                                     "calinski_harabasz", "davies_bouldin", "ari as ari_vs_kmeans", "nmi as nmi_vs_kmeans")
 
 
@@ -237,7 +255,7 @@ def _(d):
 
 
 def dbscan_labels(d):
-    return d.once("dbscan", lambda: stored(De.dbscan_grid(keyed_points(d), 6, keep=[*KEYS, "cluster"]), "dbscan"))
+    return d.once("dbscan", lambda: stored(De.dbscan_grid(fitted_points(d), 6, keep=[*KEYS, "cluster"]), "dbscan"))
 
 
 def dbscan_report(d):
@@ -245,16 +263,20 @@ def dbscan_report(d):
 
 
 _pair = "+".join(f"(a.x_{i}-b.x_{i})*(a.x_{i}-b.x_{i})" for i in range(6))
-CTES["ball"] = "SELECT ticker, fiscal_year, " + ", ".join(f"least(count(*) FILTER (WHERE d<={e}::DOUBLE*{e}::DOUBLE), 100) AS n{i}" for i, e in enumerate(C.DBSCAN_EPS)) + f" FROM (SELECT a.ticker, a.fiscal_year, {_pair} AS d FROM pts a, pts b) GROUP BY 1,2"
+CTES["ball"] = "SELECT ticker, fiscal_year, " + ", ".join(f"count(*) FILTER (WHERE d<={e}::DOUBLE*{e}::DOUBLE) AS n{i}" for i, e in enumerate(C.DBSCAN_EPS)) + f" FROM (SELECT a.ticker, a.fiscal_year, {_pair} AS d FROM pts a, pts b) GROUP BY 1,2"
 CTES["reach"] = "SELECT ticker, fiscal_year, " + ", ".join(f"max(CASE WHEN d<={e}::DOUBLE*{e}::DOUBLE THEN n{i} END) AS r{i}" for i, e in enumerate(C.DBSCAN_EPS)) + f""" FROM (
  SELECT a.ticker, a.fiscal_year, {_pair} AS d, n0, n1, n2, n3, n4, n5, n6 FROM pts a, (SELECT * FROM pts JOIN ball USING (ticker, fiscal_year)) b) GROUP BY 1,2"""
 
 
-@query("dbscan_core_flags", " UNION ALL ".join(f"SELECT ticker, fiscal_year, {e}::DOUBLE AS eps, n{i} AS neighbours FROM ball" for i, e in enumerate(C.DBSCAN_EPS)))
+@query("dbscan_core_flags", " UNION ALL ".join(
+    f"SELECT ticker, fiscal_year, {e}::DOUBLE AS eps, {m} AS min_samples, n{i}>={m} AS core FROM ball"
+    for i, e in enumerate(C.DBSCAN_EPS) for m in C.DBSCAN_MIN_SAMPLES))
 def _(d):
+    """Is a row a core point?  Neighbours are counted up to the largest min_samples, which decides all settings."""
     table = De.neighbour_table(keyed_points(d), 6, C.DBSCAN_EPS, max(C.DBSCAN_MIN_SAMPLES))
     eps = ", ".join(X.num(e) for e in C.DBSCAN_EPS)
-    return keyed_points(d).join(table, POINTS).selectExpr(*KEYS, f"array({eps})[e] as eps", "neighbours")
+    flags = ", ".join(f"named_struct('min_samples', {m}, 'core', neighbours >= {m})" for m in C.DBSCAN_MIN_SAMPLES)
+    return keyed_points(d).join(table, POINTS).selectExpr(*KEYS, f"array({eps})[e] as eps", f"inline(array({flags}))")
 
 
 @query("dbscan_noise", " UNION ALL ".join(
@@ -289,11 +311,11 @@ def _(d):
 
 @query("method_comparison")
 def _(d):
-    """KMeans, the best Ward cut and the practical DBSCAN setting (if any) side by side."""
-    names = ["clusters", "silhouette", "calinski_harabasz", "davies_bouldin", "ari_vs_kmeans", "nmi_vs_kmeans"]
-    base = Me.validity(points(d), "cluster", POINTS).selectExpr("'KMeans' as id", "clusters", *names[1:4], "1D as ari_vs_kmeans", "1D as nmi_vs_kmeans")
+    """The fitted KMeans, the best Ward cut by squared silhouette and the practical DBSCAN setting (if any) side by side."""
+    names = ["clusters", "silhouette_squared", "calinski_harabasz", "davies_bouldin", "ari_vs_kmeans", "nmi_vs_kmeans"]
+    base = Me.validity(fitted_points(d), "cluster", POINTS).selectExpr("'KMeans' as id", "clusters", *names[1:4], "1D as ari_vs_kmeans", "1D as nmi_vs_kmeans")
     ward = ward_table(d).withColumnsRenamed({"ari": "ari_vs_kmeans", "nmi": "nmi_vs_kmeans"})
-    ward = ward.orderBy(F.col("silhouette").desc_nulls_last(), F.desc("ari_vs_kmeans"), "k").limit(1).selectExpr("'Agglomerative' as id", *names)
+    ward = ward.orderBy(F.col("silhouette_squared").desc_nulls_last(), F.desc("ari_vs_kmeans"), "k").limit(1).selectExpr("'Agglomerative' as id", *names)
     dense = De.practical_candidate(dbscan_report(d)).selectExpr("'DBSCAN' as id", "clusters_ex_noise as clusters", *names[1:])
     out = base.unionByName(ward).unionByName(dense)
     texts = {f"{c}": X.case_map("id", {k: v[i] for k, v in C.METHOD_TEXT.items()}) for i, c in enumerate(("method", "selected_role", "comment"))}

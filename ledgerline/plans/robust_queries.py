@@ -37,18 +37,46 @@ for _name, _factor in FACTORS.items():
  {r('max(abs(v.scorecard_credit_score-f.scorecard_credit_score))')} AS max_shift FROM t{n[0]}{'b' if '20' in n else 'a'} v JOIN feat f USING (ticker, fiscal_year)"""
     for n in FACTORS))
 def _(d):
-    base = d.stored_feats()
-    base = base.withColumn("base_score", F.col("scorecard_credit_score"))
-    parts = []
+    """All variants are scored in one scan; only their shifts leave it."""
+    base = d.stored_feats().withColumn("base_score", F.col("scorecard_credit_score"))
     for name, factor in FACTORS.items():
-        moved = X.with_exprs(Ro.rescore(base, Ro.scaled_rules(factor)), {"shift": "scorecard_credit_score - base_score"})
-        parts.append(moved.agg(
-            F.count("*").alias("rows"), F.avg("shift").alias("mean_shift"), F.max(F.abs("shift")).alias("max_shift"),
-        ).selectExpr(f"'{name}' as variant", "rows", f"{X.rounded('mean_shift')} as mean_shift", f"{X.rounded('max_shift')} as max_shift"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        base = Ro.rescore(base, Ro.scaled_rules(factor)).withColumn(f"moved_{name}", F.col("scorecard_credit_score") - F.col("base_score"))
+    rows = ", ".join(f"named_struct('variant', '{n}', 'shift', moved_{n})" for n in FACTORS)
+    return base.selectExpr(f"inline(array({rows}))").groupBy("variant").agg(
+        F.count("*").alias("rows"), F.avg("shift").alias("mean_shift"), F.max(F.abs("shift")).alias("max_shift"),
+    ).selectExpr("variant", "rows", f"{X.rounded('mean_shift')} as mean_shift", f"{X.rounded('max_shift')} as max_shift")
+
+
+def refits(d, variants, baseline="baseline"):
+    out = Ro.refit_stability(variants, C.DOMAINS, KEYS, baseline)
+    return out.select("variant", "common_rows", "ari", "nmi")
+
+
+@query("threshold_refit")
+def _(d):
+    """Thresholds moved, features engineered and KMeans fitted anew: agreement with the baseline labels."""
+    feats = d.stored_feats()
+    variants = {"baseline": (Fi.eligible_rows(feats), None)}
+    variants |= {n: (Fi.eligible_rows(Ro.rescore(feats, Ro.scaled_rules(f))), None) for n, f in FACTORS.items()}
+    return refits(d, variants)
+
+
+@query("imputation_refit")
+def _(d):
+    """Gaps filled in other ways and KMeans fitted anew."""
+    rows = Fi.eligible_rows(d.stored_feats())
+    high = {q["feature"]: q["value"] for q in label_quantiles(rows, [], C.DOMAINS, [0.75]).collect()}
+    return refits(d, {
+        "baseline": (rows, None), "complete_case": (rows.dropna(subset=C.DOMAINS), None),
+        "midpoint": (rows, dict.fromkeys(C.DOMAINS, 0.5)), "conservative": (rows, high)})
+
+
+@query("coverage_refit")
+def _(d):
+    """Stricter and looser rules on how many features a row needs, KMeans fitted anew on what they keep."""
+    use = Fi.drop_null_keys(Fi.segment_rows(d.stored_feats()))
+    variants = {f"min_{m}": (use.filter(f"{X.count_present(C.DOMAINS)} >= {m}"), None) for m in (3, 4, 5, 6)}
+    return refits(d, variants, "min_4")
 
 
 @query("weight_sensitivity", " UNION ALL ".join(

@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..operators.scoring import Model
+from .tables import exists
 
+METRICS = ("inertia", "silhouette_squared", "calinski_harabasz", "davies_bouldin")
 TABLES = {
     "model_meta": "segment string, version string, k int, feature_count int, primary_segment boolean",
     "model_features": "segment string, position int, feature string",
@@ -12,6 +14,8 @@ TABLES = {
     "model_imputer": "segment string, feature string, median double",
     "model_labels": "segment string, cluster int, risk_rank int, label string",
     "winsor_caps": "segment string, feature string, low double, high double",
+    "model_metrics": f"segment string, status string, rows bigint, {', '.join(f'{m} double' for m in METRICS)}",
+    "model_sizes": "segment string, cluster int, rows bigint",
 }
 
 
@@ -40,16 +44,23 @@ def save(spark: SparkSession, models: dict, folder: str, primary: str = C.TARGET
         rows["model_centroids"] += [(segment, c, f, float(v)) for c, p in enumerate(m.centroids) for f, v in zip(m.features, p)]
         rows["model_imputer"] += [(segment, f, float(m.medians[f])) for f in m.features]
         rows["model_labels"] += [(segment, c, m.ranks.get(c), m.labels.get(c)) for c in range(m.k)]
+        rows["model_metrics"].append((segment, m.meta.get("status"), m.meta.get("rows"), *[m.meta.get(k) for k in METRICS]))
+        rows["model_sizes"] += [(segment, c, n) for c, n in sorted(m.meta.get("sizes", {}).items())]
         rows["winsor_caps"] += [(segment, f, low, high) for f, (low, high) in (m.caps or {}).items()]
     for name, schema in TABLES.items():
         spark.createDataFrame(rows[name], schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+    profiles = [profile] if profile is not None else [m.profile for m in models.values() if m.profile is not None]
+    profile = profiles[0] if profiles else None
+    for more in profiles[1:]:
+        profile = profile.unionByName(more, allowMissingColumns=True)
     if profile is not None:
         profile.write.mode("overwrite").parquet(f"{folder}/model_profile")
     return folder
 
 
 def load(spark: SparkSession, folder: str) -> dict:
-    """Segment -> model, with checks on what is missing."""
+    """Segment -> model with its metrics, cluster sizes and profile (if stored), with checks on what is missing."""
+    stored_profile = spark.read.parquet(f"{folder}/model_profile") if exists(spark, f"{folder}/model_profile") else None
     data = {name: spark.read.schema(schema).parquet(f"{folder}/{name}").collect() for name, schema in TABLES.items()}
     models = {}
     for meta in data["model_meta"]:
@@ -59,7 +70,15 @@ def load(spark: SparkSession, folder: str) -> dict:
         missing = [(c, f) for c in range(meta["k"]) for f in features if (c, f) not in values]
         if missing:
             raise ValueError(f"Model store {folder}: centroids missing for {missing[:3]}")
+        profile = None if stored_profile is None else stored_profile.filter(F.col(C.SEGMENT_COL) == meta["segment"])
+        # One row per cluster.
+        profile_ranks = {} if profile is None or "rating_style_rank" not in profile.columns else {
+            r[0]: r[1] for r in profile.select("cluster", "rating_style_rank").collect() if r[1] is not None}
+        metrics = mine["model_metrics"][0].asDict() if mine["model_metrics"] else {}
         models[meta["segment"]] = validate(Model(
+            profile=profile, profile_ranks=profile_ranks,
+            meta={k: v for k, v in metrics.items() if k != "segment" and v is not None}
+            | {"sizes": {r["cluster"]: r["rows"] for r in mine["model_sizes"]}},
             segment=meta["segment"], features=features, version=meta["version"],
             centroids=[[values[c, f] for f in features] for c in range(meta["k"])],
             medians={r["feature"]: r["median"] for r in mine["model_imputer"]},
