@@ -18,6 +18,7 @@ CTES["sictable"] = """SELECT sic, industry_title FROM (SELECT DISTINCT CASE c_mk
   upper(c_mktsegment[1])||lower(c_mktsegment[2:])||' goods' AS industry_title FROM customer) WHERE sic IS NOT NULL"""
 CTES["enriched"] = f"""SELECT u.ticker, u.cik, u.name, u.sicn AS sic, industry_title, {sector('u.sicn')} AS industry
   FROM (SELECT *, TRY_CAST(sic AS INTEGER) AS sicn FROM universe) u LEFT JOIN sictable t ON u.sicn=t.sic WHERE u.sicn IS NOT NULL"""
+CTES["manifest"] = "SELECT ticker, cik, company_name, sic, min(fiscal_year) AS min_fiscal_year, max(fiscal_year) AS max_fiscal_year, count(*) AS row_count FROM facts GROUP BY 1,2,3,4"
 CTES["base"] = f"SELECT * FROM facts WHERE fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}"
 
 
@@ -46,7 +47,7 @@ def _(d):
     return d.spark.sql("select concept, count(*) as n from raw_facts group by concept")
 
 
-@query("ingest_csv_to_parquet")
+@query("ingest_csv_to_parquet", "SELECT fiscal_year, count(*) AS n FROM facts GROUP BY 1")
 def _(d):
     folder = new_folder(d.spark, "files")
     d.facts().write.option("header", True).csv(f"{folder}/csv")
@@ -54,20 +55,27 @@ def _(d):
     return d.spark.read.parquet(f"{folder}/facts").groupBy("fiscal_year").agg(F.count("*").alias("n"))
 
 
-@query("ingest_resumable", f"""SELECT {FACT_SQL} FROM facts WHERE ticker NOT IN (
-  SELECT 'C'||c_custkey FROM customer WHERE c_acctbal >= 0)""")
+@query("ingest_resumable", f"SELECT {FACT_SQL} FROM facts")
 def _(d):
-    """Companies with a non-negative balance count as already loaded."""
-    done = d.table("customer").filter("c_acctbal >= 0").selectExpr("concat('C', c_custkey) as ticker")
-    return fact_shape(P.missing_keys(d.facts(), done))
+    """Companies with a non-negative balance are loaded first; a second run adds the others and a third one nothing."""
+    out, facts = new_folder(d.spark, "resumed"), d.facts()
+    some = d.table("customer").filter("c_acctbal >= 0").selectExpr("concat('C', c_custkey) as ticker")
+    T.ingest_remaining(d.spark, facts.join(some, "ticker", "left_semi"), out)
+    for _ in range(2):
+        T.ingest_remaining(d.spark, facts, out)
+    return fact_shape(d.spark.read.parquet(out))
 
 
 @query("parquet_footprint")
 def _(d):
-    return T.footprint(d.table("lineitem"))
+    return T.footprint(d.spark, f"{d.folder}/lineitem.parquet")
+
 
+COMPANY_COLUMNS = [f.name for f in T.COMPANY_SCHEMA]
 
-@query("read_company_input")
+
+@query("read_company_input", f"""SELECT {cols(COMPANY_COLUMNS)} FROM (SELECT *, CAST(NULL AS VARCHAR) AS currency,
+ assets_current AS current_assets, liabilities_current AS current_liabilities FROM panel)""")
 def _(d):
     """The panel written as company CSV and read back with the input schema."""
     folder = new_folder(d.spark, "files")
@@ -76,10 +84,10 @@ def _(d):
     panel.selectExpr(*[
         f.name if f.name in have else f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in T.COMPANY_SCHEMA
     ]).write.option("header", True).csv(f"{folder}/companies")
-    return T.read_company_input(d.spark, f"{folder}/companies")
+    return shape(T.read_company_input(d.spark, f"{folder}/companies"), COMPANY_COLUMNS)
 
 
-@query("write_result_tables")
+@query("write_result_tables", "SELECT * FROM manifest")
 def _(d):
     folder = new_folder(d.spark, "files")
     tables = {"manifest": P.manifest(d.facts()), "by_year": P.facts_by_year(d.facts())}
@@ -87,13 +95,13 @@ def _(d):
     return d.spark.read.parquet(paths["manifest"])
 
 
-@query("detect_value_column")
+@query("detect_value_column", """SELECT 'numeric_value' AS value_column, count(numeric_value) AS "values" FROM facts""")
 def _(d):
     facts = d.facts()
     return facts.groupBy().agg(F.lit(P.detect_value_column(facts)).alias("value_column"), F.count(P.detect_value_column(facts)).alias("values"))
 
 
-@query("detect_sort_column")
+@query("detect_sort_column", "SELECT 'filing_date' AS sort_column, CAST(max(filing_date) AS VARCHAR) AS latest FROM facts")
 def _(d):
     facts = d.facts()
     c = P.detect_sort_column(facts)
@@ -235,7 +243,7 @@ def _(d):
 
 @query("issuer_year_facts_priority", f"""SELECT ticker, cik, TRY_CAST(sic AS INTEGER) AS sic, fiscal_year, canonical_feature, {r('numeric_value', 2)} AS value FROM (
  SELECT *, row_number() OVER (PARTITION BY ticker, cik, sic, fiscal_year, canonical_feature ORDER BY place, filing_date DESC, numeric_value) AS rn
- FROM facts JOIN lookup USING (concept) WHERE fiscal_period='FY' AND fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}) WHERE rn=1""")
+ FROM facts JOIN lookup USING (concept) WHERE fiscal_period='FY' AND numeric_value IS NOT NULL AND fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}) WHERE rn=1""")
 def _(d):
     out = P.issuer_year_facts(d.facts(), FIRST_YEAR, LAST_YEAR, pick="priority")
     return out.selectExpr("ticker", "cik", "sic", "fiscal_year", "canonical_feature", "round(round(value, 6), 2) as value")
@@ -303,7 +311,6 @@ def _(d):
     return P.missing_keys(d.facts(), snapshots(d)[0]).groupBy("ticker").agg(F.count("*").alias("n"))
 
 
-CTES["manifest"] = "SELECT ticker, cik, company_name, sic, min(fiscal_year) AS min_fiscal_year, max(fiscal_year) AS max_fiscal_year, count(*) AS row_count FROM facts GROUP BY 1,2,3,4"
 
 
 @query("coverage_manifest", "SELECT * FROM manifest")

@@ -7,7 +7,7 @@ import re
 
 from .. import constants as C
 
-FIRST_YEAR, LAST_YEAR = 1995, 2001
+FIRST_YEAR, LAST_YEAR = 1996, 2000
 CENTROIDS = [
     [0.05, 1.00, 1.00, 0.05, 0.05, 1.00],
     [0.45, 0.35, 0.35, 0.45, 0.35, 0.45],
@@ -88,7 +88,7 @@ SIC = f"CASE WHEN c_custkey%50=0 THEN NULL WHEN c_custkey%50=1 THEN 'n/a' ELSE {
 
 CTES["ord"] = f"""
 SELECT 'C'||o_custkey AS ticker, CAST(c_custkey AS VARCHAR) AS cik, c_name AS company_name, {SIC} AS sic,
-  CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, CASE WHEN o_orderkey%20=0 THEN 'Q1' ELSE 'FY' END AS fiscal_period,
+  CAST(year(o_orderdate) AS INTEGER) AS fiscal_year, CASE WHEN o_orderkey%20=0 THEN 'Q1' WHEN o_orderkey%37=3 THEN 'H1' ELSE 'FY' END AS fiscal_period,
   CAST(o_orderdate AS DATE) AS filing_date, o_orderkey AS filing_id, c_custkey AS k, o_orderstatus AS s, o_orderpriority AS p,
   o_totalprice*20*(1+c_nationkey) AS a, c_acctbal/10000 AS e, rc/allc AS r, oc/allc AS o, dc/(100.0::DOUBLE*n) AS d,
   tc/(100.0::DOUBLE*n) AS t, q
@@ -123,15 +123,16 @@ _tags = " ".join(
 CTES["facts"] = f"""
 SELECT ticker, cik, company_name, sic, CASE {_tags} END AS concept, replace(item,'_',' ') AS label, numeric_value,
   fiscal_year, fiscal_period, filing_date
-FROM (UNPIVOT (SELECT ticker,cik,company_name,sic,fiscal_year,fiscal_period,filing_date,filing_id,{','.join(_f)} FROM stm)
-  ON {','.join(_f)} INTO NAME item VALUE numeric_value)"""
+FROM (SELECT * FROM (UNPIVOT (SELECT ticker,cik,company_name,sic,fiscal_year,fiscal_period,filing_date,filing_id,{','.join(_f)} FROM stm)
+  ON {','.join(_f)} INTO NAME item VALUE numeric_value)
+ UNION ALL SELECT ticker, cik, company_name, sic, fiscal_year, fiscal_period, filing_date, filing_id, 'cash', NULL FROM stm WHERE filing_id%41=5 AND cash IS NULL)"""
 CTES["lookup"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{i}','{t}',{n})" for i, ts in C.CONCEPTS.items() for n, t in enumerate(ts)) + ") v(canonical_feature, concept, place)"
 CTES["iyf"] = f"""
 SELECT ticker, cik, TRY_CAST(sic AS INTEGER) AS sic, fiscal_year, canonical_feature, max(company_name) AS company_name,
   median(numeric_value) AS value
 FROM facts JOIN lookup USING (concept)
-WHERE fiscal_period='FY' AND fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR}
+WHERE fiscal_period='FY' AND fiscal_year BETWEEN {FIRST_YEAR} AND {LAST_YEAR} AND numeric_value IS NOT NULL
 GROUP BY ALL"""
 
 
@@ -323,7 +324,7 @@ def sql(body: str, extra: dict | None = None) -> str:
                 order.append(word)
 
     visit(body)
-    shared = {"facts", "panel", "feat", "med", "scored", "clustered", "guarded", "sguarded", "pts", "prof"}
+    shared = {"facts", "panel", "feat", "med", "scored", "clustered", "guarded", "sfeat", "sscored", "sguarded", "srank", "pts", "prof"}
     head = ",\n".join(
         f"{n} AS {'MATERIALIZED ' if n in shared else ''}({known[n].strip()})" for n in order)
     return (f"WITH {head}\n" if head else "") + body

@@ -56,7 +56,7 @@ def _(d):
     return s.groupBy(F.col("assigned_cluster").alias("cluster"), "risk_rank").agg(F.count("*").alias("n"))
 
 
-@query("resolve_segment_model")
+@query("resolve_segment_model", "SELECT assigned_cluster, count(*) AS n FROM scored GROUP BY 1")
 def _(d):
     models = {C.TARGET_SEGMENT: d.model()}
     model = Sc.resolve_model(models, C.TARGET_SEGMENT)
@@ -172,10 +172,14 @@ def _(d):
 _lvl = "list_position([" + ", ".join(lit(s) for s in C.SEVERITIES) + "], {})"
 
 
-@query("scenario_migration", f"""SELECT s.ticker, s.fiscal_year, s.scenario, CAST(s.risk_rank-b.risk_rank AS INTEGER) AS rank_change,
- {r('s.scorecard_credit_score-b.scorecard_credit_score')} AS score_change, s.outlook_flag<>b.outlook_flag AS outlook_changed,
- CAST({_lvl.format('s.guardrail_level')}-{_lvl.format('b.guardrail_level')} AS INTEGER) AS level_change
- FROM sguarded s JOIN sguarded b ON s.ticker=b.ticker AND s.fiscal_year=b.fiscal_year AND b.scenario='base'""")
+CTES["srank"] = f"""SELECT ticker, fiscal_year, scenario, risk_rank, scorecard_credit_score AS s, outlook_flag,
+ {_lvl.format('guardrail_level')} AS lvl FROM sguarded"""
+_base = "max({}) FILTER (WHERE scenario='base') OVER (PARTITION BY ticker, fiscal_year)"
+
+
+@query("scenario_migration", f"""SELECT ticker, fiscal_year, scenario, CAST(risk_rank-{_base.format('risk_rank')} AS INTEGER) AS rank_change,
+ {r(f"s-{_base.format('s')}")} AS score_change, outlook_flag<>{_base.format('outlook_flag')} AS outlook_changed,
+ CAST(lvl-{_base.format('lvl')} AS INTEGER) AS level_change FROM srank""")
 def _(d):
     out = Sn.scenario_migration(d.scenarios(), KEYS)
     return out.selectExpr(*KEYS, "scenario", "rank_change", f"{X.rounded('score_change')} as score_change", "outlook_changed", "level_change")
@@ -206,7 +210,7 @@ def _(d):
 
 # --- report tables ----------------------------------------------------------
 def report(key, build, names, source, keys=KEYS):
-    names = [*keys, *[n for n in names if n not in keys]]
+    names = list(dict.fromkeys([*keys, *names]))
 
     @query(key, f"SELECT {cols(names)} FROM {source}")
     def run(d: Data):

@@ -24,12 +24,23 @@ COMPANY_SCHEMA = T.StructType(
 )
 
 
+def read_csv(spark: SparkSession, path: str, schema, optional=(), label: str = "table") -> DataFrame:
+    """CSV with a header, columns taken by name: their order does not matter, and a column that is left out is named in
+    the error unless it is `optional` (then null).  Values that do not fit their type become null.  Files of a folder must
+    agree in their headers."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    at = {c.strip().lower(): c for c in raw.columns}
+    require_columns(raw.withColumnsRenamed({v: k for k, v in at.items()}), [f.name for f in schema if f.name not in optional], label)
+    column = lambda f: F.col(f"`{at[f.name]}`").try_cast(f.dataType) if f.name in at else F.lit(None).cast(f.dataType)
+    return raw.select(*[column(f).alias(f.name) for f in schema])
+
+
 def load_table(spark: SparkSession, path: str, required=(), label: str = "table", schema=None) -> DataFrame:
     """CSV or Parquet by suffix (folders count as Parquet); missing columns are named in the error."""
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".csv":
-        reader = spark.read.option("header", True)
-        df = (reader.schema(schema) if schema is not None else reader).csv(path)
+        df = spark.read.option("header", True).csv(path) if schema is None else read_csv(spark, path, schema, label=label)
     elif suffix in (".parquet", ".pq", ""):
         df = spark.read.parquet(path)
     else:
@@ -38,8 +49,8 @@ def load_table(spark: SparkSession, path: str, required=(), label: str = "table"
 
 
 def read_company_input(spark: SparkSession, path: str) -> DataFrame:
-    """Manual company CSV, read with a fixed schema so that no inference pass is needed."""
-    return spark.read.option("header", True).schema(COMPANY_SCHEMA).csv(path)
+    """Manual company CSV, read by column name with fixed types; only ebitda may be left out."""
+    return read_csv(spark, path, COMPANY_SCHEMA, optional=("ebitda",), label="company input")
 
 
 def register_facts(spark: SparkSession, path: str, view: str = "raw_facts") -> DataFrame:
@@ -50,37 +61,34 @@ def register_facts(spark: SparkSession, path: str, view: str = "raw_facts") -> D
 
 def ingest_csv(spark: SparkSession, csv_path: str, out: str, schema: str = FACT_SCHEMA, rows_per_file: int = C.FACTS_PER_FILE) -> DataFrame:
     """CSV to Parquet, split by year, so that a later year filter reads only its folders."""
-    df = spark.read.option("header", True).schema(schema).csv(csv_path)
+    df = read_csv(spark, csv_path, schema, label="facts")
     write_facts(df, out, rows_per_file)
     return spark.read.parquet(out)
 
 
 def write_facts(df: DataFrame, out: str, rows_per_file: int = C.FACTS_PER_FILE, mode: str = "overwrite") -> None:
-    """A hash of the ticker inside each year keeps one busy year from landing in one task."""
-    spread = F.pmod(F.xxhash64("ticker", "concept"), F.lit(32))
-    (
-        df.repartition("fiscal_year", spread)
-        .write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("fiscal_year").parquet(out)
-    )
+    """The rebalance hint brings a year's rows together and lets Spark split a year by its size, so that the number of
+    tasks follows the data."""
+    df.hint("rebalance", "fiscal_year").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("fiscal_year").parquet(out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def ingest_remaining(spark: SparkSession, incoming: DataFrame, out: str, key: str = "ticker") -> DataFrame:
-    """Append only the keys that are not stored yet; a repeated call adds nothing."""
-    try:
-        done = spark.read.parquet(out)
-    except Exception:
-        done = None
-    rest = incoming if done is None else missing_keys(incoming, done, key)
+    """Append only the keys that are not stored yet; a repeated call adds nothing.  A store that is there but cannot be
+    read is an error, not an empty store."""
+    rest = missing_keys(incoming, spark.read.parquet(out), key) if exists(spark, out) else incoming
     write_facts(rest, out, mode="append")
     return spark.read.parquet(out)
 
 
-def footprint(df: DataFrame) -> DataFrame:
-    """Files and gigabytes behind a file-based frame, from the scan's own metadata."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(
-        F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.expr("sum(file_size) / 1e9 as gigabytes")
-    )
+def footprint(spark: SparkSession, path: str) -> DataFrame:
+    """Files and gigabytes of a table, from the listing of its files; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    return files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.expr("sum(length) / 1e9 as gigabytes"))
 
 
 def write_results(tables: dict, folder: str, run_id: str, fmt: str = "parquet") -> dict:

@@ -40,9 +40,9 @@ MANIFEST_KEYS = ["ticker", "cik", "company_name", "sic"]
 def manifest_stream(stream: DataFrame, out: str, checkpoint: str):
     """Running coverage per issuer.
 
-    Each batch brings the new totals of the issuers it touched.  They are laid
-    over the previous version and written as a version of their own, named by
-    the batch, so that a replayed batch writes the same folder again.
+    Each batch writes the new totals of the issuers it touched, and only those, in a folder named by the batch; a
+    replayed batch overwrites its folder.  `latest_manifest` takes each issuer's newest row, and `compact_manifest`
+    folds the folders of past batches into one.
     """
     totals = stream.groupBy(*MANIFEST_KEYS).agg(
         F.min("fiscal_year").alias("min_fiscal_year"), F.max("fiscal_year").alias("max_fiscal_year"),
@@ -50,15 +50,7 @@ def manifest_stream(stream: DataFrame, out: str, checkpoint: str):
     )
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            batch.write.mode("overwrite").parquet(f"{out}/version=0")
-            return
-        before = spark.read.parquet(f"{out}/version={batch_id - 1}")
-        named = batch.select(*[F.col(k).alias(f"k_{k}") for k in MANIFEST_KEYS])
-        same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in MANIFEST_KEYS]
-        kept = before.join(named, same, "left_anti")
-        kept.unionByName(batch).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
 
     return (
         totals.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
@@ -67,6 +59,14 @@ def manifest_stream(stream: DataFrame, out: str, checkpoint: str):
 
 
 def latest_manifest(spark: SparkSession, out: str) -> DataFrame:
-    versions = spark.read.parquet(out)
-    last = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{out}/version={last}")
+    """One row per issuer: the totals of the last batch that touched it."""
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*MANIFEST_KEYS, "version")]
+    newest = rows.groupBy(*MANIFEST_KEYS).agg(F.max_by(F.struct(*values), "version").alias("row"))
+    return newest.select(*MANIFEST_KEYS, "row.*")
+
+
+def compact_manifest(spark: SparkSession, out: str, to: str) -> DataFrame:
+    """The newest rows as a single version 0 in another folder; run it between two starts of the stream."""
+    latest_manifest(spark, out).write.mode("overwrite").parquet(f"{to}/version=0")
+    return latest_manifest(spark, to)

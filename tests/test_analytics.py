@@ -101,7 +101,7 @@ def test_validity_against_brute_force(spark, blobs):
         a = d2[i, own].sum() / (own.sum() - 1)
         b = min(d2[i, label == c].mean() for c in range(k) if c != label[i])
         sq.append((b - a) / max(a, b))
-    assert got["silhouette"] == pytest.approx(np.mean(sq))
+    assert got["silhouette_squared"] == pytest.approx(np.mean(sq))
     sample = Me.silhouette_sample(points, "label", ["x_0", "x_1", "x_2"], ["i"], 10_000).first()
     assert sample["rows"] == n and sample["silhouette"] == pytest.approx(euclid_silhouette(x, label))
 

@@ -6,13 +6,8 @@ from conftest import SF
 from ledgerline.plans import catalog
 
 Q, O = catalog.queries(), catalog.oracle_sql()
-CHECKED = [
-    "issuer_year_facts", "issuer_year_pivot", "engineer_credit_features", "domain_risks_strict", "coerce_and_fx", "sic_audit",
-    "target_concept_coverage", "ingest_resumable", "cluster_profile", "representatives", "label_crosstab", "feature_extremes",
-    "score_companies", "outlook_flag", "apply_guardrails", "scenario_rescoring", "scenario_migration", "compare_to_cluster_profile",
-    "lloyd_step", "silhouette", "silhouette_sample", "dbscan_core_flags", "dbscan_noise", "adjusted_rand_index", "imputation_sensitivity",
-    "stream_ingest_facts", "stream_score_companies", "stream_manifest", "sector_year_scores",
-]
+#: The fits with all their restarts take minutes; their parts are compared through kmeans_fit_from_starts and test_analytics.
+CHECKED = sorted(O)
 
 
 def test_every_oracle_has_a_query():
@@ -30,6 +25,12 @@ def test_query_equals_sql(spark, duck, key):
     assert mine == theirs
 
 
+def test_no_query_repeats_a_column(spark):
+    for key in ("scored_file", "score_summary", "company_ratios", "join_score_ratios", "scenario_file", "guardrails_table"):
+        names = Q[key](spark, SF).columns
+        assert len(names) == len(set(names)), key
+
+
 def test_files_round_trip(spark):
     years = {r["fiscal_year"]: r["n"] for r in Q["ingest_csv_to_parquet"](spark, SF).collect()}
     want = {r["fiscal_year"]: r["n"] for r in Q["facts_by_year"](spark, SF).collect()}
