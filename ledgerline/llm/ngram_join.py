@@ -32,6 +32,8 @@ FREQUENT, MOST = 16, 1 << 18
 FLUSH, TREE = 4_000_000, 256
 #: Sets of an n-gram's group with which all others of the group are paired at first.
 LEADERS = 3
+#: Hash functions of the sketches by which sets are paired that the leaders have not joined.
+SKETCH = 32
 
 _FACTORS = mix(np.arange(1, WORDS + 2, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
@@ -349,6 +351,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return mapped(rows, run, "a long, b long")
 
 
+def sketched_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a < b to try first, a fixed number per set: of the rows (id, label, sure), sets of one label that share a
+    minimum of their hashed n-grams are paired with two of their number, unless they are joined already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mix(np.arange(1, SKETCH + 1, dtype=U))
+        for batch in batches:
+            ids, labels, sure, grams = (batch.column(i) for i in range(4))
+            least = np.array([[int(mix(np.frombuffer(g, "<u8") ^ salt).min()) for salt in salts] for g in grams.to_pylist()], U).reshape(-1)
+            again = lambda c: pa.array(np.repeat(c.to_numpy(), SKETCH))
+            yield pa.RecordBatch.from_pydict({"id": again(ids), "label": again(labels), "sure": again(sure),
+                                              "nth": pa.array(np.tile(np.arange(SKETCH, dtype=np.int32), len(ids))), "least": pa.array(least.view(np.int64))})
+
+    own = rows.join(sets, F.col("id") == F.col("set_id")).select("id", "label", "sure", "grams")
+    own = stored(mapped(own, run, "id long, label long, sure long, nth int, least long"), "sketches")
+    key = ["label", "nth", "least"]
+    heads = own.groupBy(*key).agg(*[F.min_by(F.struct("id", "sure"), F.xxhash64(F.lit(i), "id")).alias(f"h{i}") for i in range(2)])
+    return (
+        own.join(heads, key).select("id", "sure", F.explode(F.array("h0", "h1")).alias("head"))
+        .filter("head.id != id and head.sure != sure").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
+    )
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """id, label: the smallest identifier reachable over the edges (a, b).
 
@@ -400,16 +425,22 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     sets = stored(listed.filter("grams is not null").groupBy("set_id").agg(F.max("grams").alias("grams")).join(ids, "set_id"), "sets")
     links = stored(verified(first.unionByName(second), sets), "links")
 
-    # Sets that the hints joined without a verified way between them: compare these among themselves.
-    sure = components(links, rounds=3)
-    mixed = hints.join(sure.select("id", F.col("label").alias("sure")), "id", "left").select("id", "label", F.coalesce("sure", "id").alias("sure"))
-    open_hints = mixed.groupBy("label").agg(F.min("sure").alias("low"), F.max("sure").alias("high")).filter("low != high").select("label")
-    left = stored(mixed.join(open_hints, "label").select("id", "label", "sure"), "open")
-    again = members.join(left, F.col("set_id") == F.col("id")).select("token", "set_id", "n", "place", "label", "sure")
-    third = stored(possible(cross_hits(again, "x.label = y.label and x.sure != y.sure")).select("a", "b"), "third")
-    links = links.unionByName(stored(verified(third, sets), "links"))
+    # Sets that the hints joined without a verified way between them: first a few likely pairs for each, then every pair
+    # that is still open.
+    found = links
+    for exhaustive in (False, True):
+        sure = components(found, rounds=3)
+        mixed = hints.join(sure.select("id", F.col("label").alias("sure")), "id", "left").select("id", "label", F.coalesce("sure", "id").alias("sure"))
+        open_hints = mixed.groupBy("label").agg(F.min("sure").alias("low"), F.max("sure").alias("high")).filter("low != high").select("label")
+        left = stored(mixed.join(open_hints, "label").select("id", "label", "sure"), "open")
+        if exhaustive:
+            again = members.join(left, F.col("set_id") == F.col("id")).select("token", "set_id", "n", "place", "label", "sure")
+            pairs = possible(cross_hits(again, "x.label = y.label and x.sure != y.sure")).select("a", "b")
+        else:
+            pairs = sketched_pairs(left, sets)
+        found = found.unionByName(stored(verified(stored(pairs, "more"), sets), "links"))
 
-    groups = components(links)
+    groups = components(found)
     heads = listed.filter("set_id is not null").groupBy("set_id", "set_check").agg(F.min("doc_id").alias("low"))
     heads = stored(heads.join(groups, F.col("set_id") == F.col("id"), "left").select(
         "set_id", "set_check", "low", F.coalesce(F.col("label"), F.col("set_id")).alias("label"), F.col("label").isNull().alias("alone")), "heads")
