@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import chunks, mapped, texts
 
 #: Words whose tokens a worker remembers, and the bytes of new words that one set of merge rounds takes.
-REMEMBERED, ROUND_BYTES = 800_000, 1 << 20
+REMEMBERED, ROUND_BYTES = 250_000, 1 << 20
 
 #: Fixed values of the vocabulary file's normaliser and splitter, with the Unicode blanks written out.
 BLANKS = r"\t-\r \x85\xa0  -     　"

@@ -68,7 +68,7 @@ class Finder:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, words: set[str]) -> set[int]:
-        if len(self.known) > 500_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         out: set[int] = set()
         for word in words:
