@@ -1,91 +1,88 @@
-"""Exact quantiles that stay exact, and in bounded memory, for groups of any size.
+"""Exact quantiles for groups of any size, with a bounded last step and one path for all sizes.
 
 Spark's own exact `percentile` keeps every distinct value of a group in one
-buffer.  Here a bounded sketch first narrows a group to a thin band of values
-around the wanted rank; counting finishes the job exactly inside that band.
+buffer.  Here no task ever needs a whole group: values are counted first, and
+ranks follow from sums over parts of a group.
 """
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import stored
 
-# Groups up to this size are answered by the sketch alone, which is still exact then.
-EXACT_ROWS = 20_000
-ACCURACY = 100_000
-SALTS = 32
-BUCKETS = 4096
 # Rank band around a wanted quantile; wider than the sketch error, so it always contains it.
 BAND = 1e-3
 BAND_ACCURACY = 5_000
-SMALL_GROUP = 2_500
+# Values of one group and quantile that the last step may sort, and slices of one narrowing step.
+LAST = 10_000
+SLICES = 1_000
 
 
 def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = None) -> DataFrame:
-    """Exact median per group, for many groups of which most are small.
+    """Exact median per group, for many groups of any size.
 
-    One aggregation with partial (map-side) merging answers every group up to
-    EXACT_ROWS.  Only if there are larger groups do their rows go through a
-    second pass: they are found through a hash-bucket filter of at most BUCKETS
-    entries, and the hot keys are salted.
+    Rows are counted by (group, value), which merges a hot value before the shuffle, and dealt to tasks by ranges
+    of (group, value), which spreads a hot group.  A part's ranks start where the group's parts before it end, so
+    the middle values are found where they lie.  Sorting spills; nothing is collected per group.
     """
     carry = carry or {}
-    v = F.col(value)
-    sketch = df.groupBy(keys).agg(
-        F.count(value).alias("n_"),
-        # Rank ceil(p n): 0.5 is the lower middle value, a hair above 0.5 the upper one.
-        F.percentile_approx(v, [0.5 - 5e-5, 0.5, 0.5 + 1e-9, 0.5 + 5e-5], ACCURACY).alias("q_"),
-        *[c.alias(name) for name, c in carry.items()],
-    )
-    # One row per group, written once: the check for large groups and both parts read it from there.
-    sketch = stored(sketch, "medians")
-    small = sketch.filter(F.col("n_") <= EXACT_ROWS).select(
-        *keys, *carry, ((F.col("q_")[1] + F.col("q_")[2]) / 2).alias(value)
-    )
-
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
-    big = sketch.filter(F.col("n_") > EXACT_ROWS)
-    if big.isEmpty():
-        return small
-    buckets = big.select(bucket.alias("bucket_")).distinct()
-    salted = big.select(
-        *[F.col(k).alias(f"k_{k}") for k in keys], *carry, "n_",
-        F.col("q_")[0].alias("lo_"), F.col("q_")[3].alias("hi_"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("k_salt_"),
-    )
-    rows = (
-        df.select(*keys, value, bucket.alias("bucket_"))
-        # At most BUCKETS rows by construction.
-        .join(F.broadcast(buckets), "bucket_", "left_semi")
-        .withColumn("salt_", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in [*keys, "salt_"]]
-    band = rows.join(salted, same).filter(v <= F.col("hi_")).select(
-        *keys, *carry, "n_", F.when(v >= F.col("lo_"), v).alias("v_")
-    )
-    group = [*keys, *carry, "n_"]
-    counted = band.groupBy(*group, "v_").agg(F.count("*").alias("c_"))
-    large = _pick(counted, group, F.lit(0.5)).select(*keys, *carry, F.col("picked_").alias(value))
-    return small.unionByName(large)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v_")).agg(
+        F.count("*").alias("c_"), *[c.alias(name) for name, c in carry.items()])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = stored(counted.repartitionByRange(n, *keys, "v_").withColumn("part_", F.spark_partition_id()), "parts")
+    totals = parts.groupBy(*keys, "part_").agg(F.sum("c_").alias("rows_"), *[F.max(c).alias(c) for c in carry])
+    group = W.partitionBy(*keys)  # one row per part of a group
+    totals = totals.select(
+        *[F.col(k).alias(f"k_{k}") for k in keys], F.col("part_").alias("k_part_"), "rows_",
+        F.sum("rows_").over(group).alias("n_"),
+        F.coalesce(F.sum("rows_").over(group.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"),
+        *[F.max(c).over(group).alias(f"k_{c}") for c in carry])
+    low, high = F.expr("(n_ + 1) div 2"), F.expr("n_ div 2 + 1")  # ranks from 1
+    totals = totals.filter((F.col("before_") < high) & (F.col("before_") + F.col("rows_") >= low))
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in [*keys, "part_"]]
+    inside = parts.drop(*carry).join(totals, same)
+    run = W.partitionBy(*keys, "part_").orderBy("v_").rowsBetween(W.unboundedPreceding, 0)
+    ranked = inside.withColumn("end_", F.sum("c_").over(run) + F.col("before_"))
+    middle = ranked.filter((F.col("end_") >= low) & (F.col("end_") - F.col("c_") < high))
+    at = lambda rank: F.max(F.when((F.col("end_") >= rank) & (F.col("end_") - F.col("c_") < rank), F.col("v_")))
+    return middle.groupBy(*keys).agg(
+        *[F.max(f"k_{c}").alias(c) for c in carry], ((at(low) + at(high)) / 2).alias(value)).select(*keys, *carry, value)
+
+
+def _ranked(counted: DataFrame, keys: list, rank) -> DataFrame:
+    """keys, value: the value at one rank (from 0) per group, from rows (keys, n_, below_, v_, c_).
+
+    Until every group has at most LAST values, its values are cut into SLICES and the one slice that holds the rank
+    stays; what lies below it joins below_.  A round shrinks the range of a group by that factor, so the loop ends when
+    few values, or one, are left."""
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys]
+    holds = (F.col("end_") > rank) & (F.col("end_") - F.col("s_") <= rank)
+    while True:
+        ends = counted.groupBy(*keys).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count("*").alias("values_"))
+        ends = stored(ends.select(*[F.col(k).alias(f"e_{k}") for k in keys], "lo_", "hi_", "values_"), "ends")
+        if not ends.filter(f"values_ > {LAST} and (hi_ - lo_) > abs(hi_) * 1e-13").limit(1).count():
+            break
+        slice_ = F.least(F.floor((F.col("v_") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * SLICES), F.lit(SLICES - 1)).cast("int")
+        sliced = counted.join(ends, same("e_")).withColumn("slice_", F.when(F.col("hi_") > F.col("lo_"), slice_).otherwise(0)).select(*counted.columns, "slice_")
+        upto = W.partitionBy(*keys).orderBy("slice_").rowsBetween(W.unboundedPreceding, 0)  # at most SLICES rows
+        sums = sliced.groupBy(*keys, "n_", "below_", "slice_").agg(F.sum("c_").alias("s_"))
+        left = sums.withColumn("end_", F.sum("s_").over(upto) + F.col("below_")).filter(holds).select(
+            *[F.col(k).alias(f"s_{k}") for k in keys], F.col("slice_").alias("at_"), (F.col("end_") - F.col("s_")).alias("now_"))
+        counted = stored(sliced.join(left, [*same("s_"), F.col("slice_") == F.col("at_")]).select(
+            *keys, "n_", F.col("now_").alias("below_"), "v_", "c_"), "narrowed")
+    order = W.partitionBy(*keys).orderBy("v_").rowsBetween(W.unboundedPreceding, 0)  # at most LAST rows
+    return counted.withColumnRenamed("c_", "s_").withColumn("end_", F.sum("s_").over(order) + F.col("below_")).filter(holds).select(
+        *[F.col(k).alias(k) for k in keys], "n_", F.col("v_").alias("value"))
 
 
 def _pick(counted: DataFrame, keys: list, prob) -> DataFrame:
-    """Linear-interpolated quantile from (keys, n_, v_, c_); a null v_ counts the rows below the band."""
-    order = W.partitionBy(*keys).orderBy(F.col("v_").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    """Linear-interpolated quantile from (keys, n_, below_, v_, c_): below_ rows lie below the values given."""
     place = prob * (F.col("n_") - 1)
-    ranked = counted.withColumn("end_", F.sum("c_").over(order)).withColumn("place_", place)
-
-    def at(index):
-        return F.max(F.when((F.col("end_") > index) & (F.col("end_") - F.col("c_") <= index), F.col("v_")))
-
-    picked = ranked.groupBy(*keys).agg(
-        at(F.floor("place_")).alias("a_"), at(F.ceil("place_")).alias("b_"), F.max("place_").alias("place_")
-    )
-    return picked.withColumn(
-        "picked_",
-        F.when(F.col("a_") == F.col("b_"), F.col("a_")).otherwise(
-            F.col("a_") + (F.col("b_") - F.col("a_")) * (F.col("place_") - F.floor("place_"))
-        ),
-    )
+    low = _ranked(counted, keys, F.floor(place)).withColumnRenamed("value", "a_")
+    high = _ranked(counted, keys, F.ceil(place)).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("value").alias("b_"))
+    both = low.join(high, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys])
+    share = place - F.floor(place)
+    value = F.when(F.col("a_") == F.col("b_"), F.col("a_")).otherwise(F.col("a_") + (F.col("b_") - F.col("a_")) * share)
+    return both.select(*keys, value.alias("picked_"))
 
 
 def label_quantiles(df: DataFrame, keys: list, cols: list, probs: list) -> DataFrame:
@@ -112,21 +109,27 @@ def label_quantiles(df: DataFrame, keys: list, cols: list, probs: list) -> DataF
     renamed = sketch.withColumnsRenamed({k: f"k_{k}" for k in keys})
     joined = df.join(F.broadcast(renamed), [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
 
-    wanted = []
+    # Values inside the band are listed one by one; of those below it only the number is kept.
+    inside, below = [], []
     for i, c in enumerate(cols):
         s, v = F.col(f"s_{i}"), F.col(c)
         for j, p in enumerate(probs):
-            few = s["n"] < SMALL_GROUP
-            low = F.when(few, s["lo"]).otherwise(s["q"][2 * j])
-            high = F.when(few, s["hi"]).otherwise(s["q"][2 * j + 1])
-            wanted.append(F.when(
-                v <= high,
-                F.struct(F.lit(i).alias("i_"), F.lit(j).alias("j_"), s["n"].alias("n_"), F.when(v >= low, v).alias("v_")),
-            ))
-    hits = joined.select(*keys, F.explode(F.array_compact(F.array(*wanted))).alias("h")).select(*keys, "h.*")
+            # A band of less than a few ranks says nothing; then it is the whole group of at most 3 / BAND rows.
+            thin = s["n"] * BAND < 3
+            low = F.when(thin, s["lo"]).otherwise(s["q"][2 * j])
+            high = F.when(thin, s["hi"]).otherwise(s["q"][2 * j + 1])
+            inside.append(F.when((v >= low) & (v <= high), F.struct(F.lit(i).alias("i_"), F.lit(j).alias("j_"), s["n"].alias("n_"), v.alias("v_"))))
+            below.append(F.count_if(v < low).alias(f"b_{i}_{j}"))
+    under = joined.groupBy(*keys).agg(*below)
+    under = under.select(*[F.col(k).alias(f"u_{k}") for k in keys], F.explode(F.array(*[
+        F.struct(F.lit(i).alias("u_i_"), F.lit(j).alias("u_j_"), F.col(f"b_{i}_{j}").alias("below_"))
+        for i in range(len(cols)) for j in range(len(probs))])).alias("u")).select(*[f"u_{k}" for k in keys], "u.*")
+    hits = joined.select(*keys, F.explode(F.array_compact(F.array(*inside))).alias("h")).select(*keys, "h.*")
     counted = hits.groupBy(*keys, "i_", "j_", "n_", "v_").agg(F.count("*").alias("c_"))
+    same = [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in [*keys, "i_", "j_"]]
+    counted = stored(counted.join(under, same).select(*keys, "i_", "j_", "n_", "below_", "v_", "c_"), "counted")
     prob = F.array(*[F.lit(p) for p in probs])[F.col("j_")]
-    out = _pick(counted, [*keys, "i_", "j_", "n_"], prob).select(
+    out = _pick(counted, [*keys, "i_", "j_"], prob).select(
         *([] if marker else keys),
         F.array(*[F.lit(c) for c in cols])[F.col("i_")].alias("feature"),
         F.array(*[F.lit(p) for p in probs])[F.col("j_")].alias("prob"),

@@ -27,21 +27,26 @@ def blobs(spark):
     return x, label
 
 
-def test_grouped_median_with_a_hot_group(spark, monkeypatch):
-    """One key holds most rows: the second, salted pass must give the same exact median."""
-    monkeypatch.setattr(Qu, "EXACT_ROWS", 500)
+def test_grouped_median_with_a_hot_group(spark):
+    """One key holds most rows, and one value most rows of another key."""
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": ["hot"] * 30_001 + ["a"] * 4 + ["b"] * 3, "v": rng.normal(size=30_008).round(3)})
+    pdf = pd.concat([pdf, pd.DataFrame({"k": "same", "v": [1.5] * 20_000 + [2.5] * 19_999})], ignore_index=True)
+    pdf = pd.concat([pdf[pdf.k != "b"], pdf[pdf.k == "b"]], ignore_index=True)
     pdf.loc[pdf.index[-2:], "k"] = None
     got = Qu.grouped_median(spark.createDataFrame(pdf), ["k"], "v", carry={"top": F.max("k")}).toPandas()
     want = pdf.groupby("k", dropna=False)["v"].median()
-    assert len(got) == 4
+    assert len(got) == 5
     for _, r in got.iterrows():
         expect = want[want.index.isna()].iloc[0] if r["k"] is None else want[r["k"]]
         assert r["v"] == pytest.approx(expect, abs=1e-12)
 
 
-def test_label_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("last", [10_000, 5])
+def test_label_quantiles_equal_numpy(spark, monkeypatch, last):
+    """Also when the last step may hold a few values only."""
+    monkeypatch.setattr(Qu, "LAST", last)
+    monkeypatch.setattr(Qu, "SLICES", 7 if last == 5 else 1000)
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": rng.choice([0, 1, 2], 20_000, p=[0.9, 0.0999, 0.0001]), "v": rng.lognormal(size=20_000), "w": rng.integers(0, 5, 20_000).astype(float)})
     pdf.loc[::7, "v"] = None
