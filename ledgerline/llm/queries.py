@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
 from .ngram_join import ngram_components
+from .periodic import longest_run, periodic_runs, run_lines, with_planted_tails
 from .repetition import repetition_rules
 from .settings import EPOCHS, REST, SEED, VOCABULARY, WEIGHTS
 from .sharding import kd_shards
@@ -101,6 +102,15 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"))
 
 
+@query("op12_periodic_runs")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_planted_tails(table(spark, folder, "documents"))).withColumn("top", longest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr("-top.start").alias("start"), F.col("top.length").alias("length"),
+        F.expr("-top.period").alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
