@@ -4,6 +4,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_tokens, encode_texts
+from .conversation_trie import conversation_trie, ends_digest
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
@@ -111,6 +112,36 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+CRC_TABLE = "[list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) FOR i IN range(256)]"
+
+
+@query("op13_conversation_trie", f"""WITH crc AS (SELECT {CRC_TABLE} AS tab),
+ t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+ ids AS (SELECT DISTINCT c FROM t),
+ heads AS (SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce([4294967295] || [ord(x) FOR x IN string_split(c::VARCHAR, '')],
+  lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)]))) % 6 AS h FROM ids, crc),
+ built AS (SELECT h.c, place, role, text, 0 AS own FROM heads h JOIN t ON t.c = h.base AND place <= h.h
+  UNION ALL SELECT h.c, place, role, text, 1 FROM heads h JOIN t ON t.c = h.c AND place > h.h),
+ steps AS (SELECT c, length(text) AS chars, row_number() OVER w AS depth, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER w AS path
+  FROM built WINDOW w AS (PARTITION BY c ORDER BY own, place)),
+ prefixes AS (SELECT c, depth, path, chars FROM steps UNION ALL SELECT c, 0, '', 0 FROM ids),
+ ends AS (SELECT c, max(depth) AS depth, max_by(path, depth) AS path FROM prefixes GROUP BY c),
+ enders AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS list FROM ends GROUP BY path),
+ nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, substr(path, 1, (64 * (depth - 1))::BIGINT) AS up FROM prefixes GROUP BY path, depth),
+ kids AS (SELECT up, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+ above AS (SELECT x.path AS path, y.saved, y.path NOT IN (SELECT up FROM kids) AS leaf FROM nodes y, LATERAL (SELECT DISTINCT substr(y.path, 1, 64 * k) AS path FROM range(y.depth + 1) r(k)) x)
+SELECT n.conv_id, n.depth, CASE WHEN n.depth > 0 THEN p.conv_id END AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+ s.n_leaves, s.saved_tokens, sha256(coalesce(e.list, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.up LEFT JOIN kids k ON k.up = n.path LEFT JOIN enders e ON e.path = n.path
+JOIN (SELECT path, count(*) FILTER (WHERE leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY path) s ON s.path = n.path""")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    trie = conversation_trie(table(spark, folder, "conversations"))
+    return trie.nodes.join(ends_digest(trie.ends), "key", "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
