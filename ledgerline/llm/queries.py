@@ -9,9 +9,10 @@ from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .mixing import mix_sources, mixing_sql
 from .ngram_join import ngram_components
+from .packing import pack
 from .periodic import longest_run, periodic_runs, run_lines, with_planted_tails
 from .repetition import repetition_rules
-from .settings import EPOCHS, REST, SEED, VOCABULARY, WEIGHTS
+from .settings import BYTE_VOCABULARY, EPOCHS, REST, SEED, VOCABULARY, WEIGHTS
 from .sharding import kd_shards
 from .token_files import read_tokens, write_tokens
 from .toxicity import held_out, score_toxicity, train
@@ -103,6 +104,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents"))
 
 
+@query("op11_packing")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), BYTE_VOCABULARY)
+
+
 @query("op12_periodic_runs")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs(with_planted_tails(table(spark, folder, "documents"))).withColumn("top", longest_run(F.col("runs")))
