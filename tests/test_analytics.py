@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import constants as C
 from ledgerline.operators import cluster as Cl, density as De, filters as Fi, hierarchy as Hi, metrics as Me, panel as P, profiles as Pr, projection as Pj, quantiles as Qu, robustness as Ro, training as Tr
+from ledgerline.operators.components import components
 from ledgerline.session import stored
 
 
@@ -130,9 +131,9 @@ def brute_dbscan(x, eps, m):
     return core, label, touch
 
 
-@pytest.mark.parametrize("local", [3_000, 5])
-def test_dbscan_equals_brute_force(spark, monkeypatch, local):
-    monkeypatch.setattr(De, "LOCAL_CELLS", local)
+@pytest.mark.parametrize("hot", [1 / 1000, 1 / 20])
+def test_dbscan_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(De, "HOT", hot)
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(0.25, 0.05, (120, 3)), rng.normal(0.7, 0.04, (120, 3)), rng.random((60, 3))]).clip(0, 1)
     x = np.vstack([x, x[:10]])
@@ -152,9 +153,47 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, local):
             assert lab[i] == (min(allowed) if allowed else -1)
 
 
-def test_dbscan_rejects_a_grid_without_bound(spark, blobs):
-    with pytest.raises(ValueError, match="larger eps"):
-        De.neighbour_table(frame(spark, blobs[0]), 3, (0.001,), 10)
+def test_dbscan_rejects_cells_without_numbers(spark, blobs):
+    with pytest.raises(ValueError, match="too small"):
+        De.neighbour_table(frame(spark, blobs[0]), 3, (1e-7,), 10)
+
+
+def test_dbscan_settles_what_boxes_leave_open(spark):
+    """Two rows of points, just in reach of each other at one place only: the last link needs the finest boxes."""
+    t = np.arange(0.05, 0.95, 0.01)
+    x = np.vstack([np.c_[t, 0 * t + 0.2], np.c_[t, 0.31 + 0.1 * t], [[0.05, 0.256]]])
+    every = De.dbscan_grid(frame(spark, x, i=np.arange(len(x))), 2, (0.0585, 0.0595, 0.07), (2,), keep=["i"]).toPandas().sort_values("i")
+    for eps, got in every.groupby("eps"):
+        core, label, _ = brute_dbscan(x, eps, 2)
+        assert core.all() and len(set(zip(got["label"], label))) == len(set(label)) == got["label"].nunique()
+
+
+def test_dbscan_select_finds_a_setting(spark):
+    rng = np.random.default_rng(2)
+    x = np.clip(np.vstack([rng.normal(m, 0.02, (150, 3)) for m in (0.2, 0.5, 0.8)] + [rng.random((20, 3))]), 0, 1)
+    points = frame(spark, x, truth=np.r_[np.repeat([0, 1, 2], 150), np.full(20, 3)])
+    report = De.grid_report(De.dbscan_grid(points, 3, (0.05, 0.1, 1.5), (5, 20), keep=["truth"]), 3, "truth")
+    best = De.practical_candidate(report).collect()
+    assert len(best) == 1 and best[0]["clusters_ex_noise"] == 3 and best[0]["eps"] < 1 and best[0]["ari_vs_kmeans"] > 0.9
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    edges = [(g, int(a), int(b)) for g in (0, 1) for a, b in rng.integers(0, 120, (70, 2))] + [(2, i, i + 1) for i in range(200)] + [(3, 5, i) for i in range(50)]
+    up = {}
+
+    def find(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for g, a, b in edges:
+        if a != b:
+            ends = sorted([find((g, a)), find((g, b))])
+            up[ends[1]] = ends[0]
+    got = components(spark.createDataFrame(edges, "g int, a long, b long").repartition(3), ["g"]).collect()
+    assert {(r["g"], r["node"], r["label"]) for r in got} == {(*v, find(v)[1]) for v in up} and len(got) == len(up)
+    assert components(spark.createDataFrame([(1, 2, 2)], "g int, a long, b long"), ["g"]).count() == 0
 
 
 def test_ward_merges_like_the_definition():
