@@ -15,21 +15,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions.scalars import num, text
+from ..session import stored
 
 MASK64 = (1 << 64) - 1
-# Distances that one matrix product holds at a time.
-CELLS = 2_000_000
+# Distances to one centroid that are held at a time.
+CELLS = 400_000
 
 
 @dataclass
 class Spec:
-    """One model to fit: name, clusters, seed, weight of each feature, share of rows it sees."""
+    """One model to fit: name, clusters, seed, weight of each feature, share of rows it sees and the number of that sample
+    (models with the same number see the same rows; by default the seed)."""
 
     name: str
     k: int = C.K_CLUSTERS
     seed: int = C.SEED
     mask: tuple | None = None
     share: float = 1.0
+    sample: int | None = None
+
+    @property
+    def salt(self) -> int:
+        return (self.seed if self.sample is None else self.sample) * 7919 + 17
 
 
 @dataclass
@@ -78,25 +85,44 @@ class Stack:
         c = np.array([centres[m] for m in members], float)
         self.k = c.shape[1]
         self.by_row = w.T
-        self.cross = (w[:, None] * c).reshape(-1, n_features).T
-        self.own = (w[:, None] * c * c).sum(2).reshape(-1)
+        # per centroid: features x models, and one number per model
+        self.cross = np.ascontiguousarray((w[:, None] * c).transpose(1, 2, 0))
+        self.own = np.ascontiguousarray((w[:, None] * c * c).sum(2).T)
         self.shared = [i for i, s in enumerate(self.specs) if s.share < 1]
+        self.salts = sorted({self.specs[i].salt for i in self.shared})
+        self.sample_of = np.searchsorted(self.salts, [self.specs[i].salt for i in self.shared])
 
     def chunks(self, n: int):
-        size = max(1, CELLS // (len(self.members) * self.k))
+        size = max(1, CELLS // len(self.members))
         return range(0, n, size), size
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """rows x models x centroids."""
-        d = (self.own[None] - 2.0 * (x @ self.cross)).reshape(len(x), len(self.members), self.k)
-        return np.maximum(d + ((x * x) @ self.by_row)[:, :, None], 0.0)
+    def distances(self, x: np.ndarray):
+        """For each centroid in turn: rows x models."""
+        base = (x * x) @ self.by_row
+        for cross, own in zip(self.cross, self.own):
+            d = x @ cross
+            d *= -2.0
+            d += own
+            d += base
+            yield np.maximum(d, 0.0, out=d)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest distance and its centroid (the first of equal ones): rows x models."""
+        best = label = None
+        for c, d in enumerate(self.distances(x)):
+            if best is None:
+                best, label = d, np.zeros(d.shape, np.int16)
+            else:
+                label[d < best] = c
+                np.minimum(best, d, out=best)
+        return best, label
 
     def outside(self, keys: np.ndarray) -> np.ndarray | None:
         """Rows that a model with a row share does not see."""
         if not self.shared:
             return None
         out = np.zeros((len(keys), len(self.members)), bool)
-        out[:, self.shared] = _uniform(keys, [self.specs[i].seed * 7919 + 17 for i in self.shared]) >= [self.specs[i].share for i in self.shared]
+        out[:, self.shared] = _uniform(keys, self.salts)[:, self.sample_of] >= [self.specs[i].share for i in self.shared]
         return out
 
 
@@ -127,7 +153,7 @@ def seed_centroids(points: DataFrame, n_features: int, specs: list) -> list:
                     x, keys = every_x[at:at + size], every_key[at:at + size]
                     gap = -np.log(_uniform(keys, salts))
                     if step:
-                        d = stack.distances(x).min(2)
+                        d = stack.nearest(x)[0]
                         gap = np.where(d > 1e-12, gap / np.maximum(d, 1e-12), np.inf)
                     outside = stack.outside(keys)
                     if outside is not None:
@@ -200,31 +226,27 @@ def lloyd_pass(points: DataFrame, n_features: int, specs: list, centres: list) -
 
     def sums(batches):
         stacks = [Stack(members, specs, centres, n_features) for members in by_k.values()]
-        totals = [np.zeros((2 + n_features, len(s.members) * s.k + 1)) for s in stacks]  # one more for rows outside
+        totals = [np.zeros((s.k, 2 + n_features, len(s.members))) for s in stacks]
         for pdf in batches:
             every_x, every_key = pdf[names].to_numpy(), pdf["row_key"].to_numpy()
             for stack, total in zip(stacks, totals):
-                cells = total.shape[1]
                 starts, size = stack.chunks(len(pdf))
                 for at in starts:
                     x = every_x[at:at + size]
-                    d = stack.distances(x)
-                    label = d.argmin(2)
-                    nearest = np.take_along_axis(d, label[:, :, None], 2)[:, :, 0].ravel()
-                    label += np.arange(len(stack.members))[None, :] * stack.k
+                    nearest, label = stack.nearest(x)
                     outside = stack.outside(every_key[at:at + size])
                     if outside is not None:
-                        label[outside] = cells - 1
-                    flat = label.ravel()
-                    total[0] += np.bincount(flat, minlength=cells)
-                    total[1] += np.bincount(flat, nearest, minlength=cells)
-                    for j in range(n_features):
-                        total[2 + j] += np.bincount(flat, np.repeat(x[:, j], len(stack.members)), minlength=cells)
+                        label[outside] = -1
+                    columns = np.column_stack([np.ones(len(x)), x]).T
+                    for c, part in enumerate(total):
+                        own = (label == c).astype(float)
+                        part[[0, *range(2, 2 + n_features)]] += columns @ own
+                        part[1] += np.einsum("ij,ij->j", own, nearest)
         for stack, total in zip(stacks, totals):
-            part = total[:, :-1]
+            part = total.transpose(1, 2, 0).reshape(2 + n_features, -1)
             yield pd.DataFrame(
                 {"m": np.repeat(np.array(stack.members, np.int32), stack.k), "c": np.tile(np.arange(stack.k, dtype=np.int32), len(stack.members)),
-                 "n": part[0].astype(np.int64), "inertia": part[1]} | {f"s_{i}": part[2 + i] for i in range(n_features)})
+                 "n": np.rint(part[0]).astype(np.int64), "inertia": part[1]} | {f"s_{i}": part[2 + i] for i in range(n_features)})
 
     got = points.select(*names, "row_key").mapInPandas(sums, schema).groupBy("m", "c").agg(
         F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), *[F.sum(f"s_{i}").alias(f"s_{i}") for i in range(n_features)]).toPandas()
@@ -235,16 +257,27 @@ def lloyd_pass(points: DataFrame, n_features: int, specs: list, centres: list) -
     return out
 
 
+def spread(points: DataFrame, models: int) -> DataFrame:
+    """The stored points in enough files for all task slots where many models make a small table much work."""
+    slots = points.sparkSession.sparkContext.defaultParallelism
+    if models < 100 or len(points.inputFiles()) >= slots:
+        return points
+    return stored(points.repartition(slots, "row_key"), "points")
+
+
 def fit_many(points: DataFrame, n_features: int, specs: list, max_iter: int = C.MAX_ITER, tol: float = C.TOL, init: list | None = None) -> list:
     """Fit every spec; a model leaves the passes when its centroids stop moving.
 
-    points must be a stored table: it is read once per pass.
+    Models of the same rows and features that reach the same centroids, in whatever order, go the same way from there:
+    one of them stays in the passes and stands for the others.  points must be a stored table: it is read once per pass.
     """
+    points = spread(points, len(specs))
     centres = init or seed_centroids(points, n_features, specs)
-    spread = points.agg(*[F.var_pop(f"x_{i}") for i in range(n_features)]).first()
-    limit = tol * float(np.mean([v or 0.0 for v in spread]))
+    variances = points.agg(*[F.var_pop(f"x_{i}") for i in range(n_features)]).first()
+    limit = tol * float(np.mean([v or 0.0 for v in variances]))
     live = list(centres)
     fits = [Fit(s, np.asarray(c), float("inf"), 0, 0) for s, c in zip(specs, centres)]
+    stands_for: dict = {}
     for step in range(max_iter + 1):
         cells = lloyd_pass(points, n_features, specs, live)
         for m, got in cells.items():
@@ -256,8 +289,21 @@ def fit_many(points: DataFrame, n_features: int, specs: list, max_iter: int = C.
             new = np.where(got[:, :1] > 0, got[:, 2:] / np.maximum(got[:, :1], 1), old)
             done = step == max_iter or float(((new - old) ** 2).sum()) <= limit
             live[m] = None if done else new
+        met: dict = {}
+        for m, centre in enumerate(live):
+            if centre is not None:
+                s = specs[m]
+                place = (s.mask, s.share, s.share < 1 and s.salt, centre[np.lexsort(centre.T)].tobytes())
+                if met.setdefault(place, m) != m:
+                    stands_for[m], live[m] = met[place], None
         if all(c is None for c in live):
             break
+    for m in sorted(stands_for, reverse=True):
+        first = m
+        while first in stands_for:
+            first = stands_for[first]
+        end = fits[first]
+        fits[m] = Fit(specs[m], end.centroids, end.inertia, end.iterations, end.rows, fits[m].history + end.history[len(fits[m].history):])
     return fits
 
 

@@ -55,8 +55,9 @@ def seed_stability(points, n_features, seeds=tuple(C.STABILITY_SEEDS), n_init: i
 
 
 def bootstrap_stability(points, n_features, samples: int = 30, share: float = 0.8, n_init: int = C.N_INIT, k: int = C.K_CLUSTERS):
-    """Each sample is a seeded row share, drawn inside the passes; scoring covers all rows."""
-    groups = {f"sample_{i}": Cl.restarts(k, n_init, 1000 + i, tag=f"b{i}", share=share) for i in range(samples)}
+    """Each replicate is one seeded row share that all its restarts see, drawn inside the passes; the best restart stands for
+    it.  Scoring covers all rows."""
+    groups = {f"sample_{i}": Cl.restarts(k, n_init, 1000 + i, tag=f"b{i}", share=share, sample=1000 + i) for i in range(samples)}
     return stability(points, n_features, Cl.restarts(k, n_init, C.SEED, tag="base"), groups)
 
 

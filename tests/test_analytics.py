@@ -231,6 +231,42 @@ def test_stability_jobs(spark):
     assert all(r["ari"] > 0.9 for r in rows)
 
 
+def test_bootstrap_replicate_is_one_sample(spark):
+    """All restarts of a replicate see the same rows: the fit equals Lloyd's method on that sample, done by hand."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(m, 0.06, (90, 2)) for m in (0.2, 0.5, 0.8)])
+    points = frame(spark, x)
+    pdf = points.toPandas()
+    xs, keys = pdf[["x_0", "x_1"]].to_numpy(), pdf["row_key"].to_numpy()
+    inside = Cl._uniform(keys, 1000 * 7919 + 17) < 0.8
+    assert 0.7 < inside.mean() < 0.9
+    specs = Cl.restarts(3, 5, 1000, share=0.8, sample=1000)
+    starts = Cl.seed_centroids(points, 2, specs)
+    for spec, start, fit in zip(specs, starts, Cl.fit_many(points, 2, specs, init=[s.copy() for s in starts])):
+        assert all((np.abs(xs[inside] - row).sum(1) < 1e-12).any() for row in start), "starts are rows of the sample"
+        c, limit = start, C.TOL * xs.var(0).mean()
+        for _ in range(C.MAX_ITER):
+            d = ((xs[inside][:, None] - c[None]) ** 2).sum(2)
+            new = np.array([xs[inside][d.argmin(1) == j].mean(0) for j in range(3)])
+            moved, c = ((new - c) ** 2).sum(), new if ((new - c) ** 2).sum() > limit else c
+            if moved <= limit:
+                break
+        order = lambda v: v[np.lexsort(v.T)]
+        assert fit.rows == inside.sum() and np.allclose(order(fit.centroids), order(c))
+        assert fit.inertia == pytest.approx(((xs[inside][:, None] - c[None]) ** 2).sum(2).min(1).sum())
+        assert len(fit.history) == fit.iterations + 1
+
+
+def test_equal_models_stand_for_each_other(spark, blobs):
+    points = frame(spark, blobs[0])
+    twins = [Cl.Spec("a", 3, 5), Cl.Spec("b", 3, 6), Cl.Spec("masked", 3, 6, mask=(1.0, 1.0, 0.0))]
+    start = Cl.seed_centroids(points, 3, twins[:1])[0]
+    a, b, masked = Cl.fit_many(points, 3, twins, init=[start, start[[2, 0, 1]], start])
+    alone = Cl.fit_many(points, 3, twins[:1], init=[start])[0]
+    assert np.allclose(np.sort(a.centroids, 0), np.sort(b.centroids, 0)) and a.inertia == pytest.approx(alone.inertia) == b.inertia
+    assert b.spec.name == "b" and b.iterations == a.iterations and len(b.history) == len(a.history) and masked.inertia < a.inertia
+
+
 def test_segment_pipeline_states(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame(rng.random((600, 6)), columns=C.DOMAINS).assign(
