@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINES = [
     "issuer_year_facts", "issuer_year_pivot", "engineer_credit_features", "sector_year_scores", "cluster_profile",
     "representatives", "score_companies", "apply_guardrails", "scenario_rescoring", "compare_to_cluster_profile",
-    "threshold_sensitivity", "silhouette", "kmeans_fit", "ward_hierarchy", "dbscan_grid",
+    "threshold_sensitivity", "silhouette_squared", "silhouette", "kmeans_fit", "ward_hierarchy", "dbscan_grid",
 ]
 
 

@@ -136,11 +136,88 @@ def silhouette_sample(points: DataFrame, label: str, features: list, keys: list,
     return ids.mapInPandas(score, "s double").agg(F.count("*").alias("rows"), F.avg("s").alias("silhouette"))
 
 
+def silhouette_euclidean(points: DataFrame, label: str, features: list, per_cluster: int = 4096) -> DataFrame:
+    """rows, silhouette_euclidean and its standard_error, over all rows.
+
+    Each row's mean distance to a cluster is estimated from a sample of about `per_cluster` of that cluster's rows, drawn with
+    probability in proportion to (distance to the centroid + its mean) and weighted by the inverse, which is unbiased; a
+    cluster of at most `per_cluster` rows is taken whole, so small tables give the exact value and an error of 0.  The
+    broadcast holds about clusters x `per_cluster` rows.  The error is the linearised one of Poisson sampling: each sampled
+    row's influence on the result is summed over all rows in the same pass.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = points.sparkSession
+    rows = points.filter(f"{label} is not null").select(F.col(label).cast("bigint").alias("l"), *[F.col(f).cast("double").alias(f) for f in features])
+    sums = {r["l"]: r for r in cluster_sums(rows, "l", features).collect()}  # one row per cluster
+    names, total = sorted(sums), sum(r["n"] for r in sums.values())
+    if not 2 <= len(names) < total:
+        return spark.range(1).selectExpr(f"cast({total} as bigint) as rows", "cast(null as double) as silhouette_euclidean", "cast(null as double) as standard_error")
+    by_label = lambda values: "map(" + ", ".join(f"{l}L, {v!r}D" for l, v in values.items()) + ")[l]"
+    away = "sqrt" + _norm(f"pow({f} - {by_label({l: float(r[f's_{f}'] / r['n']) for l, r in sums.items()})}, 2)" for f in features)
+    away = rows.withColumn("away", F.expr(away))
+    spread = {r["l"]: max(float(r["s"]), 1e-300) for r in away.groupBy("l").agg(F.sum("away").alias("s")).collect()}
+    # the sizes away + mean(away) sum to twice sum(away)
+    odds = "case " + " ".join(
+        f"when l = {l} then " + ("1D" if sums[l]["n"] <= per_cluster else f"least(1D, {per_cluster}D * (away + {spread[l] / sums[l]['n']!r}D) / {2 * spread[l]!r}D)")
+        for l in names) + " end"
+    # equal rows are told apart by their place; a task that runs again finds the same places
+    draw = (F.pmod(F.xxhash64(*features, F.monotonically_increasing_id()), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    sample = away.withColumn("p", F.expr(odds)).withColumn("u", draw).filter("u < p").select("l", "p", *features).toPandas()
+    x = sample[features].to_numpy()
+    own = np.searchsorted(names, sample["l"].to_numpy())
+    order = np.argsort(own, kind="stable")
+    x, own, p = x[order], own[order], sample["p"].to_numpy()[order]
+    starts = np.searchsorted(own, np.arange(len(names)))
+    sizes = np.array([sums[l]["n"] for l in names], float)
+    shared = spark.sparkContext.broadcast((x, p, own, starts, sizes, np.array(names)))
+
+    def score(batches):
+        x, p, own, starts, sizes, names = shared.value
+        square, weight, influence = (x * x).sum(1), 1 / p, np.zeros(len(x))
+        n, s = 0, 0.0
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                part = pdf.iloc[at:at + 512]
+                y, mine, i = part[features].to_numpy(), np.searchsorted(names, part["l"].to_numpy()), np.arange(len(part))
+                d = (y * y).sum(1)[:, None] - 2 * (y @ x.T) + square[None]
+                d = np.sqrt(np.maximum(d, 0.0, out=d), out=d)
+                d[d < 1e-7] = 0.0  # equal rows up to rounding
+                mean = np.add.reduceat(d * weight, starts, axis=1) / sizes
+                many = sizes[mine] > 1
+                a = mean[i, mine] * sizes[mine] / np.maximum(sizes[mine] - 1, 1)
+                mean[i, mine] = np.inf
+                near = mean.argmin(1)
+                b = mean[i, near]
+                top = np.maximum(np.maximum(a, b), 1e-300)
+                s += float(np.where(many, (b - a) / top, 0.0).sum())
+                n += len(part)
+                # derivatives of (b - a) / max(a, b) by the two sums of distances
+                da = np.where(a < b, -1 / top, -b / (top * top)) * many / np.maximum(sizes[mine] - 1, 1)
+                db = np.where(a < b, a / (top * top), 1 / top) * many / sizes[near]
+                slope = np.zeros((len(part), len(names)))
+                slope[i, mine] = da
+                slope[i, near] += db
+                for c in range(len(names)):
+                    here = slice(starts[c], starts[c + 1] if c + 1 < len(starts) else len(x))
+                    influence[here] += slope[:, c] @ d[:, here]
+        out = pd.DataFrame({"j": np.arange(len(x)), "z": influence})
+        yield pd.concat([pd.DataFrame({"j": [-1], "z": [s]}), out[(p < 1) & (influence != 0)]])[["j", "z"]]
+
+    got = rows.mapInPandas(score, "j long, z double").groupBy("j").agg(F.sum("z").alias("z"))
+    shares = spark.createDataFrame(pd.DataFrame({"j": np.arange(len(p)), "p": p})[p < 1], "j long, p double")
+    both = got.join(F.broadcast(shares), "j", "left")
+    return both.agg(
+        F.lit(total).cast("bigint").alias("rows"), (F.sum(F.expr("case when j = -1 then z end")) / total).alias("silhouette_euclidean"),
+        (F.sqrt(F.coalesce(F.sum(F.expr("case when j >= 0 then (1 - p) * z * z / (p * p) end")), F.lit(0.0))) / total).alias("standard_error"))
+
+
 def validity(points: DataFrame, label: str, features: list, by: list = ()) -> DataFrame:
     """All indices of one or many labelings in one table.
 
-    silhouette_squared uses squared distances and is not comparable with the Euclidean silhouette, which needs all
-    pairs of rows (`silhouette_sample` computes that one for a sample of a size the caller gives)."""
+    silhouette_squared uses squared distances and is not comparable with the Euclidean silhouette, which
+    `silhouette_euclidean` estimates over all rows."""
     sums = cluster_sums(points, label, features, by)
     by = list(by)
     if not by:

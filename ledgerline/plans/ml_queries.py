@@ -132,11 +132,29 @@ def _(d):
     return validity(d).selectExpr(f"{X.rounded('davies_bouldin')} as davies_bouldin")
 
 
-@query("silhouette", SIL)
+@query("silhouette_squared", SIL)
 def _(d):
     return validity(d).selectExpr(f"{X.rounded('silhouette_squared')} as silhouette_squared")
 
 
+CTES["apart"] = "SELECT a.ticker, a.fiscal_year, a.cluster AS own, b.cluster, count(*) AS n, sum(sqrt(" + "+".join(f"(a.x_{i}-b.x_{i})*(a.x_{i}-b.x_{i})" for i in range(6)) + ")) AS s FROM pts a, pts b GROUP BY 1, 2, 3, 4"
+CTES["euclid"] = """SELECT avg(CASE WHEN n=1 THEN 0 ELSE (b-a)/greatest(a,b) END) AS s, count(*) AS rows FROM (
+ SELECT ticker, fiscal_year, max(CASE WHEN own=cluster THEN n END) AS n, max(CASE WHEN own=cluster THEN s/nullif(n-1,0) END) AS a,
+ min(CASE WHEN own<>cluster THEN s/n END) AS b FROM apart GROUP BY 1,2)"""
+
+
+@query("silhouette", f"SELECT {r('s')} AS silhouette FROM euclid")
+def _(d):
+    """The Euclidean index; exact while a cluster has at most 4096 rows, an estimate over all rows beyond."""
+    return Me.silhouette_euclidean(keyed_points(d), "cluster", POINTS).selectExpr(f"{X.rounded('silhouette_euclidean')} as silhouette")
+
+
+@query("silhouette_euclidean", f"SELECT rows, {r('s')} AS silhouette_euclidean, 0::DOUBLE AS standard_error FROM euclid")
+def _(d):
+    return Me.silhouette_euclidean(keyed_points(d), "cluster", POINTS).selectExpr(
+        "rows", f"{X.rounded('silhouette_euclidean')} as silhouette_euclidean", f"{X.rounded('standard_error')} as standard_error")
+
+
 @query("valid_metric_guard", "SELECT 'cluster' AS labels, count(DISTINCT cluster) AS clusters, count(*) AS rows, count(DISTINCT cluster)>=2 AND count(DISTINCT cluster)<count(*) AS valid FROM pts UNION ALL SELECT 'one', 1, count(*), false FROM pts")
 def _(d):
     both = points(d).selectExpr("inline(array(named_struct('labels', 'cluster', 'v', cluster), named_struct('labels', 'one', 'v', 1)))", *POINTS)

@@ -112,6 +112,24 @@ def test_validity_against_brute_force(spark, blobs):
     assert sample["rows"] == n and sample["silhouette"] == pytest.approx(euclid_silhouette(x, label))
 
 
+def test_euclidean_silhouette_and_its_error(spark):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(m, s, (n, 3)) for m, s, n in ((0.2, 0.1, 900), (0.5, 0.15, 500), (0.8, 0.05, 40))] + [np.full((5, 3), 0.2), [[0.9, 0.1, 0.9]]])
+    y = np.r_[np.repeat([4, 7, 9], [900, 500, 40]), np.full(5, 4), 11]
+    points, xs = frame(spark, x, label=y), ["x_0", "x_1", "x_2"]
+    exact = euclid_silhouette(x, y)
+    whole = Me.silhouette_euclidean(points, "label", xs).first()
+    assert whole["rows"] == len(x) and whole["silhouette_euclidean"] == pytest.approx(exact, abs=1e-9) and whole["standard_error"] == 0
+    errors = []
+    for i in range(6):  # other values of the hash, other samples
+        moved = points.selectExpr("label", *[f"{c} + {i}D as {c}" for c in xs])
+        got = Me.silhouette_euclidean(moved, "label", xs, per_cluster=100).first()
+        errors.append((got["silhouette_euclidean"] - exact) / got["standard_error"])
+        assert 0 < got["standard_error"] < 0.02
+    assert max(map(abs, errors)) < 4 and np.mean(np.square(errors)) < 4
+    assert Me.silhouette_euclidean(points.filter("label = 4"), "label", xs).first()["silhouette_euclidean"] is None
+
+
 def brute_dbscan(x, eps, m):
     near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
     core = near.sum(1) >= m
