@@ -3,11 +3,13 @@
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at a time inside a task; one longer text is handled alone.
@@ -69,30 +71,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-_BASE = 0x2545F4914F6CDD1D
-_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+class Numbers(dict):
+    """A number for each distinct key, in order of first use: equal numbers mean equal keys."""
 
+    def __missing__(self, key) -> int:
+        self[key] = len(self)
+        return self[key]
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
 
+class WordHashes(dict):
+    """The 64-bit XXH3 hash of each word, computed once per word that is held."""
 
-class Spans:
-    """64-bit hashes of any number of spans of a byte array, each in constant time."""
+    def __missing__(self, word: bytes) -> int:
+        self[word] = xxhash.xxh3_64_intdigest(word, 0x5851F42D4C957F2D)
+        return self[word]
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = _power_tables(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_CODES[data] * self.up[: len(data)], out=self.sums[1:])
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U))
+def coded(lists: list[list[bytes]], codes: dict, kind=np.int64) -> np.ndarray:
+    """The code of every word of all lists."""
+    return np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), kind, sum(map(len, lists)))
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

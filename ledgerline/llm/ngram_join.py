@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import stored
-from .common import U, Spans, chunks, joined, mapped, mix, texts, words_of
+from .common import U, WordHashes, chunks, coded, mapped, mix, texts
 
 #: Words in an n-gram, and the least Jaccard similarity of a link in percent.
 WORDS, PERCENT = 5, 75
@@ -50,9 +50,8 @@ def kept(n: str) -> str:
 
 def ngram_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit n-gram hashes of each text in ascending order, and where each text's end."""
-    data, offsets = joined([v.lower() for v in values])  # A-Z only: the bytes of other letters stay
-    starts, ends, counts = words_of(data, offsets)
-    words = Spans(data).hashes(starts, ends)
+    lists = [v.lower().split() for v in values]  # A-Z only: the bytes of other letters stay
+    words, counts = coded(lists, WordHashes(), U), np.array([len(w) for w in lists], np.int64)
     n, total = len(words), np.cumsum(counts)
     left = np.repeat(total, counts) - np.arange(n)
     grams = np.minimum(left, WORDS).astype(U) * _FACTORS[WORDS]
@@ -106,8 +105,8 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             grams, sizes = ngram_sets(texts(batch))
             fresh = np.zeros(len(sizes), bool)  # of equal sets in a task one counts
             for i, s in enumerate(signatures(grams, sizes)):
-                if s is not None and s[0] not in seen:
-                    seen.add(s[0])
+                if s is not None and s not in seen:
+                    seen.add(s)
                     fresh[i] = True
             held.append((grams[np.repeat(fresh, np.diff(sizes, prepend=0))] >> U(64 - SLOT_BITS)).astype(np.uint32))
             size += len(held[-1])

@@ -9,15 +9,14 @@ window of several words instead of one, and anchors may stand some words apart:
 occurrence to look at, and a text of one repeated word has about 4n per range instead of n^2 / 2.
 """
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, compress, count
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, mapped, texts
+from .common import Numbers, chunks, coded, mapped, texts
 from .repetition import suffix_order
 
 #: Earlier occurrences that are expanded at a time.
@@ -135,8 +134,7 @@ def periodic_runs(docs: DataFrame, min_length: int = 12) -> DataFrame:
             sizes = np.array([len(w) for w in lists], np.int64)
             ends = np.cumsum(sizes)
             begins, total = ends - sizes, int(ends[-1])
-            numbers = defaultdict(count().__next__)
-            symbols = np.fromiter(map(numbers.__getitem__, chain.from_iterable(lists)), np.int64, total)
+            symbols = coded(lists, Numbers())
             doc = np.repeat(np.arange(len(lists)), sizes)
             start, length, period = find_runs(symbols * len(lists) + doc, ends[doc] - np.arange(total), min_length)
             steps = np.zeros(total + 1, np.int64)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLANK, Spans, U, chunks, joined, mapped, mix, texts, words_of
+from .common import BLANK, Numbers, chunks, coded, joined, mapped, texts, words_of
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -19,7 +19,7 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 def suffix_order(symbols: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array by prefix doubling, and the ranks after each doubling.
 
-    `symbols`: one hash per word, different in different documents; `left`: words to the end of the document,
+    `symbols`: one number per word, different in different documents; `left`: words to the end of the document,
     this one included.  Rank arrays hold equal numbers where the next 2^k words are equal.  Only suffixes that
     still share their rank are sorted again.
     """
@@ -97,13 +97,12 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 def measures(values: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
     """The counts of each text."""
     data, offsets = joined(values)
-    starts, ends, n_words = words_of(data, offsets)
-    spans = Spans(data)
+    starts, _, n_words = words_of(data, offsets)
     word_at = np.zeros(len(values) + 1, np.int64)
     np.cumsum(n_words, out=word_at[1:])
     text_of = np.repeat(np.arange(len(values)), n_words)
-    salt = mix(np.arange(1, len(values) + 1, dtype=U))
-    words = spans.hashes(starts, ends)
+    # equal for equal words of one text only; no hash stands for a word, a line or a window
+    words = np.unique(coded([v.split() for v in values], Numbers()) * len(values) + text_of, return_inverse=True)[1]
 
     # lines with a word that equal an earlier line of the text
     edge = np.zeros(len(data) + 1, bool)
@@ -116,7 +115,9 @@ def measures(values: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
     used = np.searchsorted(starts, line_to) > np.searchsorted(starts, line_from)
     line_from, line_to = line_from[used], line_to[used]
     line_text = np.searchsorted(offsets, line_from, "right") - 1
-    keys = mix(spans.hashes(line_from, line_to) ^ salt[line_text])
+    lines = Numbers()
+    at = offsets[line_text]
+    keys = np.array([lines[i, values[i][x:y]] for i, x, y in zip(line_text.tolist(), (line_from - at).tolist(), (line_to - at).tolist())], np.int64)
     distinct = np.unique(keys, return_index=True)[1]
     dup_lines = np.bincount(line_text, minlength=len(values)) - np.bincount(line_text[distinct], minlength=len(values))
 
@@ -125,14 +126,14 @@ def measures(values: list[bytes], min_repeat: int) -> dict[str, np.ndarray]:
     marks = np.zeros(n, bool)
     at = np.flatnonzero(left >= WINDOW)
     if len(at):
-        key = salt[text_of[at]]
-        for k in range(WINDOW):
-            key = mix(key + words[at + k])
+        key = words[at]
+        for k in range(1, WINDOW):
+            key = np.unique(key * n + words[at + k], return_inverse=True)[1]
         at = at[repeated(key)]
         for k in range(WINDOW):
             marks[at + k] = True
 
-    best = longest_repeats(mix(words ^ salt[text_of]), left)
+    best = longest_repeats(words, left)
     spans_from = np.flatnonzero(best >= min_repeat)
     steps = np.zeros(n + 1, np.int64)
     np.add.at(steps, spans_from, 1)
