@@ -1,5 +1,8 @@
 """Helpers of the operators that read whole texts in Arrow batches."""
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -33,10 +36,25 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on from stage to stage, and what it holds adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
     """`rows` through a function from Arrow batches to Arrow batches."""
     ship(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(task, schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
