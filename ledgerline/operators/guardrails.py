@@ -71,6 +71,17 @@ def apply_guardrails(df: DataFrame, external_rating: str | None = None, rules=No
     return df.drop(*marks.values())
 
 
+def guardrail_levels(df: DataFrame, variants: dict, keys=()) -> DataFrame:
+    """keys, variant, guardrail_level: the level of every row under each rule table, from one scan."""
+    def level(rules):
+        found = guardrail_rules(df, rules)
+        hits = {sev: " or ".join(cond for _, _, s, cond in found if s == sev) for sev in reversed(C.SEVERITIES[1:])}
+        return "case " + " ".join(f"when {cond} then {text(sev)}" for sev, cond in hits.items() if cond) + " else 'Clear' end"
+
+    rows = ", ".join(f"named_struct('variant', {text(name)}, 'guardrail_level', {level(rules)})" for name, rules in variants.items())
+    return df.selectExpr(*keys, f"inline(array({rows}))")
+
+
 def _texts(df: DataFrame, any_of) -> dict:
     have = set(df.columns)
 

@@ -181,6 +181,12 @@ def value_counts(df: DataFrame, c: str) -> DataFrame:
     return df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy(F.desc("n"), c)
 
 
+def value_counts_of(df: DataFrame, cols: list) -> DataFrame:
+    """what (the column), value (as text), n for the values of several columns, from one scan."""
+    pairs = ", ".join(f"named_struct('what', '{c}', 'value', cast({c} as string))" for c in cols)
+    return df.selectExpr(f"inline(array({pairs}))").filter("value is not null").groupBy("what", "value").agg(F.count("*").alias("n"))
+
+
 def facts_summary(facts: DataFrame) -> DataFrame:
     return facts.agg(
         F.count("*").alias("rows"),

@@ -80,6 +80,12 @@ def label_maps(ranked: DataFrame, segment: str = C.TARGET_SEGMENT) -> tuple[dict
     return labels, {int(x["cluster"]): int(x["rating_style_rank"]) for x in rows if x["rating_style_rank"] is not None}
 
 
+def label_table(ranked: DataFrame, segment: str = C.TARGET_SEGMENT) -> DataFrame:
+    """cluster, label, rank of one segment as a table."""
+    return ranked.filter(F.col(C.SEGMENT_COL) == segment).dropna(subset=["cluster"]).select(
+        F.col("cluster").cast("int").alias("cluster"), F.col("rating_style_label").alias("label"), F.col("rating_style_rank").cast("int").alias("rank"))
+
+
 def _unique_text(c: str, n: int, separator: str):
     pairs = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("row_in_group", F.col(c).cast("string").alias("v")))))
     return F.array_join(F.slice(F.array_distinct(F.transform(pairs, lambda p: p["v"])), 1, n), separator)
@@ -135,6 +141,13 @@ def crosstab(df: DataFrame, a: str, b: str, normalize: str | None = None) -> Dat
     return counts.withColumn("share", F.col("n") / F.sum("n").over(over))
 
 
+def crosstab_shares(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Counts of all label pairs with their shares of row, column and whole table, from one count."""
+    counts = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count("*").alias("n"))
+    over = {"row_share": W.partitionBy(a), "column_share": W.partitionBy(b), "share": W.partitionBy(F.lit(1))}  # label pairs only
+    return counts.withColumns({name: F.col("n") / F.sum("n").over(w) for name, w in over.items()})
+
+
 def monotonicity(ranked: DataFrame, features=None) -> DataFrame:
     """Does each risk median rise with the rank?  One row per feature and rank."""
     features = [f"median_{f}" for f in (features or [*C.DOMAINS, "scorecard_credit_score"])]

@@ -28,6 +28,7 @@ def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = N
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v_")).agg(
         F.count("*").alias("c_"), *[c.alias(name) for name, c in carry.items()])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(counted, "counted")  # dealing by ranges reads it twice: once to find them
     parts = stored(counted.repartitionByRange(n, *keys, "v_").withColumn("part_", F.spark_partition_id()), "parts")
     totals = parts.groupBy(*keys, "part_").agg(F.sum("c_").alias("rows_"), *[F.max(c).alias(c) for c in carry])
     group = W.partitionBy(*keys)  # one row per part of a group
@@ -48,19 +49,21 @@ def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = N
         *[F.max(f"k_{c}").alias(c) for c in carry], ((at(low) + at(high)) / 2).alias(value)).select(*keys, *carry, value)
 
 
-def _ranked(counted: DataFrame, keys: list, rank) -> DataFrame:
-    """keys, value: the value at one rank (from 0) per group, from rows (keys, n_, below_, v_, c_).
+def _ranked(counted: DataFrame, keys: list) -> DataFrame:
+    """keys (rank_ among them, from 0), n_, value: the value at rank_, from rows (keys, n_, below_, v_, c_).
 
     Until every group has at most LAST values, its values are cut into SLICES and the one slice that holds the rank
     stays; what lies below it joins below_.  A round shrinks the range of a group by that factor, so the loop ends when
     few values, or one, are left."""
     same = lambda other: [F.col(k).eqNullSafe(F.col(f"{other}{k}")) for k in keys]
-    holds = (F.col("end_") > rank) & (F.col("end_") - F.col("s_") <= rank)
+    holds = (F.col("end_") > F.col("rank_")) & (F.col("end_") - F.col("s_") <= F.col("rank_"))
     while True:
         ends = counted.groupBy(*keys).agg(F.min("v_").alias("lo_"), F.max("v_").alias("hi_"), F.count("*").alias("values_"))
-        ends = stored(ends.select(*[F.col(k).alias(f"e_{k}") for k in keys], "lo_", "hi_", "values_"), "ends")
-        if not ends.filter(f"values_ > {LAST} and (hi_ - lo_) > abs(hi_) * 1e-13").limit(1).count():
+        ends = ends.select(*[F.col(k).alias(f"e_{k}") for k in keys], "lo_", "hi_", "values_")
+        rows = ends.collect()  # one row per label, column and rank
+        if not any(r["values_"] > LAST and r["hi_"] - r["lo_"] > abs(r["hi_"]) * 1e-13 for r in rows):
             break
+        ends = F.broadcast(counted.sparkSession.createDataFrame(rows, ends.schema))
         slice_ = F.least(F.floor((F.col("v_") - F.col("lo_")) / (F.col("hi_") - F.col("lo_")) * SLICES), F.lit(SLICES - 1)).cast("int")
         sliced = counted.join(ends, same("e_")).withColumn("slice_", F.when(F.col("hi_") > F.col("lo_"), slice_).otherwise(0)).select(*counted.columns, "slice_")
         upto = W.partitionBy(*keys).orderBy("slice_").rowsBetween(W.unboundedPreceding, 0)  # at most SLICES rows
@@ -71,18 +74,19 @@ def _ranked(counted: DataFrame, keys: list, rank) -> DataFrame:
             *keys, "n_", F.col("now_").alias("below_"), "v_", "c_"), "narrowed")
     order = W.partitionBy(*keys).orderBy("v_").rowsBetween(W.unboundedPreceding, 0)  # at most LAST rows
     return counted.withColumnRenamed("c_", "s_").withColumn("end_", F.sum("s_").over(order) + F.col("below_")).filter(holds).select(
-        *[F.col(k).alias(k) for k in keys], "n_", F.col("v_").alias("value"))
+        *keys, "n_", F.col("v_").alias("value"))
 
 
 def _pick(counted: DataFrame, keys: list, prob) -> DataFrame:
-    """Linear-interpolated quantile from (keys, n_, below_, v_, c_): below_ rows lie below the values given."""
+    """Linear-interpolated quantile from (keys, n_, below_, v_, c_): below_ rows lie below the values given.  The ranks on both
+    sides of the quantile are found in the same rounds."""
     place = prob * (F.col("n_") - 1)
-    low = _ranked(counted, keys, F.floor(place)).withColumnRenamed("value", "a_")
-    high = _ranked(counted, keys, F.ceil(place)).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("value").alias("b_"))
-    both = low.join(high, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys])
+    ranks = F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank_")
+    found = _ranked(counted.select("*", ranks), [*keys, "rank_"]).groupBy(*keys, "n_").agg(
+        F.min_by("value", "rank_").alias("a_"), F.max_by("value", "rank_").alias("b_"))
     share = place - F.floor(place)
     value = F.when(F.col("a_") == F.col("b_"), F.col("a_")).otherwise(F.col("a_") + (F.col("b_") - F.col("a_")) * share)
-    return both.select(*keys, value.alias("picked_"))
+    return found.select(*keys, value.alias("picked_"))
 
 
 def label_quantiles(df: DataFrame, keys: list, cols: list, probs: list) -> DataFrame:

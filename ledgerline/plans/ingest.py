@@ -63,7 +63,7 @@ def _(d):
     T.ingest_remaining(d.spark, facts.join(some, "ticker", "left_semi"), out)
     for _ in range(2):
         T.ingest_remaining(d.spark, facts, out)
-    return fact_shape(d.spark.read.parquet(out))
+    return fact_shape(T.stored_facts(d.spark, out))
 
 
 @query("parquet_footprint")
@@ -147,12 +147,7 @@ def _(d):
  UNION ALL SELECT 'industry_title', industry_title, count(*) FROM enriched WHERE industry_title IS NOT NULL GROUP BY ALL
  UNION ALL SELECT 'industry', industry, count(*) FROM enriched GROUP BY ALL""")
 def _(d):
-    e = enriched(d)
-    parts = [
-        P.value_counts(e, c).selectExpr(f"'{c}' as what", f"cast({c} as string) as value", "n")
-        for c in ("sic", "industry_title", "industry")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return P.value_counts_of(enriched(d), ["sic", "industry_title", "industry"])
 
 
 @query("sic_audit", """SELECT sic, industry_title, count(*) AS company_count,

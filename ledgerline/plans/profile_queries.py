@@ -148,11 +148,8 @@ CTES["xtab"] = "SELECT cluster, band, count(*) AS n FROM alt WHERE band IS NOT N
 
 @query("label_crosstab", f"SELECT cluster, band, n, {r('n/sum(n) OVER (PARTITION BY cluster)::DOUBLE')} AS row_share, {r('n/sum(n) OVER (PARTITION BY band)::DOUBLE')} AS column_share, {r('n/sum(n) OVER ()::DOUBLE')} AS share FROM xtab")
 def _(d):
-    labels = with_band(d).select("cluster", "band")
-    parts = [Pr.crosstab(labels, "cluster", "band", how) for how in ("index", "columns", "all")]
-    names = ["row_share", "column_share", "share"]
-    parts = [p.selectExpr("cluster", "band", "n", f"{X.rounded('share')} as {n}") for p, n in zip(parts, names)]
-    return parts[0].join(parts[1].drop("n"), ["cluster", "band"]).join(parts[2].drop("n"), ["cluster", "band"])
+    table = Pr.crosstab_shares(with_band(d).select("cluster", "band"), "cluster", "band")
+    return X.with_exprs(table, {name: X.rounded(name) for name in ("row_share", "column_share", "share")})
 
 
 @query("profile_monotonicity", " UNION ALL ".join(
@@ -174,8 +171,7 @@ def _(d):
 
 @query("rating_label_maps", "SELECT cluster, rating_style_label AS label, rating_style_rank AS rank FROM ranked WHERE financial_flag='Non-financial'")
 def _(d):
-    labels, ranks = Pr.label_maps(ranked(d))
-    return d.spark.createDataFrame([(c, labels[c], ranks.get(c)) for c in labels], "cluster int, label string, rank int")
+    return Pr.label_table(ranked(d))
 
 
 _gap = "+".join(f"coalesce(pow(c.{f}-m.{f},2),0)" for f in C.DOMAINS)

@@ -83,7 +83,7 @@ class Data:
 
     def iyf(self) -> DataFrame:
         """One pass over the facts; the result per issuer, year and item is a stored table."""
-        return self.once("iyf", lambda: P.issuer_year_facts(self.facts(), FIRST_YEAR, LAST_YEAR))
+        return self.once("iyf", lambda: stored(P.issuer_year_facts(self.facts(), FIRST_YEAR, LAST_YEAR), "iyf"))
 
     def panel(self) -> DataFrame:
         return P.complete_panel(P.pivot_panel(self.iyf()))

@@ -153,16 +153,8 @@ for _i, _v in enumerate(Ro.GUARDRAIL_VARIANTS.values()):
 @query("guardrail_sensitivity", " UNION ALL ".join(
     f"SELECT '{n}' AS variant, guardrail_level, count(*) AS rows FROM gv{'abcde'[i]} GROUP BY 2" for i, n in enumerate(Ro.GUARDRAIL_VARIANTS)))
 def _(d):
-    scored = d.scored()
-    parts = [
-        Gu.apply_guardrails(scored, rules=Ro.scaled_guardrails(v), texts=False).groupBy("guardrail_level")
-        .agg(F.count("*").alias("rows")).withColumn("variant", F.lit(n))
-        for n, v in Ro.GUARDRAIL_VARIANTS.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("variant", "guardrail_level", "rows")
+    variants = {name: Ro.scaled_guardrails(v) for name, v in Ro.GUARDRAIL_VARIANTS.items()}
+    return Gu.guardrail_levels(d.scored(), variants).groupBy("variant", "guardrail_level").agg(F.count("*").alias("rows"))
 
 
 def _soft(t):

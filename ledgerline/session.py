@@ -52,12 +52,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str, folders: bool = False) -> list[str]:
+    """Names in a folder, or only those of folders; none if it is not there."""
+    store, at = _at(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at) if f.isDirectory() or not folders] if store.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = _at(spark, path)
+    store.delete(at, True)
+
+
 def drop_folders(spark: SparkSession) -> int:
     """Delete all folders that `new_folder` named in this application; frames that read them end with it."""
     made = _made.pop(spark.sparkContext.applicationId, [])
     for folder in made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, folder)
     return len(made)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import constants as C
 from ..functions.scalars import require_columns
 from ..operators.panel import missing_keys
+from ..session import listed
 
 FACT_SCHEMA = (
     "ticker string, cik string, company_name string, sic string, concept string, label string, "
@@ -77,12 +78,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def ingest_remaining(spark: SparkSession, incoming: DataFrame, out: str, key: str = "ticker") -> DataFrame:
-    """Append only the keys that are not stored yet; a repeated call adds nothing.  A store that is there but cannot be
-    read is an error, not an empty store."""
-    rest = missing_keys(incoming, spark.read.parquet(out), key) if exists(spark, out) else incoming
-    write_facts(rest, out, mode="append")
-    return spark.read.parquet(out)
+def batches_done(spark: SparkSession, out: str) -> DataFrame:
+    """batch_id of every load that has ended.  Their list lies in a folder that readers of the facts skip."""
+    path = f"{out}/_batches"
+    return spark.read.schema("batch_id string").parquet(path) if exists(spark, path) else spark.createDataFrame([], "batch_id string")
+
+
+def batch_name(rows: DataFrame) -> str:
+    """A name that the same rows always get, in whatever order."""
+    count, total = rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+    return f"{count}-{total or 0}"
+
+
+def ingest_remaining(spark: SparkSession, incoming: DataFrame, out: str, key: str = "ticker", batch: str | None = None) -> DataFrame:
+    """Add the keys that no ended load has brought; a repeated call adds nothing.
+
+    Rows carry the load's `batch_id` (by default made from the rows) as a partition column.  A load writes its partitions, and
+    its name last; one that was stopped in between has no name, so the same call finds the same keys missing and replaces
+    the partitions that are there.  A store that is there but cannot be read is an error, not an empty store."""
+    odd = [f for f in listed(spark, out) if not f.startswith(("batch_id=", "_", "."))]
+    if odd:
+        raise ValueError(f"{out} is not a store of loads: it holds {odd[0]}")
+    batch = batch or batch_name(incoming)
+    done = batches_done(spark, out)
+    if not done.filter(F.col("batch_id") == batch).limit(1).count():
+        stored = exists(spark, out) and done.limit(1).count()
+        rest = missing_keys(incoming, stored_facts(spark, out), key) if stored else incoming
+        rows = rest.withColumn("batch_id", F.lit(batch)).hint("rebalance", "fiscal_year")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", C.FACTS_PER_FILE).partitionBy(
+            "batch_id", "fiscal_year").parquet(out)
+        spark.createDataFrame([(batch,)], "batch_id string").coalesce(1).write.mode("append").parquet(f"{out}/_batches")
+    return stored_facts(spark, out)
+
+
+def stored_facts(spark: SparkSession, out: str) -> DataFrame:
+    """The facts of all loads that have ended; what a stopped load left is not shown."""
+    return spark.read.parquet(out).join(batches_done(spark, out), "batch_id", "left_semi").drop("batch_id")
 
 
 def footprint(spark: SparkSession, path: str) -> DataFrame:
