@@ -4,6 +4,7 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -46,6 +47,18 @@ SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+class WordNumbers:
+    """Number of the word that starts at a place of a padded text; the blanks are looked for once, at the first question."""
+
+    def __init__(self, padded: str):
+        self.padded, self.blanks = padded, None
+
+    def __call__(self, place: int) -> int:
+        if self.blanks is None:
+            self.blanks = np.flatnonzero(np.frombuffer(self.padded.encode("latin-1"), np.uint8) == 32)
+        return int(np.searchsorted(self.blanks, place)) - 1
+
+
 class Scanner:
     """Seeds of all notices in one automaton, and a bounded-error pattern for each notice.
 
@@ -70,12 +83,12 @@ class Scanner:
 
     def base(self, padded: str) -> list[tuple[int, str]]:
         """Word number and label of every place of an exact phrase."""
-        return [(padded.count(" ", 0, m.start()) - 1, label)
-                for pattern, plain, label in self.exact if plain in padded for m in pattern.finditer(padded)]
+        number = WordNumbers(padded)
+        return [(number(m.start()), label) for pattern, plain, label in self.exact if plain in padded for m in pattern.finditer(padded)]
 
     def fuzzy(self, padded: str) -> list[tuple[str, int, int, int, str]]:
         """Label, first word, number of words, edits and text of the notices found, at word bounds."""
-        candidates: dict[int, list[int]] = {}
+        number, candidates = WordNumbers(padded), {}
         for end, (size, uses) in self.seeds.iter(padded):
             for i, at in uses:
                 candidates.setdefault(i, []).append(end + 1 - size - at)
@@ -99,7 +112,7 @@ class Scanner:
                     span = padded[a:b]
                     words = span.split(" ")
                     if all(key in words for key in n.keys):
-                        out.add((n.label, padded.count(" ", 0, a) - 1, len(words), sum(m.fuzzy_counts), span, len(n.text)))
+                        out.add((n.label, number(a), len(words), sum(m.fuzzy_counts), span, len(n.text)))
         return sorted(out)
 
     def scan(self, text: bytes) -> dict:

@@ -70,17 +70,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float], rest: float = 0.0
     if "" in weights:
         raise ValueError("the empty name stands for all other sources")
     own = [c for c in docs.columns if c not in ("mix_mean", "mix_copy", "mix_key")]
-    means = source_means(docs, weights, rest, epochs).select(F.col("bucket").alias("__bucket"), "mean")
-    pieces = F.greatest(F.ceil(F.col("mean") / PIECE).cast("int"), F.lit(1))
-    draws = F.transform(F.sequence(F.lit(1), pieces), lambda k: poisson_count(uniform(seed, F.col("doc_id"), k), F.col("mean") / pieces))
+    means = source_means(docs, weights, rest, epochs).withColumnsRenamed({"mean": "mix_mean"})
+    pieces = F.greatest(F.ceil(F.col("mix_mean") / PIECE).cast("int"), F.lit(1))
+    doc = F.col("row.doc_id")
+    draws = F.transform(F.sequence(F.lit(1), pieces), lambda k: poisson_count(uniform(seed, doc, k), F.col("mix_mean") / pieces))
     count = F.aggregate(draws, F.lit(0), lambda a, n: a + n)
+    # the columns of `docs` travel in one struct, so none of them can meet a name that is used here
     return (
-        docs.select(*own).join(F.broadcast(means), bucket(weights) == F.col("__bucket"))  # bounded by `weights`
-        .withColumn("__n", count).filter("__n > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-        .withColumn("mix_key", uniform(seed + 1, F.col("doc_id"), F.col("mix_copy")))
-        .select(*own, F.col("mean").alias("mix_mean"), "mix_copy", "mix_key")
+        docs.select(F.struct(*own).alias("row"), bucket(weights).alias("bucket")).join(F.broadcast(means), "bucket")  # bounded by `weights`
+        .select("row", "mix_mean", count.alias("copies")).filter("copies > 0")
+        .select("row", "mix_mean", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
+        .withColumn("mix_key", uniform(seed + 1, doc, F.col("mix_copy")))
         .repartition("mix_key").sortWithinPartitions("mix_key")
+        .select("row.*", "mix_mean", "mix_copy", "mix_key")
     )
 
 

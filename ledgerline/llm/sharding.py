@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from ..session import stored
 
-#: Slices of a bracket in one counting pass, and passes by value before ties are split by a hash.
-SLICES, VALUE_PASSES = 1024, 2
+#: Slices of a bracket in one counting pass.
+SLICES = 1024
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_place")
 
 
@@ -33,8 +33,8 @@ def kd_tree(points: DataFrame, shards: int) -> DataFrame:
 
     A node stands for `leaves` shards from number `shard` on; it is cut in two with the bytes in the ratio of
     the leaves on either side.  The median comes from counting passes over all points: sums per slice of the
-    node's bracket, then per slice of the slice that holds the median, then the rows with about one value are
-    ordered by a hash.  Each pass returns one row per node.
+    node's bracket, then per slice of the slice that holds the median, and so on until that slice holds one
+    value; the rows with this value are ordered by a hash.  Each pass returns one row per node.
     """
     spark = points.sparkSession
     tree = points.select("*", F.lit(0).alias("shard"), F.lit(shards).alias("leaves"))
@@ -46,8 +46,8 @@ def kd_tree(points: DataFrame, shards: int) -> DataFrame:
             .select("shard", "leaves", "widest.*", F.expr("cast(bytes as double) * ((leaves + 1) div 2) / leaves").alias("goal"),
                     F.lit(0.0).alias("before")), "nodes")
         value = F.element_at(F.array(*DIMENSIONS), F.col("dim") + 1)
-        for step in range(VALUE_PASSES + 1):
-            by_tie = step == VALUE_PASSES
+        by_tie = False
+        while True:
             inside = tree.join(nodes.drop("leaves"), "shard").withColumn("value", value).filter("value >= low and value <= high")
             place = F.col("tie") if by_tie else F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
             inside = inside.withColumn("slice", F.least(F.floor(place * SLICES), F.lit(SLICES - 1)).cast("int"))
@@ -66,6 +66,9 @@ def kd_tree(points: DataFrame, shards: int) -> DataFrame:
             else:
                 cut = cut.select("shard", "dim", F.col("lo").alias("low"), F.col("hi").alias("high"), "goal", (F.col("sum") - F.col("bytes")).alias("before"))
             nodes = stored(cut if by_tie else cut.withColumn("leaves", F.lit(0)), "nodes")
+            if by_tie:
+                break
+            by_tie = not nodes.filter("high > low").limit(1).count()
         left = (F.col("value") < F.col("low")) | ((F.col("value") <= F.col("high")) & (F.col("tie") < F.col("tie_cut")))
         half = F.expr("(leaves + 1) div 2")
         tree = stored(
