@@ -69,11 +69,6 @@ def _uniform(keys: np.ndarray, salt) -> np.ndarray:
     return out if np.ndim(salt) else out[:, 0]
 
 
-def _sq(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] - 2.0 * (x @ centres.T) + (centres * centres).sum(1)[None, :]
-    return np.maximum(d, 0.0)
-
-
 class Stack:
     """Models with the same number of centroids, compared with rows in one matrix product.
 
@@ -177,44 +172,6 @@ def seed_centroids(points: DataFrame, n_features: int, specs: list) -> list:
     return centres
 
 
-def spread_centroids(points: DataFrame, n_features: int, spec: Spec, rounds: int = 5) -> np.ndarray:
-    """Starts for a model with many clusters: a few rounds draw many rows at once by squared distance, then weighted
-    k-means++ picks k of the candidates, each weighted by the rows nearest to it (k-means||)."""
-    names = [f"x_{i}" for i in range(n_features)]
-    each = -(-2 * spec.k // rounds)
-    found = np.empty((0, n_features))
-    for step in range(rounds + 1):
-        want = 1 if step == 0 else each
-
-        def draw(batches, found=found, step=step, want=want):
-            kept = pd.DataFrame(columns=["score", *names])
-            for pdf in batches:
-                x = pdf[names].to_numpy()
-                gap = -np.log(_uniform(pdf["row_key"].to_numpy(), spec.seed * 1000003 + step))
-                if step:
-                    d = np.concatenate([_sq(x[at:at + 5000], found).min(1) for at in range(0, len(x), 5000)])
-                    gap = np.where(d > 1e-12, gap / np.maximum(d, 1e-12), np.inf)
-                rows = pd.DataFrame(x, columns=names).assign(score=gap)
-                kept = pd.concat([kept, rows[np.isfinite(gap)]]).nsmallest(want, "score") if len(kept) else rows[np.isfinite(gap)].nsmallest(want, "score")
-            if len(kept):
-                yield kept[["score", *names]].astype(float)
-
-        drawn = points.select(*names, "row_key").mapInPandas(draw, "score double, " + ", ".join(f"{n} double" for n in names))
-        found = np.vstack([found, drawn.orderBy("score", *names).limit(want).select(*names).toPandas().to_numpy()])
-    found = np.unique(found, axis=0)
-    if len(found) <= spec.k:
-        return found
-    weight = lloyd_pass(points, n_features, [spec], [found])[0][:, 0]
-    rng = np.random.default_rng(spec.seed)
-    chosen = [int(rng.choice(len(found), p=weight / weight.sum()))]
-    while len(chosen) < spec.k:
-        odds = weight * _sq(found, found[chosen]).min(1)
-        odds[chosen] = 0
-        left = odds if odds.sum() > 0 else np.where(np.isin(np.arange(len(found)), chosen), 0.0, 1.0)
-        chosen.append(int(rng.choice(len(found), p=left / left.sum())))
-    return found[chosen]
-
-
 def lloyd_pass(points: DataFrame, n_features: int, specs: list, centres: list) -> dict:
     """One assign-and-sum pass: per live model an array clusters x (row count, squared distance, feature sums)."""
     names = [f"x_{i}" for i in range(n_features)]

@@ -60,6 +60,26 @@ def _(d):
         F.count("*").alias("rows"), *[F.avg(p).alias(p) for p in POINTS])
 
 
+@query("kmeans_fit_facts", """SELECT count(*) AS rows, 5 AS clusters, true AS stationary, true AS sizes_sum_up, true AS inertia_agrees,
+ true AS best_of_all FROM pts""")
+def _(d):
+    """What must hold of the fitted centroids, from plain aggregations of the points: they are the means of the rows nearest to
+    them, the stored inertia is the sum of the rows' distances, and no worse than after three passes from fixed starts."""
+    import numpy as np
+
+    fit, table = fitted(d), keyed_points(d)
+    best = f"least({', '.join(Cl.distance_text(c, 6) for c in fit.centroids)})"
+    rows = table.selectExpr(f"{Cl.label_text(fit.centroids, 6)} as c", f"{best} as d", *POINTS).groupBy("c").agg(
+        F.count("*").alias("n"), F.sum("d").alias("d"), *[F.avg(p).alias(p) for p in POINTS]).collect()  # one row per cluster
+    moved = sum(float(((np.array([r[p] for p in POINTS]) - fit.centroids[r["c"]]) ** 2).sum()) for r in rows)
+    spread = float(np.mean(table.agg(*[F.var_pop(p) for p in POINTS]).first()))
+    inertia = sum(r["d"] for r in rows)
+    fixed = Cl.fit_many(table, 6, [Cl.Spec("fixed")], max_iter=STEPS, tol=0.0, init=[np.array(CENTROIDS)])[0]
+    facts = (sum(r["n"] for r in rows), len(rows), moved <= C.TOL * spread, fit.rows == sum(r["n"] for r in rows),
+             abs(inertia - fit.inertia) <= 1e-9 * inertia, fit.inertia <= fixed.inertia * (1 + 1e-9))
+    return d.spark.createDataFrame([facts], "rows bigint, clusters int, stationary boolean, sizes_sum_up boolean, inertia_agrees boolean, best_of_all boolean")
+
+
 @query("kmeans_assign", f"SELECT ticker, fiscal_year, CAST(CASE {' '.join(f'WHEN {x}={_all} THEN {i}' for i, x in enumerate(_d2))} END AS INTEGER) AS cluster FROM pts")
 def _(d):
     return points(d).selectExpr(*KEYS, f"{Cl.label_text(CENTROIDS, 6)} as cluster")

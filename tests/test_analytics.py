@@ -228,6 +228,34 @@ def test_ward_merges_like_the_definition():
         groups[i] += groups.pop(j)
 
 
+def test_ward_of_a_small_table_is_exact(spark):
+    """Every cell is a row: the cuts are those of the plain greedy method over all rows, repeated rows included."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.random((90, 3)), rng.random((10, 3)).repeat(3, 0)])
+    groups = {i: [i] for i in range(len(x))}
+    want = {}
+    while len(groups) > 1:
+        if len(groups) <= 8:
+            want[len(groups)] = [frozenset(g) for g in groups.values()]
+        cost = lambda a, b: len(groups[a]) * len(groups[b]) / (len(groups[a]) + len(groups[b])) * ((x[groups[a]].mean(0) - x[groups[b]].mean(0)) ** 2).sum()
+        _, a, b = min((cost(a, b), a, b) for a in groups for b in groups if a < b)
+        groups[a] += groups.pop(b)
+    got = Hi.ward_labels(frame(spark, x, i=np.arange(len(x))), 3, (3, 5, 8), keep=["i"]).toPandas().sort_values("i")
+    for k in (3, 5, 8):
+        assert {frozenset(g) for g in got.groupby(f"ward_{k}")["i"].apply(list)} == set(want[k])
+
+
+def test_ward_of_more_rows_than_cells_follows_the_exact_tree(spark):
+    rng = np.random.default_rng(13)
+    x = np.vstack([rng.normal(m, 0.05, (400, 3)) for m in (0.2, 0.4, 0.6, 0.8)])
+    points = frame(spark, x, i=np.arange(len(x)))
+    exact = Hi.ward_labels(points, 3, (4,), keep=["i"]).withColumnRenamed("ward_4", "exact")
+    for groups, least in ((200, 0.9), (20, 0.5)):
+        both = Hi.ward_labels(points, 3, (4,), groups=groups, keep=["i"]).join(exact.select("i", "exact"), "i")
+        assert Me.agreement(both, "exact", "ward_4").first()["ari"] > least
+    assert Hi.summaries(points, 3, 20)[1].count() <= 20
+
+
 def test_ward_labels_and_pca(spark, blobs):
     x, label = blobs
     points = frame(spark, x, truth=label)

@@ -48,6 +48,14 @@ def test_resume_appends_once_and_does_not_hide_a_failing_read(spark, tmp_path):
     assert os.listdir(broken) == ["part-0.parquet"]
 
 
+def test_footprint_counts_files_and_bytes(spark, tmp_path):
+    out = f"{tmp_path}/table"
+    spark.range(1000).selectExpr("id", "id % 3 as part").repartition(3, "part").write.partitionBy("part").parquet(out)
+    sizes = [os.path.getsize(f"{folder}/{f}") for folder, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    got = T.footprint(spark, out).first()
+    assert (got["files"], got["bytes"]) == (3, sum(sizes)) and len(sizes) == 3 and got["gigabytes"] == pytest.approx(sum(sizes) / 1e9)
+
+
 def test_dropped_folders_are_deleted(spark, monkeypatch):
     monkeypatch.setattr(Se, "_made", {})
     path = Se.stored(spark.range(3)).inputFiles()[0]
