@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from .common import chunks, mapped, texts
 
-#: Words whose tokens a worker remembers, and the bytes of new words that one set of merge rounds takes.
-REMEMBERED, ROUND_BYTES = 250_000, 1 << 20
+#: Words whose tokens a worker remembers in each of two generations, and the bytes of new words that one set of merge
+#: rounds takes.
+REMEMBERED, ROUND_BYTES = 80_000, 1 << 20
 
 #: Fixed values of the vocabulary file's normaliser and splitter, with the Unicode blanks written out.
 BLANKS = r"\t-\r \x85\xa0  -     　"
@@ -61,6 +62,7 @@ class WordBpe:
             raise ValueError("special tokens must start with <|")
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def pieces(self, word: str) -> list[bytes | int]:
         """The units of a stretch of text without ASCII blanks: UTF-8 bytes of ordinary ones, ids of special ones."""
@@ -138,12 +140,16 @@ class WordBpe:
         # Lower-casing A-Z first changes no token and halves the words to learn, but for names of special tokens.
         # A blank before a full stop or comma that follows a letter stands where the splitter cuts anyway.
         lists = [(v if b"<|" in v else CUT.sub(b" ", v.lower())).split() for v in values]
+        # A full memory becomes the older one; words that come again move over, so frequent words are never forgotten.
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         new = set()
         for words in lists:
             new.update(words)
         new.difference_update(self.known)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        new.difference_update(again)
         if new:
             self.learn(new)
         known = self.known
@@ -171,7 +177,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in chunks(batches, limit=4 << 20):
+        for batch in chunks(batches):
             ids = bpe.encode(texts(batch))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
@@ -187,7 +193,7 @@ def decode_tokens(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in chunks(batches, "token_ids", 4 << 20):
+        for batch in chunks(batches, "token_ids"):
             decoded = pa.array([bpe.decode(v or b"") for v in batch.column(names.index("token_ids")).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*names, "decoded"])
 

@@ -61,3 +61,16 @@ def test_median_among_many_values(spark, monkeypatch):
         return slow(left, shard, half) | slow([r for r in rows if r not in left], shard + half, leaves - half)
 
     assert slow(rows, 0, 4) == got and set(got.values()) == {0, 1, 2, 3}
+
+
+def test_words_move_from_generation_to_generation(monkeypatch):
+    from ledgerline.llm import bpe
+    from ledgerline.llm.settings import VOCABULARY
+
+    plain = bpe.WordBpe(VOCABULARY)
+    texts = [f"the word{i % 50} and other{i} things".encode() for i in range(200)]
+    want = plain.encode(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    small = bpe.WordBpe(VOCABULARY)
+    assert [small.encode([t])[0] for t in texts] == want
+    assert len(small.known) <= 16 and len(small.older) <= 16 and b"the" in small.known.keys() | small.older.keys()
