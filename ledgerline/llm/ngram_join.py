@@ -1,15 +1,17 @@
-"""Similarity join of word n-gram sets: prefix filter over all documents, prefix trees to count the overlaps.
+"""Similarity join of word n-gram sets: a prefix filter deals all sets to groups, prefix trees join the sets of a group.
 
 Two sets link when their Jaccard similarity is `PERCENT` / 100 or more.  The steps, each over all documents:
 
 1. `frequent`: how common n-grams are, counted in 2^28 hash slots; the commonest slots give the global order
    (rare n-grams first).  The order only steers the work: any order finds the same links.
 2. `postings`: of each distinct set the first n - ceil(0.75 n) + 1 n-grams in the global order.  Linked sets share one.
-3. `shared`: the n-grams that several sets have among them, with each set's place and a leader of the group.
-4. Candidates: pairs (leader, member) that share many of them; then all other pairs of an n-gram whose sets the
-   leaders have not joined, as far as length and place bounds leave a link possible.
-5. `verified`: candidates of a set are stored in a prefix tree and their overlaps counted on the way down.
-6. `components` of the links, and the smallest identifier in each.
+3. `bridges`: per n-gram, an edge from the smallest set of each run of compatible sizes to every other set of the run.
+   Linked sets are in one component of these edges, a group.  The edges are as many as the postings at most.
+4. `joined`: a task holds the sets of a group in one prefix tree and walks it with many of them at a time.  It keeps
+   what is joined already and returns joining edges only, fewer than it has sets.
+5. A group too large for one task is dealt to blocks, each with the same few pilots of the group; `across` then compares
+   block with block, but for what is already in the largest component of its group.
+6. `components` of the edges, and the smallest identifier in each.
 """
 
 from collections.abc import Iterator
@@ -28,26 +30,16 @@ WORDS, PERCENT = 5, 75
 SLOT_BITS, PART_BITS = 28, 12
 #: A slot is called frequent from this count on; so many of the most frequent ones go to all tasks (12 bytes each).
 FREQUENT, MOST = 16, 1 << 18
-#: N-grams that one task counts before it sends them on, and about how many sets are in one prefix tree.
-FLUSH, TREE = 4_000_000, 256
-#: Sets of an n-gram's group with which all others of the group are paired at first.
-LEADERS = 3
-#: Hash functions of the sketches by which sets are paired that the leaders have not joined.
-SKETCH = 32
+#: N-grams that one task counts before it sends them on, and sets or edges that it remembers in order not to repeat them.
+FLUSH, REMEMBERED = 4_000_000, 500_000
+#: Bytes of the sets in one prefix tree (8 for an n-gram and OWN for a set), and about how many pilots a divided group has.
+BLOCK, OWN, PILOTS = 4 << 20, 512, 32
+#: N-grams of a tree's edges that are compared in one step, and pairs of probe and path that are walked together.
+PIECE, PAIRS = 16, 200_000
 
 _FACTORS = mix(np.arange(1, WORDS + 2, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
 
-def need(a: str, b: str) -> str:
-    """SQL: the least overlap of two linked sets with these sizes."""
-    return f"((({a}) + ({b})) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}"
-
-
-def kept(n: str) -> str:
-    """SQL: ceil(0.75 n), the least overlap of a set of n with any linked set."""
-    return f"((({n}) * {PERCENT} + 99) div 100)"
-
-
 def ngram_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 64-bit n-gram hashes of each text in ascending order, and where each text's end."""
     lists = [v.lower().split() for v in values]  # A-Z only: the bytes of other letters stay
@@ -71,19 +63,27 @@ def ngram_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, U)), sizes
 
 
-def signatures(grams: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int] | None]:
-    """128 bits that stand for each set, as two signed numbers; none for an empty set."""
+def signatures(grams: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """128 bits that stand for each set; none for an empty set."""
     out, at = [], 0
     for end in sizes.tolist():
-        if end == at:
-            out.append(None)
-        else:
-            h = xxhash.xxh3_128_digest(grams[at:end].tobytes())
-            out.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
+        out.append(xxhash.xxh3_128_digest(grams[at:end].tobytes()) if end > at else None)
         at = end
     return out
 
 
+class Remembered(set):
+    """Keys seen lately: `new` tells whether a key is not among them.  Bounded, so an old key may count as new again."""
+
+    def new(self, key) -> bool:
+        if key in self:
+            return False
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self.add(key)
+        return True
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent slots in ascending order and their counts over all documents: at most MOST of them."""
     low = SLOT_BITS - PART_BITS
@@ -100,14 +100,10 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 "part": pa.array(parts, pa.int32()), "slots": pa.array([lows[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
                 "counts": pa.array([tops[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary())})
 
-        seen: set = set()
+        seen = Remembered()
         for batch in chunks(batches):
             grams, sizes = ngram_sets(texts(batch))
-            fresh = np.zeros(len(sizes), bool)  # of equal sets in a task one counts
-            for i, s in enumerate(signatures(grams, sizes)):
-                if s is not None and s not in seen:
-                    seen.add(s)
-                    fresh[i] = True
+            fresh = np.array([s is not None and seen.new(s) for s in signatures(grams, sizes)], bool)  # of equal sets one counts
             held.append((grams[np.repeat(fresh, np.diff(sizes, prepend=0))] >> U(64 - SLOT_BITS)).astype(np.uint32))
             size += len(held[-1])
             if size >= FLUSH:
@@ -155,232 +151,235 @@ def in_order(grams: np.ndarray, sizes: np.ndarray, slots: np.ndarray, counts: np
 
 
 def postings(docs: DataFrame, order) -> DataFrame:
-    """token, set_id, n, place (from 1) for the prefix of every distinct set of a task."""
+    """token, n, id for the prefix of every distinct set of a task; a set that comes back much later is sent again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (slots, counts), seen = order.value, set()
+        (slots, counts), seen = order.value, Remembered()
         for batch in chunks(batches):
             grams, sizes = ngram_sets(texts(batch))
             tokens, ids, ns, places = [], [], [], []
             for s, own in zip(signatures(grams, sizes), in_order(grams, sizes, slots, counts)):
-                if s is None or s[0] in seen:
-                    continue
-                seen.add(s[0])
-                n = len(own)
-                p = n - -(-n * PERCENT // 100) + 1
-                tokens.append(own[:p])
-                ids.append(s[0])
-                ns.append(n)
-                places.append(p)
+                if s is not None and seen.new(s):
+                    n = len(own)
+                    tokens.append(own[: n - -(-n * PERCENT // 100) + 1])
+                    ids.append(s)
+                    ns.append(n)
+                    places.append(len(tokens[-1]))
             if ids:
-                total = np.cumsum(places)
+                at = np.repeat(np.arange(len(ids)), places)
                 yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(np.concatenate(tokens).view(np.int64)), "set_id": pa.array(np.repeat(np.array(ids, np.int64), places)),
-                    "n": pa.array(np.repeat(np.array(ns, np.int32), places)),
-                    "place": pa.array((np.arange(total[-1]) - np.repeat(total - places, places) + 1).astype(np.int32))})
+                    "token": pa.array(np.concatenate(tokens).view(np.int64)), "n": pa.array(np.array(ns, np.int32)[at]),
+                    "id": pa.array(ids, pa.binary()).take(pa.array(at))})
 
-    return mapped(docs.select("text"), run, "token long, set_id long, n int, place int")
+    return mapped(docs.select("text"), run, "token long, n int, id binary")
 
 
-def shared(found: DataFrame) -> DataFrame:
-    """The postings of n-grams that several sets have, each with the LEADERS sets of its group with the smallest set_id
-    (`leaders`: set_id, n, place; a leader's own row has those before it).  A set_id is a hash, so a group of similar
-    sets has few leaders over all its n-grams.  Rows stream by in order of (token, set_id); nothing but the last row is held."""
-    kind = pa.list_(pa.struct([("a", pa.int64()), ("na", pa.int32()), ("pa", pa.int32())]))
+def bridges(found: DataFrame) -> DataFrame:
+    """Edges a, b between sets that have an n-gram of their prefixes in common.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leaders = None, []  # the last row and whether rows of its group came before it; leaders of this group so far
-
-        def out(token, set_id, n, place, fresh):
-            nonlocal leaders
-            led = []
-            for s, k, p, f in zip(set_id.tolist(), n.tolist(), place.tolist(), fresh.tolist()):
-                if f:
-                    leaders = []
-                led.append(list(leaders))
-                if len(leaders) < LEADERS:
-                    leaders.append({"a": s, "na": k, "pa": p})
-            return pa.RecordBatch.from_pydict({
-                "token": pa.array(token), "set_id": pa.array(set_id), "n": pa.array(n), "place": pa.array(place), "leaders": pa.array(led, kind)})
+    The sets of an n-gram stream by in order of size.  Where the next size is too large for a link with the one before, a new
+    run begins: no link crosses the gap.  The first set of a run is joined with each of the others, and linked
+    sets of one n-gram are always in one run.  Nothing but the first and the last row of the run is held."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, size, first, last, sent = None, 0, None, None, Remembered()
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(4)]
-            if held is not None:
-                rows = [np.append(h, r) for h, r in zip(held[0], rows)]
-            if not len(rows[0]):
-                continue
-            again = np.append(False, (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1]))  # copies in other tasks
-            rows = [r[~again] for r in rows]
-            above = np.append(held[1] if held is not None else False, rows[0][1:] == rows[0][:-1])
-            show = above | np.append(rows[0][1:] == rows[0][:-1], False)
-            show[-1] = False  # its group may go on
-            held = ([r[-1:] for r in rows], bool(above[-1]))
-            if show.any():
-                yield out(*[r[show] for r in rows], ~above[show])
-        if held is not None and held[1]:
-            yield out(*held[0], np.array([False]))
+            a, b = [], []
+            for t, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if t != token or size * 100 < n * PERCENT:
+                    token, first = t, s
+                elif s != last and s != first and sent.new((first, s)):
+                    a.append(first)
+                    b.append(s)
+                size, last = n, s
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(n, "token").sortWithinPartitions("token", "set_id")
-    return mapped(dealt, run, "token long, set_id long, n int, place int, leaders array<struct<a long, na int, pa int>>")
-
-
-def possible(hits: DataFrame) -> DataFrame:
-    """Pairs a, b that may link, from rows (a, na, pa, b, nb, pb): one per n-gram that both have in their prefixes.
-
-    A common n-gram at places i and j bounds the overlap by min(i, j) + min(na - i, nb - j).  With c common ones in
-    the prefixes, the last at i and j, the overlap is at most c + min(na - i, nb - j), and at most c + what lies
-    behind one of the prefixes."""
-    return (
-        hits.filter(f"na * 100 >= nb * {PERCENT} and nb * 100 >= na * {PERCENT} and least(pa, pb) + least(na - pa, nb - pb) >= {need('na', 'nb')}")
-        .groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-        .filter(f"c + least(na - pa, nb - pb, greatest({kept('na')}, {kept('nb')}) - 1) >= {need('na', 'nb')}")
-    )
-
-
-def cross_hits(members: DataFrame, differ: str) -> DataFrame:
-    """Rows for `possible`: pairs of one n-gram for which the condition on the labels x.label and y.label holds."""
-    x, y = members.alias("x"), members.alias("y")
-    return x.join(y, F.expr(
-        "x.token = y.token and (x.n < y.n or (x.n = y.n and x.set_id < y.set_id)) "
-        f"and x.n * 100 >= y.n * {PERCENT} and {differ}")).selectExpr(
-        "x.set_id as a", "x.n as na", "x.place as pa", "y.set_id as b", "y.n as nb", "y.place as pb")
+    dealt = found.repartition(n, "token").sortWithinPartitions("token", "n", "id")
+    return mapped(dealt, run, "a binary, b binary").distinct()
 
 
 def catalog(docs: DataFrame, wanted, order) -> DataFrame:
-    """doc_id, n_shingles, set_id, set_check of every document, and grams (binary, in the global order) of one document
-    per task for each set whose bit is set in `wanted`."""
+    """doc_id, n_shingles and id (of the set) of every document, and grams (binary, in the global order) of about one
+    document per task for each set whose bit is set in `wanted`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (slots, counts), bits, sent = order.value, wanted.value, set()
+        (slots, counts), bits, sent = order.value, wanted.value, Remembered()
         for batch in chunks(batches):
             grams, sizes = ngram_sets(texts(batch))
             ids, store = signatures(grams, sizes), []
             for s, own in zip(ids, in_order(grams, sizes, slots, counts)):
-                take = s is not None and s[0] not in sent and bits[(s[0] >> 3) & (len(bits) - 1)] >> (s[0] & 7) & 1
+                at = int.from_bytes(s[:3], "big") if s is not None else None
+                take = s is not None and bits[at >> 3] >> (at & 7) & 1 and sent.new(s)
                 store.append(own.tobytes() if take else None)
-                if take:
-                    sent.add(s[0])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                "n_shingles": pa.array(np.diff(sizes, prepend=0), pa.int64()), "set_id": pa.array([s and s[0] for s in ids], pa.int64()),
-                "set_check": pa.array([s and s[1] for s in ids], pa.int64()), "grams": pa.array(store, pa.binary())})
+                "n_shingles": pa.array(np.diff(sizes, prepend=0), pa.int64()), "id": pa.array(ids, pa.binary()),
+                "grams": pa.array(store, pa.binary())})
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_id long, set_check long, grams binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, id binary, grams binary")
 
 
-def bitmap(ids: DataFrame, bytes_log2: int = 20) -> np.ndarray:
-    """A filter of fixed size (1 MB) for the identifiers; it may let others pass, never the reverse."""
-    size = 1 << bytes_log2
-    rows = ids.select(F.expr(f"(set_id >> 3) & {size - 1}").alias("byte"), F.expr("cast(1 << cast(set_id & 7 as int) as int)").alias("bit"))
-    got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most `size` rows
-    out = np.zeros(size, np.uint8)
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size (2 MB) for the identifiers; it may let others pass, never the reverse."""
+    at = F.expr("cast(conv(hex(substring(id, 1, 3)), 16, 10) as int)")
+    rows = ids.select(at.alias("at")).selectExpr("at >> 3 as byte", "cast(1 << (at & 7) as int) as bit")
+    got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^21 rows
+    out = np.zeros(1 << 21, np.uint8)
     out[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     return out
 
 
 class PrefixTree:
-    """Sets in the global order as paths of a tree in which common beginnings are stored once."""
-
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        rows = sorted(rows, key=lambda r: r[1])
-        self.names = [name for name, _ in rows]
-        self.paths = [np.frombuffer(path, "<u8") for _, path in rows]
-        self.sizes = np.array([len(p) for p in self.paths], np.int64)
-        self.common = np.zeros(len(rows), np.int64)  # with the path before
-        for i in range(1, len(rows)):
-            m = min(len(self.paths[i]), len(self.paths[i - 1]))
-            other = np.flatnonzero(self.paths[i][:m] != self.paths[i - 1][:m])
-            self.common[i] = other[0] if len(other) else m
-
-    def linked(self, probe: np.ndarray) -> list[int]:
-        """Names of the sets that link with the probe.
-
-        A subtree is left when even all that remains below it cannot bring any of its sets to the overlap it needs."""
-        order = np.sort(probe)
-        least = -(-(self.sizes + len(probe)) * PERCENT // (100 + PERCENT))
-        spare = self.sizes - least  # n-grams of a set that may be missing in the probe
-        out, stack = [], [(0, len(self.paths), 0, 0)]
-        while stack:
-            low, high, depth, overlap = stack.pop()
-            end = int(self.common[low + 1 : high].min()) if high - low > 1 else len(self.paths[low])
-            edge = self.paths[low][depth:end]
-            overlap += int((order[np.minimum(np.searchsorted(order, edge), len(order) - 1)] == edge).sum())
-            if end - overlap > spare[low:high].max():
-                continue
-            if high - low == 1:
-                out.append(low)
-                continue
-            cuts = [low, *(low + 1 + np.flatnonzero(self.common[low + 1 : high] == end)).tolist(), high]
-            stack += [(a, b, end, overlap) for a, b in zip(cuts, cuts[1:])]
-        return [self.names[i] for i in out]
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: per set a, its candidates b in prefix trees of about TREE sets each."""
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("many"))
-    dealt = pairs.select("a", "b").join(many, "a").withColumn(
-        "tree", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / TREE)).cast("int"))
-    probes = dealt.select("a", "tree").distinct().join(sets, F.col("a") == F.col("set_id")).select("a", "tree", F.lit(None).cast("long").alias("b"), "grams")
-    stored_sets = dealt.join(sets, F.col("b") == F.col("set_id")).select("a", "tree", "b", "grams")
+    """Sets in the global order as paths of a tree; an edge holds up to PIECE n-grams.
+
+    Paths are sorted, so a node is a range of paths; at each level `starts` gives the first path of every path's node."""
+
+    def __init__(self, paths: list[bytes]):
+        grams = [np.frombuffer(p, "<u8") for p in paths]
+        self.sizes = np.array([len(g) for g in grams], np.int64)
+        self.common = np.zeros(len(paths), np.int64)  # with the path before
+        for i in range(1, len(paths)):
+            m = min(len(grams[i]), len(grams[i - 1]))
+            other = grams[i][:m] != grams[i - 1][:m]
+            first = int(other.argmax())
+            self.common[i] = first if other[first] else m
+        known, codes = np.unique(np.concatenate(grams), return_inverse=True)
+        self.codes, self.none = codes.astype(np.int32), len(known)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        pieces = -(-self.sizes // PIECE)
+        self.first = np.cumsum(pieces) - pieces
+        self.edges = np.full((int(pieces.sum()), PIECE), self.none, np.int32)
+        path = np.repeat(np.arange(len(paths)), self.sizes)
+        place = np.arange(len(codes)) - self.begin[path]
+        self.edges[self.first[path] + place // PIECE, place % PIECE] = self.codes
+
+    def starts(self, level: int) -> np.ndarray:
+        return np.maximum.accumulate(np.where(self.common < PIECE * (level + 1), np.arange(len(self.sizes)), 0))
+
+    def linked(self, probes: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the probes (numbers of paths) link with which paths, of those that `open_` (probes x paths) asks for.
+
+        All probes go down together.  An edge is compared once for all paths below it; a path is left, and a subtree with
+        the last of its paths, as soon as more n-grams are missing than its size and the probe's allow."""
+        has = np.zeros((len(probes), self.none + 1), bool)
+        for k, p in enumerate(probes.tolist()):
+            has[k, self.codes[self.begin[p] : self.begin[p] + self.sizes[p]]] = True
+        mine = self.sizes[probes][:, None]
+        fit = open_ & (np.minimum(mine, self.sizes) * 100 >= np.maximum(mine, self.sizes) * PERCENT)
+        probe, path = np.nonzero(fit)
+        spare = self.sizes[path] - -(-(self.sizes[path] + mine[probe, 0]) * PERCENT // (100 + PERCENT))
+        found, level = [], 0
+        while len(probe):
+            node = self.starts(level)[path]
+            fresh = np.ones(len(probe), bool)
+            fresh[1:] = (probe[1:] != probe[:-1]) | (node[1:] != node[:-1])
+            asked = np.flatnonzero(fresh)
+            hits = has[probe[asked][:, None], self.edges[self.first[path[asked]] + level]].sum(axis=1)
+            left = self.sizes[path] - level * PIECE
+            spare = spare - np.minimum(left, PIECE) + hits[np.cumsum(fresh) - 1]
+            alive = spare >= 0
+            ended = alive & (left <= PIECE)
+            found.append(np.stack([probes[probe[ended]], path[ended]]))
+            alive &= ~ended
+            probe, path, spare, level = probe[alive], path[alive], spare[alive], level + 1
+        out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return out[0], out[1]
+
+
+def joining(rows: list[tuple[bytes, bytes, int, bytes]]) -> list[tuple[bytes, bytes]]:
+    """Edges that join the sets (id, sure, side, grams) which link, as far as they are not joined already.
+
+    Sets with equal `sure` are joined.  Side 2 is compared with all, sides 0 and 1 with each other."""
+    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[3])
+    if len(rows) < 2:
+        return []
+    ids = [r[0] for r in rows]
+    number: dict[bytes, int] = {}
+    group = np.array([number.setdefault(r[1], len(number)) for r in rows], np.int64)
+    side, all_paths = np.array([r[2] for r in rows]), np.arange(len(rows))
+    if (group == group[0]).all():
+        return []
+    tree, edges, at, many = PrefixTree([r[3] for r in rows]), [], 0, 1
+    most = max(1, min(256, PAIRS // len(rows), (32 << 20) // (tree.none + 1)))
+    if len(rows) <= 16:
+        many = len(rows)
+    while at < len(rows) - 1:
+        probes = all_paths[at : at + min(many, most)]
+        ask = (all_paths > probes[:, None]) & (group != group[probes][:, None])
+        ask &= (side != side[probes][:, None]) | (side == 2)
+        for a, b in zip(*(x.tolist() for x in tree.linked(probes, ask))):
+            if group[a] != group[b]:
+                edges.append((ids[a], ids[b]))
+                group[group == group[b]] = group[a]
+        if (group == group[0]).all():
+            break
+        at, many = at + len(probes), many * 4
+    return edges
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """Joining edges a, b of the rows (label, block, id, sure, side, grams) of each label and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, probe, held = None, None, []
+        key, held, edges = None, [], []
 
-        def links():
-            found = PrefixTree(held).linked(probe) if probe is not None and held else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([key[0]] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+        def send():
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.binary()), "b": pa.array([b for _, b in edges], pa.binary())})
 
         for batch in batches:
+            columns = [batch.column(i) for i in range(6)]
             for k in range(batch.num_rows):
-                a, tree, b, grams = (batch.column(i)[k].as_py() for i in range(4))
-                if (a, tree) != key:
-                    if key is not None:
-                        yield links()
-                    key, probe, held = (a, tree), None, []
-                if b is None:
-                    probe = np.frombuffer(grams, "<u8")
-                else:
-                    held.append((b, grams))
-        if key is not None:
-            yield links()
-
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = probes.unionByName(stored_sets).repartition(n, "a", "tree").sortWithinPartitions("a", "tree", "b")
-    return mapped(rows, run, "a long, b long")
-
-
-def sketched_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs a < b to try first, a fixed number per set: of the rows (id, label, sure), sets of one label that share a
-    minimum of their hashed n-grams are paired with two of their number, unless they are joined already."""
+                label, block, name, sure, side, grams = (c[k].as_py() for c in columns)
+                if (label, block) != key:
+                    edges += joining(held)
+                    key, held = (label, block), []
+                if not held or held[-1][0] != name:  # the set of documents in other tasks comes again
+                    held.append((name, sure, side, grams))
+            if edges:
+                yield send()
+                edges = []
+        edges += joining(held)
+        if edges:
+            yield send()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = mix(np.arange(1, SKETCH + 1, dtype=U))
-        for batch in batches:
-            ids, labels, sure, grams = (batch.column(i) for i in range(4))
-            least = np.array([[int(mix(np.frombuffer(g, "<u8") ^ salt).min()) for salt in salts] for g in grams.to_pylist()], U).reshape(-1)
-            again = lambda c: pa.array(np.repeat(c.to_numpy(), SKETCH))
-            yield pa.RecordBatch.from_pydict({"id": again(ids), "label": again(labels), "sure": again(sure),
-                                              "nth": pa.array(np.tile(np.arange(SKETCH, dtype=np.int32), len(ids))), "least": pa.array(least.view(np.int64))})
-
-    own = rows.join(sets, F.col("id") == F.col("set_id")).select("id", "label", "sure", "grams")
-    own = stored(mapped(own, run, "id long, label long, sure long, nth int, least long"), "sketches")
-    key = ["label", "nth", "least"]
-    heads = own.groupBy(*key).agg(*[F.min_by(F.struct("id", "sure"), F.xxhash64(F.lit(i), "id")).alias(f"h{i}") for i in range(2)])
-    return (
-        own.join(heads, key).select("id", "sure", F.explode(F.array("h0", "h1")).alias("head"))
-        .filter("head.id != id and head.sure != sure").select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct()
-    )
-
-
-def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("label", "block", "id", "sure", "side", "grams").repartition(n, "label", "block")
+    return mapped(dealt.sortWithinPartitions("label", "block", "id"), run, "a binary, b binary")
+
+
+def blocks(weight: str):
+    """How many trees sets of this weight fill."""
+    return F.ceil(F.col(weight) / BLOCK).cast("int")
+
+
+def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
+    """Joining edges between the blocks of the groups in `large`: sets outside the largest component of their group
+    against one another and against that component, block by block."""
+    sure = components(edges).select(F.col("id").alias("x"), F.col("label").alias("sure"))
+    rows = stored(held.join(large.select("label"), "label").join(sure, F.col("id") == F.col("x"), "left").select(
+        "label", "id", F.coalesce("sure", "id").alias("sure"), "weight", "grams"), "divided")
+    parts = rows.groupBy("label", "sure").agg(F.sum("weight").alias("weight"))
+    main = parts.groupBy("label").agg(F.max_by("sure", F.struct("weight", "sure")).alias("main"), F.max("weight").alias("d"), F.sum("weight").alias("all"))
+    main = main.withColumn("rest", F.col("all") - F.col("d")).filter("rest > 0").select(
+        "label", "main", blocks("d").alias("kd"), blocks("rest").alias("km"))
+    own = rows.join(main, "label").withColumn("minor", F.expr("sure != main")).withColumn(
+        "b", F.expr("if(minor, pmod(xxhash64(id), km), km + pmod(xxhash64(id), kd))"))
+    # a small block meets every block, a block of the largest component the small ones
+    met = own.withColumn("c", F.explode(F.expr("sequence(0, if(minor, km + kd, km) - 1)")))
+    return joined(met.selectExpr(
+        "label", "cast(least(b, c) as long) * (km + kd) + greatest(b, c) as block", "id", "sure",
+        "case when b = c then 2 when b < c then 0 else 1 end as side", "grams"))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest identifier reachable over the edges (a, b).
 
-    Each round takes the smallest label around, then the label of that label, and is a written table.  With
-    `rounds` it may end early: equal labels then still mean connected."""
+    Each round takes the smallest label around, then the label of that label, and is a written table."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels, done = both.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), 0
-    while rounds is None or done < rounds:
+    while True:
         near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
         if done:
@@ -388,7 +387,7 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             step = step.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
         step = stored(step, "labels")
         done += 1
-        changed = step.filter("new < label").limit(1).count() if rounds is None else 1
+        changed = step.filter("new < label").limit(1).count()
         labels = step.select("id", F.col("new").alias("label"))
         if not changed:
             break
@@ -402,51 +401,33 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     a text with fewer words one: all of them); texts that are null, empty or blank have none and link with
     nothing.  component_id is the smallest doc_id reachable over links, the document itself included; a null doc_id is
     larger than any other.  Rows that repeat a doc_id are documents of their own with the same result where their texts agree.
-    An empty table gives an empty result.  N-grams are compared by 64-bit hashes and sets by 64 or 128 bits.
+    An empty table gives an empty result.  N-grams are compared by 64-bit hashes and sets by 128 bits.
     """
     spark: SparkSession = docs.sparkSession
     context = spark.sparkContext
     order = context.broadcast(frequent(docs))
-    members = stored(shared(postings(docs, order)), "shared")
-
-    # pairs with the leader of an n-gram that share half of what a link needs in the prefixes
-    leads = members.selectExpr("inline(leaders)", "set_id as b", "n as nb", "place as pb")
-    first = stored(possible(leads).filter(
-        f"2 * c > {need('na', 'nb')} - greatest({kept('na')}, {kept('nb')})").select("a", "b"), "first")
-    hints = components(first)
-    labelled = stored(members.join(hints, F.col("set_id") == F.col("id"), "left").select(
-        "token", "set_id", "n", "place", F.coalesce("label", "set_id").alias("label")), "labelled")
-    second = stored(possible(cross_hits(labelled, "x.label != y.label")).select("a", "b"), "second")
-
-    ids = first.unionByName(second).select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    ids = stored(ids, "ids")
-    listed = stored(catalog(docs, context.broadcast(bitmap(ids)), order), "catalog")
-    sets = stored(listed.filter("grams is not null").groupBy("set_id").agg(F.max("grams").alias("grams")).join(ids, "set_id"), "sets")
-    links = stored(verified(first.unionByName(second), sets), "links")
-
-    # Sets that the hints joined without a verified way between them: first a few likely pairs for each, then every pair
-    # that is still open.
-    found = links
-    for exhaustive in (False, True):
-        sure = components(found, rounds=3)
-        mixed = hints.join(sure.select("id", F.col("label").alias("sure")), "id", "left").select("id", "label", F.coalesce("sure", "id").alias("sure"))
-        open_hints = mixed.groupBy("label").agg(F.min("sure").alias("low"), F.max("sure").alias("high")).filter("low != high").select("label")
-        left = stored(mixed.join(open_hints, "label").select("id", "label", "sure"), "open")
-        if exhaustive:
-            again = members.join(left, F.col("set_id") == F.col("id")).select("token", "set_id", "n", "place", "label", "sure")
-            pairs = possible(cross_hits(again, "x.label = y.label and x.sure != y.sure")).select("a", "b")
-        else:
-            pairs = sketched_pairs(left, sets)
-        found = found.unionByName(stored(verified(stored(pairs, "more"), sets), "links"))
-
-    groups = components(found)
-    heads = listed.filter("set_id is not null").groupBy("set_id", "set_check").agg(F.min("doc_id").alias("low"))
-    heads = stored(heads.join(groups, F.col("set_id") == F.col("id"), "left").select(
-        "set_id", "set_check", "low", F.coalesce(F.col("label"), F.col("set_id")).alias("label"), F.col("label").isNull().alias("alone")), "heads")
-    # a set without links is a group of its own, told apart by both halves of its signature
-    lowest = heads.filter("not alone").groupBy("label").agg(F.min("low").alias("lowest"))
-    heads = heads.join(lowest, "label", "left").select("set_id", "set_check", F.when(F.col("alone"), F.col("low")).otherwise(F.col("lowest")).alias("component_id"))
-    return listed.select("doc_id", "n_shingles", "set_id", "set_check").join(heads, ["set_id", "set_check"], "left").select(
+    groups = components(bridges(postings(docs, order)))
+
+    listed = stored(catalog(docs, context.broadcast(bitmap(groups)), order), "catalog")
+    held = listed.filter("grams is not null").join(groups, "id").select(
+        "label", "id", (F.col("n_shingles") * 8 + OWN).alias("weight"), "grams")
+    held = stored(held, "held")
+    # a set that several tasks found weighs more than once; that divides its group a little finer
+    large = held.groupBy("label").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("many")).filter(f"weight > {BLOCK}")
+    large = stored(large.select("label", blocks("weight").alias("k"), F.expr(f"greatest(1, many div {PILOTS})").alias("every")), "large")
+    pilot, own = F.expr("pmod(xxhash64(id, 1), every) = 0"), F.array(F.expr("cast(pmod(xxhash64(id), k) as int)"))
+    dealt = held.join(large, "label", "left").withColumn(
+        "block", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).when(pilot, F.expr("sequence(0, k - 1)")).otherwise(own)))
+    edges = stored(joined(dealt.select("label", F.col("block").cast("long").alias("block"), "id", F.col("id").alias("sure"), F.lit(2).alias("side"), "grams")), "joins")
+    if large.limit(1).count():
+        edges = edges.unionByName(stored(across(held, large, edges), "joins"))
+
+    links = components(edges)
+    heads = listed.filter("id is not null").groupBy("id").agg(F.min("doc_id").alias("low"))
+    heads = stored(heads.join(links, "id", "left").select("id", "low", F.coalesce("label", "id").alias("label")), "heads")
+    lowest = heads.groupBy("label").agg(F.min("low").alias("component_id"))
+    heads = heads.join(lowest, "label").select("id", "component_id")
+    return listed.select("doc_id", "n_shingles", "id").join(heads, "id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -389,6 +389,54 @@ def test_components_of_documents(spark):
     assert got == slow_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_components_of_divided_groups(spark, monkeypatch):
+    """Groups of sets just above and below the threshold, divided into many blocks."""
+    from ledgerline.llm import ngram_join
+
+    rng, rows = random.Random(5), []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(120)]
+        for _ in range(60):
+            text = list(words)
+            for k in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+                text[k] = f"x{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 12_000)
+    monkeypatch.setattr(ngram_join, "PILOTS", 2)
+    assert Counter(tuple(r) for r in ngram_components(df).collect()) == slow_components(rows)
+
+
+def test_tree_joins_what_links():
+    from ledgerline.llm.ngram_join import joining
+
+    rng = random.Random(8)
+    for many in (2, 3, 40, 150):
+        pool = [rng.randrange(1 << 40) for _ in range(60)]
+        sets = {frozenset(rng.sample(pool, rng.randint(40, 60))) for _ in range(many)} | {frozenset([k]) for k in pool[:3]}
+        sets = [np.array(sorted(s), "<u8").tobytes() for s in sets]
+        rows = [(b"%d" % i, b"%d" % i, 2, g) for i, g in enumerate(sets)]
+        up = {r[0]: r[0] for r in rows}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        edges = joining(rows)
+        for a, b in edges:
+            assert find(a) != find(b)  # joining edges only
+            up[find(a)] = find(b)
+        held = [set(np.frombuffer(g, "<u8").tolist()) for g in sets]
+        for i, a in enumerate(held):
+            for j, b in enumerate(held[:i]):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    assert find(rows[i][0]) == find(rows[j][0])
+        for a, b in edges:
+            x, y = held[int(a)], held[int(b)]
+            assert 100 * len(x & y) >= 75 * len(x | y)
+
+
 # pipeline
 
 def test_pipeline_stage_by_stage(spark):
