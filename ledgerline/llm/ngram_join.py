@@ -4,7 +4,9 @@ Two sets link when their Jaccard similarity is `PERCENT` / 100 or more.  The ste
 
 1. `frequent`: how common n-grams are, counted in 2^28 hash slots; the commonest slots give the global order
    (rare n-grams first).  The order only steers the work: any order finds the same links.
-2. `postings`: of each distinct set the first n - ceil(0.75 n) + 1 n-grams in the global order.  Linked sets share one.
+2. `postings`: of each distinct set the first n - ceil(0.75 n) + k n-grams in the global order, k a tenth of n.  Linked
+   sets share as many of them as the smaller k.  So `shared` and `rich` leave out sets with too few n-grams that any
+   other set has; what is left is looked at again, because its partners may have gone.
 3. `bridges`: per n-gram, an edge from the smallest set of each run of compatible sizes to every other set of the run.
    Linked sets are in one component of these edges, a group.  The edges are as many as the postings at most.
 4. `joined`: a task holds the sets of a group in one prefix tree and walks it with many of them at a time.  It keeps
@@ -32,6 +34,9 @@ SLOT_BITS, PART_BITS = 28, 12
 FREQUENT, MOST = 16, 1 << 18
 #: N-grams that one task counts before it sends them on, and sets or edges that it remembers in order not to repeat them.
 FLUSH, REMEMBERED = 4_000_000, 500_000
+#: N-grams of its prefix that a set shares with a partner, at least: one and this percentage of its size.  More of them
+#: make longer prefixes and leave out more sets; rounds in which sets are left out.
+SHARE, ROUNDS = 10, 2
 #: Bytes of the sets in one prefix tree (8 for an n-gram and OWN for a set), and about how many pilots a divided group has.
 BLOCK, OWN, PILOTS = 4 << 20, 512, 32
 #: N-grams of a tree's edges that are compared in one step, and pairs of probe and path that are walked together.
@@ -161,7 +166,7 @@ def postings(docs: DataFrame, order) -> DataFrame:
             for s, own in zip(signatures(grams, sizes), in_order(grams, sizes, slots, counts)):
                 if s is not None and seen.new(s):
                     n = len(own)
-                    tokens.append(own[: n - -(-n * PERCENT // 100) + 1])
+                    tokens.append(own[: n - -(-n * PERCENT // 100) + 1 + n * SHARE // 100])
                     ids.append(s)
                     ns.append(n)
                     places.append(len(tokens[-1]))
@@ -174,12 +179,70 @@ def postings(docs: DataFrame, order) -> DataFrame:
     return mapped(docs.select("text"), run, "token long, n int, id binary")
 
 
+def by_token(found: DataFrame) -> DataFrame:
+    """The postings of an n-gram in one task, in order of size."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(n, "token").sortWithinPartitions("token", "n", "id")
+
+
+def shared(found: DataFrame) -> DataFrame:
+    """id, n, tokens (binary): the n-grams of each set that another set of the same run has, in several rows.
+
+    The sets of an n-gram stream by in order of size.  Where the next size is too large for a link with the one before, a
+    new run begins: no link crosses the gap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last, alone = {}, 0, None, None  # the last posting; itself once more while it is alone in its run
+
+        def send():
+            return pa.RecordBatch.from_pydict({
+                "id": pa.array([k for k, _ in held], pa.binary()), "n": pa.array([n for _, n in held], pa.int32()),
+                "tokens": pa.array([np.array(v, "<i8").tobytes() for v in held.values()], pa.binary())})
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                token, n, name = row
+                if row == last:  # a copy from another task
+                    continue
+                if last is None or token != last[0] or last[1] * 100 < n * PERCENT:
+                    alone = row
+                else:
+                    for t, m, i in ([alone] if alone else []) + [row]:
+                        held.setdefault((i, m), []).append(t)
+                        size += 1
+                    alone = None
+                last = row
+            if size >= REMEMBERED:
+                yield send()
+                held, size = {}, 0
+        if held:
+            yield send()
+
+    return mapped(by_token(found), run, "id binary, n int, tokens binary")
+
+
+def rich(found: DataFrame) -> DataFrame:
+    """Postings of the sets that share enough n-grams with others for a link, from the rows of `shared`."""
+    enough = f"many >= 1 + ((n * {PERCENT} + 99) div 100) * {SHARE} div 100"  # a partner may have 0.75 n
+    names = found.groupBy("id", "n").agg(F.sum(F.expr("length(tokens) div 8")).alias("many")).filter(enough).select("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(2).to_pylist()
+            if values:
+                at = np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
+                yield pa.RecordBatch.from_pydict({
+                    "token": pa.array(np.frombuffer(b"".join(values), "<i8")), "n": batch.column(1).take(pa.array(at)),
+                    "id": batch.column(0).cast(pa.binary()).take(pa.array(at))})
+
+    return mapped(found.join(names, "id", "left_semi").select("id", "n", "tokens"), run, "token long, n int, id binary")
+
+
 def bridges(found: DataFrame) -> DataFrame:
     """Edges a, b between sets that have an n-gram of their prefixes in common.
 
-    The sets of an n-gram stream by in order of size.  Where the next size is too large for a link with the one before, a new
-    run begins: no link crosses the gap.  The first set of a run is joined with each of the others, and linked
-    sets of one n-gram are always in one run.  Nothing but the first and the last row of the run is held."""
+    The first set of a run (see `shared`) is joined with each of the others, and linked sets of one n-gram are always in
+    one run.  Nothing but the first and the last row of the run is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, size, first, last, sent = None, 0, None, None, Remembered()
@@ -195,9 +258,7 @@ def bridges(found: DataFrame) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartition(n, "token").sortWithinPartitions("token", "n", "id")
-    return mapped(dealt, run, "a binary, b binary").distinct()
+    return mapped(by_token(found), run, "a binary, b binary").distinct()
 
 
 def catalog(docs: DataFrame, wanted, order) -> DataFrame:
@@ -406,7 +467,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     context = spark.sparkContext
     order = context.broadcast(frequent(docs))
-    groups = components(bridges(postings(docs, order)))
+    found = postings(docs, order)
+    for _ in range(ROUNDS):
+        found = rich(stored(shared(found), "shared"))
+    groups = components(bridges(found))
 
     listed = stored(catalog(docs, context.broadcast(bitmap(groups)), order), "catalog")
     held = listed.filter("grams is not null").join(groups, "id").select(
