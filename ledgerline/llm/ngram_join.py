@@ -224,18 +224,19 @@ def shared(found: DataFrame) -> DataFrame:
 def rich(found: DataFrame) -> DataFrame:
     """Postings of the sets that share enough n-grams with others for a link, from the rows of `shared`."""
     enough = f"many >= 1 + ((n * {PERCENT} + 99) div 100) * {SHARE} div 100"  # a partner may have 0.75 n
-    names = found.groupBy("id", "n").agg(F.sum(F.expr("length(tokens) div 8")).alias("many")).filter(enough).select("id")
+    # the lists of a set come together in one shuffle, however many tasks they are from; at most its prefix
+    sets = found.groupBy("id", "n").agg(F.sum(F.expr("length(tokens) div 8")).alias("many"), F.collect_list("tokens").alias("lists"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(2).to_pylist()
+            values = [b"".join(lists) for lists in batch.column(2).to_pylist()]
             if values:
                 at = np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
                 yield pa.RecordBatch.from_pydict({
                     "token": pa.array(np.frombuffer(b"".join(values), "<i8")), "n": batch.column(1).take(pa.array(at)),
                     "id": batch.column(0).cast(pa.binary()).take(pa.array(at))})
 
-    return mapped(found.join(names, "id", "left_semi").select("id", "n", "tokens"), run, "token long, n int, id binary")
+    return mapped(sets.filter(enough).select("id", "n", "lists"), run, "token long, n int, id binary")
 
 
 def bridges(found: DataFrame) -> DataFrame:
@@ -353,7 +354,7 @@ def joining(rows: list[tuple[bytes, bytes, int, bytes]]) -> list[tuple[bytes, by
     """Edges that join the sets (id, sure, side, grams) which link, as far as they are not joined already.
 
     Sets with equal `sure` are joined.  Side 2 is compared with all, sides 0 and 1 with each other."""
-    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[3])
+    rows = sorted(rows, key=lambda r: r[3])
     if len(rows) < 2:
         return []
     ids = [r[0] for r in rows]
@@ -396,8 +397,7 @@ def joined(rows: DataFrame) -> DataFrame:
                 if (label, block) != key:
                     edges += joining(held)
                     key, held = (label, block), []
-                if not held or held[-1][0] != name:  # the set of documents in other tasks comes again
-                    held.append((name, sure, side, grams))
+                held.append((name, sure, side, grams))
             if edges:
                 yield send()
                 edges = []
@@ -469,14 +469,12 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     order = context.broadcast(frequent(docs))
     found = postings(docs, order)
     for _ in range(ROUNDS):
-        found = rich(stored(shared(found), "shared"))
-    groups = components(bridges(found))
+        found = rich(shared(found))
+    groups = components(stored(bridges(found), "bridges"))
 
     listed = stored(catalog(docs, context.broadcast(bitmap(groups)), order), "catalog")
-    held = listed.filter("grams is not null").join(groups, "id").select(
-        "label", "id", (F.col("n_shingles") * 8 + OWN).alias("weight"), "grams")
-    held = stored(held, "held")
-    # a set that several tasks found weighs more than once; that divides its group a little finer
+    sets = listed.filter("grams is not null").groupBy("id").agg(F.max("grams").alias("grams"), F.max("n_shingles").alias("n"))
+    held = stored(sets.join(groups, "id").select("label", "id", (F.col("n") * 8 + OWN).alias("weight"), "grams"), "held")
     large = held.groupBy("label").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("many")).filter(f"weight > {BLOCK}")
     large = stored(large.select("label", blocks("weight").alias("k"), F.expr(f"greatest(1, many div {PILOTS})").alias("every")), "large")
     pilot, own = F.expr("pmod(xxhash64(id, 1), every) = 0"), F.array(F.expr("cast(pmod(xxhash64(id), k) as int)"))
