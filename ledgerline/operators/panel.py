@@ -102,7 +102,8 @@ def issuer_year_facts(
         latest = F.col("sorted_by") if "sorted_by" in mapped.columns else F.lit(0)
         best = F.min_by(F.struct("company_name", "value"), F.struct("place", -F.unix_date(latest) if "sorted_by" in mapped.columns else latest, "value"))
         return mapped.groupBy(FACT_KEYS).agg(best.alias("b")).select(*FACT_KEYS, "b.company_name", "b.value")
-    return grouped_median(mapped, FACT_KEYS, "value", carry={"company_name": F.max("company_name")})
+    # dealt by issuer-year, so that its items are stored together and a pivot meets them in one task
+    return grouped_median(mapped, FACT_KEYS, "value", carry={"company_name": F.max("company_name")}, deal=PANEL_KEYS)
 
 
 def pivot_panel(iyf: DataFrame, items=None) -> DataFrame:

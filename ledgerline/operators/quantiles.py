@@ -15,17 +15,53 @@ BAND_ACCURACY = 5_000
 # Values of one group and quantile that the last step may sort, and slices of one narrowing step.
 LAST = 10_000
 SLICES = 1_000
-
-
-def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = None) -> DataFrame:
-    """Exact median per group, for many groups of any size.
+# Rows that a task may sort for the median of groups, those of one hash that may lie in one task, and the number of hashes.
+TASK_ROWS = 1_000_000
+GROUP_ROWS = 1_000_000
+BUCKETS = 1 << 16
+
+
+def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = None, deal: list | None = None) -> DataFrame:
+    """Exact median per group, for many groups of any size; carry: more aggregates of a group by name.
+
+    Rows move once, dealt by `deal` (some of the keys, all by default), and are sorted within their task, where the middle
+    rows are found.  A first pass counts rows by a hash of the `deal` columns: it gives the number of tasks, and groups
+    whose hash has more than GROUP_ROWS rows go by `_spread_median`, so that no task holds a hot group."""
+    carry, deal = carry or {}, deal or keys
+    df = df.filter(F.col(value).isNotNull())
+    bucket = F.pmod(F.xxhash64(*deal), F.lit(BUCKETS))
+    counts = df.groupBy(bucket.alias("bucket_")).agg(F.count(F.lit(1)).alias("rows_"))
+    rows, hot = counts.agg(F.sum("rows_"), F.collect_list(F.when(F.col("rows_") > GROUP_ROWS, F.col("bucket_")))).first()  # at most BUCKETS numbers
+    if not hot:
+        return _sorted_median(df, keys, value, carry, deal, rows or 0)
+    cold = _sorted_median(df.filter(~bucket.isin(hot)), keys, value, carry, deal, rows)
+    return cold.unionByName(_spread_median(df.filter(bucket.isin(hot)), keys, value, carry))
+
+
+def _sorted_median(df: DataFrame, keys: list, value: str, carry: dict, deal: list, rows: int) -> DataFrame:
+    """The median of groups that fit a task: one shuffle and one sort, in enough tasks for `rows` rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-rows // TASK_ROWS)
+    df = df.repartition(wanted, *deal) if wanted > n else df.repartition(*deal)
+    if dict(df.dtypes)[value] in ("double", "float"):
+        df = df.withColumn(value, F.col(value) + F.lit(0).cast(dict(df.dtypes)[value]))  # no -0.0
+    order = W.partitionBy(*keys).orderBy(value)
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = df.select(
+        *keys, F.col(value).alias("v_"), F.lag(value).over(order).alias("last_"), F.row_number().over(order).alias("rank_"),
+        F.count(F.lit(1)).over(whole).alias("n_"), *[c.over(whole).alias(name) for name, c in carry.items()])
+    low = F.when(F.col("n_") % 2 == 0, F.col("last_")).otherwise(F.col("v_"))
+    return ranked.filter("rank_ = n_ div 2 + 1").select(*keys, *carry, ((low + F.col("v_")) / 2).alias(value))
+
+
+def _spread_median(df: DataFrame, keys: list, value: str, carry: dict) -> DataFrame:
+    """The median of groups of any size.
 
     Rows are counted by (group, value), which merges a hot value before the shuffle, and dealt to tasks by ranges
     of (group, value), which spreads a hot group.  A part's ranks start where the group's parts before it end, so
     the middle values are found where they lie.  Sorting spills; nothing is collected per group.
     """
-    carry = carry or {}
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v_")).agg(
+    counted = df.groupBy(*keys, F.col(value).alias("v_")).agg(
         F.count("*").alias("c_"), *[c.alias(name) for name, c in carry.items()])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = stored(counted, "counted")  # dealing by ranges reads it twice: once to find them

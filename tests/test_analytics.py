@@ -43,6 +43,25 @@ def test_grouped_median_with_a_hot_group(spark):
         assert r["v"] == pytest.approx(expect, abs=1e-12)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_grouped_median_moves_rows_once(spark, monkeypatch, most):
+    """Groups that fit a task are not written to tables on the way; hot ones (more than `most` rows) give the same values."""
+    tables = []
+    monkeypatch.setattr(Qu, "GROUP_ROWS", most, raising=False)
+    monkeypatch.setattr(Qu, "stored", lambda df, name="step": tables.append(name) or stored(df, name))
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": rng.integers(0, 40, 900), "y": rng.integers(0, 3, 900), "v": rng.normal(size=900).round(1), "name": rng.choice(["a", "b", "c"], 900)})
+    pdf.loc[pdf.k == 7, "v"] = -0.0
+    pdf = pd.concat([pdf, pdf[:1].assign(k=50, v=np.nan), pd.DataFrame({"k": 60, "y": 1, "v": np.arange(400.0), "name": "z"})], ignore_index=True)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k int, y int, v double, name string").withColumn("k", F.expr("nullif(k, 3)"))
+    got = Qu.grouped_median(df, ["k", "y"], "v", carry={"top": F.max("name")}, deal=["k"]).collect()
+    assert bool(tables) == (most == 50)
+    pdf.loc[pdf.k == 3, "k"] = -1
+    want = pdf.dropna().groupby(["k", "y"]).agg(v=("v", "median"), top=("name", "max")).to_dict("index")
+    assert {(-1 if r["k"] is None else r["k"], r["y"]): {"v": r["v"], "top": r["top"]} for r in got} == want and len(got) == len(want)
+    assert not any(np.signbit(r["v"]) for r in got if r["v"] == 0)
+
+
 @pytest.mark.parametrize("last", [10_000, 5])
 def test_label_quantiles_equal_numpy(spark, monkeypatch, last):
     """Also when the last step may hold a few values only."""
