@@ -322,6 +322,55 @@ def test_bootstrap_replicate_is_one_sample(spark):
         assert len(fit.history) == fit.iterations + 1
 
 
+def test_seeding_draws_by_distance_with_few_distances(spark, monkeypatch):
+    """Each centre is the row with the smallest -ln(u) / distance, found by hand; distances are computed for few rows only."""
+    rng = np.random.default_rng(9)
+    points = frame(spark, rng.random((3000, 3)))
+    pdf = points.toPandas()
+    xs, keys = pdf[["x_0", "x_1", "x_2"]].to_numpy(), pdf["row_key"].to_numpy()
+    specs = [Cl.Spec("a", 4, 3), Cl.Spec("b", 3, 4, mask=(1.0, 0.0, 1.0)), Cl.Spec("c", 3, 5, share=0.5, sample=8)]
+    for m, (s, got) in enumerate(zip(specs, Cl.seed_centroids(points, 3, specs))):
+        want = np.empty((0, 3))
+        for step in range(s.k):
+            d = ((xs[:, None] - want[None]) ** 2 * (s.mask or (1.0,) * 3)).sum(2).min(1) if step else np.ones(len(xs))
+            gap = -np.log(Cl._uniform(keys, s.seed * 1000003 + m * 101 + step)) / np.maximum(d, 1e-300)
+            if s.share < 1:
+                gap[Cl._uniform(keys, s.salt) >= s.share] = np.inf
+            want = np.vstack([want, xs[gap.argmin()]])
+        assert np.allclose(got, want, atol=1e-12, rtol=0)
+    # within a task: the logarithm is taken of few numbers
+    asked = []
+    real = np.log
+    monkeypatch.setattr(Cl.np, "log", lambda v: asked.append(v.size) or real(v))
+    class Once:
+        def select(self, *_):
+            return self
+        def mapInPandas(self, draw, schema):
+            got = pd.concat(draw([pdf]))
+            return spark.createDataFrame(got, schema)
+    many = [Cl.Spec(str(i), 2, i) for i in range(200)]
+    Cl.seed_centroids(Once(), 3, many)
+    assert 0 < sum(asked) < 0.5 * 2 * len(xs) * len(many)
+
+
+def test_pass_agrees_with_plain_sums(spark):
+    """Ties go to the first centroid; masks, shares and numbers of clusters mixed in one pass."""
+    rng = np.random.default_rng(10)
+    x = rng.random((2000, 3)).round(1)
+    points = frame(spark, x)
+    pdf = points.toPandas()
+    xs, keys = pdf[["x_0", "x_1", "x_2"]].to_numpy(), pdf["row_key"].to_numpy()
+    specs = [Cl.Spec("a", 3), Cl.Spec("b", 4, mask=(1.0, 1.0, 0.0)), Cl.Spec("c", 3, share=0.5, sample=2), Cl.Spec("d", 3)]
+    starts = [xs[[5, 5, 9]], xs[[1, 2, 3, 4]], xs[[7, 8, 11]], np.array([[0.25, 0.5, 0.5], [0.75, 0.5, 0.5], [0.5, 0.5, 5.0]])]
+    for s, start, got in zip(specs, starts, Cl.lloyd_pass(points, 3, specs, starts).values()):
+        use = xs[Cl._uniform(keys, s.salt) < s.share] if s.share < 1 else xs
+        d = ((use[:, None] - start[None]) ** 2 * (s.mask or (1.0,) * 3)).sum(2)
+        if s.name in "ac":
+            assert got[:, 0].tolist() == [(d.round(12).argmin(1) == c).sum() for c in range(s.k)]
+        assert got[:, 0].sum() == len(use) and got[:, 1].sum() == pytest.approx(d.min(1).sum())
+        assert np.allclose(got[:, 2:].sum(0), use.sum(0))
+
+
 def test_equal_models_stand_for_each_other(spark, blobs):
     points = frame(spark, blobs[0])
     twins = [Cl.Spec("a", 3, 5), Cl.Spec("b", 3, 6), Cl.Spec("masked", 3, 6, mask=(1.0, 1.0, 0.0))]
