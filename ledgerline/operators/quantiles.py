@@ -15,8 +15,9 @@ BAND_ACCURACY = 5_000
 # Values of one group and quantile that the last step may sort, and slices of one narrowing step.
 LAST = 10_000
 SLICES = 1_000
-# Rows that a task may sort for the median of groups, those of one hash that may lie in one task, and the number of hashes.
-TASK_ROWS = 1_000_000
+# Rows that a task sorts for the median of groups (some 60 MB, so that the sort stays in memory), those of one hash that may lie
+# in one task, and the number of hashes.
+TASK_ROWS = 250_000
 GROUP_ROWS = 1_000_000
 BUCKETS = 1 << 16
 
@@ -39,10 +40,12 @@ def grouped_median(df: DataFrame, keys: list, value: str, carry: dict | None = N
 
 
 def _sorted_median(df: DataFrame, keys: list, value: str, carry: dict, deal: list, rows: int) -> DataFrame:
-    """The median of groups that fit a task: one shuffle and one sort, in enough tasks for `rows` rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = -(-rows // TASK_ROWS)
-    df = df.repartition(wanted, *deal) if wanted > n else df.repartition(*deal)
+    """The median of groups that fit a task: one shuffle and one sort, in enough tasks for `rows` rows.
+
+    The number of tasks is given, because Spark would merge parts by their compressed size, which says little about the sort.
+    The result is dealt by `deal` and ordered by `keys`."""
+    few = min(df.sparkSession.sparkContext.defaultParallelism, rows // (TASK_ROWS // 10))
+    df = df.repartition(max(1, few, -(-rows // TASK_ROWS)), *deal)
     if dict(df.dtypes)[value] in ("double", "float"):
         df = df.withColumn(value, F.col(value) + F.lit(0).cast(dict(df.dtypes)[value]))  # no -0.0
     order = W.partitionBy(*keys).orderBy(value)

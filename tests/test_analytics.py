@@ -422,3 +422,24 @@ def test_filters_on_derived_columns_stay_small(spark):
     plan = Fi.row_coverage(Fe.engineer(df))._jdf.queryExecution().optimizedPlan().toString()
     conditions = [line for line in plan.splitlines() if "Filter" in line]
     assert conditions and max(map(len, conditions)) < 2_000
+
+
+def test_panel_is_built_in_the_tasks_of_the_medians(spark, monkeypatch):
+    from ledgerline.operators import panel as P, quantiles as Q
+    from ledgerline.plans.registry import Data
+
+    monkeypatch.setattr(Q, "TASK_ROWS", 50)
+    Data.forget(spark)
+    facts = spark.createDataFrame(
+        [(f"C{i % 40}", str(i % 40), f"N{i % 3}", "3711", 2021 + i % 2, "FY", tag, float(i) if i % 7 else None)
+         for i in range(600) for tag in ("us-gaap:Assets", "us-gaap:Revenues")],
+        "ticker string, cik string, company_name string, sic string, fiscal_year int, fiscal_period string, concept string, value double")
+    iyf = P.issuer_year_facts(facts)
+    assert iyf.rdd.getNumPartitions() == 21  # 1,028 rows, 50 a task, whatever their bytes
+    direct, apart = (df.collect() for df in (P.pivot_panel(iyf), P.pivot_panel(spark.createDataFrame(iyf.collect(), iyf.schema))))
+    assert sorted(map(str, direct)) == sorted(map(str, apart)) and len(direct) == 40
+    plan = P.pivot_panel(iyf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Window")[0].count("Exchange") == 0 and plan.split("Window")[0].count("Sort [") == 0
+    data = Data(spark, "/root/testdata/sf0.001")
+    assert data.panel().count() > 0 and not [k for k in Data.shared if k[-1] == "iyf"]
+    Data.forget(spark)
