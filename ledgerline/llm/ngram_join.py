@@ -3,7 +3,8 @@
 Two sets link when their Jaccard similarity is `PERCENT` / 100 or more.  The steps, each over all documents:
 
 1. `frequent`: how common n-grams are, counted in 2^28 hash slots; the commonest slots give the global order
-   (rare n-grams first).  The order only steers the work: any order finds the same links.
+   (rare n-grams first).  The order only steers the work: any order finds the same links.  The same pass lists the set of
+   each document, so that `catalog` later takes apart only the texts of sets that may link.
 2. `postings`: of each distinct set the first n - ceil(0.75 n) + k n-grams in the global order, k a tenth of n.  Linked
    sets share as many of them as the smaller k.  So `shared` and `rich` leave out sets with too few n-grams that any
    other set has; what is left is looked at again, because its partners may have gone.
@@ -42,6 +43,10 @@ BLOCK, OWN, PILOTS = 4 << 20, 512, 32
 #: N-grams of a tree's edges that are compared in one step, and pairs of probe and path that are walked together.
 PIECE, PAIRS = 16, 200_000
 
+#: The 24 bits that stand for a set and for a document in the filters of fixed size.
+SET_BIT = "cast(conv(hex(substring(id, 1, 3)), 16, 10) as int)"
+DOC_BIT = "cast(pmod(xxhash64(doc_id), 16777216) as int)"
+
 _FACTORS = mix(np.arange(1, WORDS + 2, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
 
 
@@ -89,9 +94,11 @@ class Remembered(set):
         return True
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent slots in ascending order and their counts over all documents: at most MOST of them."""
+def frequent(docs: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+    """The most frequent slots in ascending order and their counts over all documents, at most MOST of them; and doc_id,
+    n_shingles and id (of the set) of every document, which pass through the same shuffle as rows without slots."""
     low = SLOT_BITS - PART_BITS
+    counts_of, rows_of = "part int, slots binary, counts binary", "doc_id long, n_shingles long, id binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -103,12 +110,19 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             lows, tops = (slots & ((1 << low) - 1)).astype("<u2"), np.minimum(counts, 65535).astype("<u2")
             return pa.RecordBatch.from_pydict({
                 "part": pa.array(parts, pa.int32()), "slots": pa.array([lows[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
-                "counts": pa.array([tops[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary())})
+                "counts": pa.array([tops[cuts[p] : cuts[p + 1]].tobytes() for p in parts], pa.binary()),
+                **{name: pa.nulls(len(parts), kind) for name, kind in (("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("id", pa.binary()))}})
 
-        seen = Remembered()
+        seen, turn = Remembered(), 0
         for batch in chunks(batches):
             grams, sizes = ngram_sets(texts(batch))
-            fresh = np.array([s is not None and seen.new(s) for s in signatures(grams, sizes)], bool)  # of equal sets one counts
+            ids, n = signatures(grams, sizes), batch.num_rows
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array((np.arange(n) + turn) % (1 << PART_BITS), pa.int32()), "slots": pa.nulls(n, pa.binary()), "counts": pa.nulls(n, pa.binary()),
+                "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
+                "n_shingles": pa.array(np.diff(sizes, prepend=0), pa.int64()), "id": pa.array(ids, pa.binary())})
+            turn += n
+            fresh = np.array([s is not None and seen.new(s) for s in ids], bool)  # of equal sets one counts
             held.append((grams[np.repeat(fresh, np.diff(sizes, prepend=0))] >> U(64 - SLOT_BITS)).astype(np.uint32))
             size += len(held[-1])
             if size >= FLUSH:
@@ -122,9 +136,17 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def result():
             at = np.flatnonzero(sums >= FREQUENT)
-            return pa.RecordBatch.from_pydict({"slot": pa.array(at + (part << low), pa.int64()), "count": pa.array(sums[at], pa.int64())})
+            return pa.RecordBatch.from_pydict({
+                "slot": pa.array(at + (part << low), pa.int64()), "count": pa.array(sums[at], pa.int64()), "doc_id": pa.nulls(len(at), pa.int64()),
+                "n_shingles": pa.nulls(len(at), pa.int64()), "id": pa.nulls(len(at), pa.binary())})
 
         for batch in batches:
+            rows = batch.filter(batch.column(1).is_null())
+            if rows.num_rows:
+                none = pa.nulls(rows.num_rows, pa.int64())
+                yield pa.RecordBatch.from_pydict({
+                    "slot": none, "count": none, "doc_id": rows.column(3), "n_shingles": rows.column(4), "id": rows.column(5).cast(pa.binary())})
+            batch = batch.filter(batch.column(1).is_valid())
             for p, s, c in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if p != part:
                     if part is not None:
@@ -135,10 +157,11 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield result()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = mapped(docs.select("text"), count, "part int, slots binary, counts binary")
-    sums = mapped(counted.repartition(n, "part").sortWithinPartitions("part"), add, "slot long, count long")
-    top = sums.orderBy(F.desc("count"), "slot").limit(MOST).toPandas().sort_values("slot")
-    return top["slot"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+    counted = mapped(docs.select("doc_id", "text"), count, f"{counts_of}, {rows_of}")
+    sums = stored(mapped(counted.repartition(n, "part").sortWithinPartitions("part"), add, f"slot long, count long, {rows_of}"), "slots")
+    top = sums.filter("slot is not null").select("slot", "count").orderBy(F.desc("count"), "slot").limit(MOST).toPandas().sort_values("slot")
+    order = top["slot"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+    return order, sums.filter("n_shingles is not null").select("doc_id", "n_shingles", "id")
 
 
 def in_order(grams: np.ndarray, sizes: np.ndarray, slots: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
@@ -185,58 +208,85 @@ def by_token(found: DataFrame) -> DataFrame:
     return found.repartition(n, "token").sortWithinPartitions("token", "n", "id")
 
 
+def numbers(ids: pa.Array) -> np.ndarray:
+    """Identifiers of 128 bits as two numbers each."""
+    ids = ids.cast(pa.binary())
+    first = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset]
+    return np.frombuffer(ids.buffers()[2], np.uint8)[first : first + 16 * len(ids)].view(U).reshape(-1, 2)
+
+
+def together(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def shared(found: DataFrame) -> DataFrame:
-    """id, n, tokens (binary): the n-grams of each set that another set of the same run has, in several rows.
+    """The postings whose n-gram another set of the same run has.
 
     The sets of an n-gram stream by in order of size.  Where the next size is too large for a link with the one before, a
     new run begins: no link crosses the gap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last, alone = {}, 0, None, None  # the last posting; itself once more while it is alone in its run
-
-        def send():
-            return pa.RecordBatch.from_pydict({
-                "id": pa.array([k for k, _ in held], pa.binary()), "n": pa.array([n for _, n in held], pa.int32()),
-                "tokens": pa.array([np.array(v, "<i8").tobytes() for v in held.values()], pa.binary())})
-
+        held, linked = [], False  # the last posting, and whether it is in a run with the one before it
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                token, n, name = row
-                if row == last:  # a copy from another task
-                    continue
-                if last is None or token != last[0] or last[1] * 100 < n * PERCENT:
-                    alone = row
-                else:
-                    for t, m, i in ([alone] if alone else []) + [row]:
-                        held.setdefault((i, m), []).append(t)
-                        size += 1
-                    alone = None
-                last = row
-            if size >= REMEMBERED:
-                yield send()
-                held, size = {}, 0
-        if held:
-            yield send()
-
-    return mapped(by_token(found), run, "id binary, n int, tokens binary")
+            if not batch.num_rows:
+                continue
+            batch = together([*held, batch])
+            token, ids = batch.column(0).to_numpy(), numbers(batch.column(2))
+            fresh = np.ones(len(token), bool)  # not a copy from another task
+            fresh[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+            at = np.flatnonzero(fresh)
+            n, token = batch.column(1).to_numpy()[at].astype(np.int64), token[at]
+            near = np.zeros(len(at) + 1, bool)  # of each with the one before it
+            near[0] = linked
+            near[1:-1] = (token[1:] == token[:-1]) & (n[:-1] * 100 >= n[1:] * PERCENT)
+            last = int(at[-1])
+            held, linked = [batch.slice(last, 1)], bool(near[len(at) - 1])
+            out = at[:-1][near[: len(at) - 1] | near[1 : len(at)]]
+            if len(out):
+                yield batch.take(pa.array(out))
+        if linked:
+            yield held[0]
+
+    return mapped(by_token(found), run, "token long, n int, id binary")
 
 
 def rich(found: DataFrame) -> DataFrame:
-    """Postings of the sets that share enough n-grams with others for a link, from the rows of `shared`."""
-    enough = f"many >= 1 + ((n * {PERCENT} + 99) div 100) * {SHARE} div 100"  # a partner may have 0.75 n
-    # the lists of a set come together in one shuffle, however many tasks they are from; at most its prefix
-    sets = found.groupBy("id", "n").agg(F.sum(F.expr("length(tokens) div 8")).alias("many"), F.collect_list("tokens").alias("lists"))
+    """Those of the postings whose sets share enough n-grams with others for a link.
+
+    A set's postings come together in one task, at most its prefix."""
+
+    def chosen(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ids, n = numbers(rows.column(2)), rows.column(1).to_numpy().astype(np.int64)
+        first = np.ones(len(n), bool)
+        first[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+        many = np.diff(np.append(np.flatnonzero(first), len(n)))
+        enough = 1 + -(-n[first] * PERCENT // 100) * SHARE // 100  # a partner may have 0.75 n
+        return rows.take(pa.array(np.flatnonzero(np.repeat(many >= enough, many))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None  # the postings of the last set, which may go on
         for batch in batches:
-            values = [b"".join(lists) for lists in batch.column(2).to_pylist()]
-            if values:
-                at = np.repeat(np.arange(len(values)), [len(v) // 8 for v in values])
-                yield pa.RecordBatch.from_pydict({
-                    "token": pa.array(np.frombuffer(b"".join(values), "<i8")), "n": batch.column(1).take(pa.array(at)),
-                    "id": batch.column(0).cast(pa.binary()).take(pa.array(at))})
+            if not batch.num_rows:
+                continue
+            ids = numbers(batch.column(2))
+            if key is not None and (ids[-1] != key).any():
+                whole = together([*held, batch])
+                ids = numbers(whole.column(2))
+                begin = len(ids) - int(np.argmax((ids != ids[-1]).any(axis=1)[::-1]))
+                yield chosen(whole.slice(0, begin))
+                held = [whole.slice(begin)]
+            else:
+                held.append(batch)
+                if (ids[0] != ids[-1]).any():  # the first batch
+                    begin = len(ids) - int(np.argmax((ids != ids[-1]).any(axis=1)[::-1]))
+                    yield chosen(batch.slice(0, begin))
+                    held = [batch.slice(begin)]
+            key = ids[-1].copy()
+        if held:
+            yield chosen(together(held))
 
-    return mapped(sets.filter(enough).select("id", "n", "lists"), run, "token long, n int, id binary")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mapped(found.repartition(n, "id").sortWithinPartitions("id"), run, "token long, n int, id binary")
 
 
 def bridges(found: DataFrame) -> DataFrame:
@@ -262,31 +312,32 @@ def bridges(found: DataFrame) -> DataFrame:
     return mapped(by_token(found), run, "a binary, b binary").distinct()
 
 
-def catalog(docs: DataFrame, wanted, order) -> DataFrame:
-    """doc_id, n_shingles and id (of the set) of every document, and grams (binary, in the global order) of about one
-    document per task for each set whose bit is set in `wanted`."""
+def catalog(docs: DataFrame, picked, wanted, order) -> DataFrame:
+    """id, n and grams (binary, in the global order) of the documents whose bit is set in `picked`, for sets whose bit is set in
+    `wanted`; about one document per task and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (slots, counts), bits, sent = order.value, wanted.value, Remembered()
-        for batch in chunks(batches):
-            grams, sizes = ngram_sets(texts(batch))
-            ids, store = signatures(grams, sizes), []
-            for s, own in zip(ids, in_order(grams, sizes, slots, counts)):
-                at = int.from_bytes(s[:3], "big") if s is not None else None
-                take = s is not None and bits[at >> 3] >> (at & 7) & 1 and sent.new(s)
-                store.append(own.tobytes() if take else None)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                "n_shingles": pa.array(np.diff(sizes, prepend=0), pa.int64()), "id": pa.array(ids, pa.binary()),
-                "grams": pa.array(store, pa.binary())})
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, id binary, grams binary")
-
-
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2 MB) for the identifiers; it may let others pass, never the reverse."""
-    at = F.expr("cast(conv(hex(substring(id, 1, 3)), 16, 10) as int)")
-    rows = ids.select(at.alias("at")).selectExpr("at >> 3 as byte", "cast(1 << (at & 7) as int) as bit")
+        (slots, counts), bits, some, sent = order.value, wanted.value, picked.value, Remembered()
+        for whole in batches:
+            at = whole.column(0).to_numpy()
+            for batch in chunks(iter([whole.filter(pa.array(some[at >> 3] >> (at & 7) & 1 > 0))])):
+                grams, sizes = ngram_sets(texts(batch))
+                names, sets = [], []
+                for s, own in zip(signatures(grams, sizes), in_order(grams, sizes, slots, counts)):
+                    at = int.from_bytes(s[:3], "big") if s is not None else 0
+                    if s is not None and bits[at >> 3] >> (at & 7) & 1 and sent.new(s):
+                        names.append(s)
+                        sets.append(own.tobytes())
+                if names:
+                    yield pa.RecordBatch.from_pydict({
+                        "id": pa.array(names, pa.binary()), "n": pa.array([len(g) // 8 for g in sets], pa.int64()), "grams": pa.array(sets, pa.binary())})
+
+    return mapped(docs.selectExpr(f"{DOC_BIT} as at", "text"), run, "id binary, n long, grams binary")
+
+
+def bitmap(rows: DataFrame, at: str) -> np.ndarray:
+    """A filter of fixed size (2 MB) for the rows' numbers `at` of 24 bits; it may let others pass, never the reverse."""
+    rows = rows.selectExpr(f"{at} as at").selectExpr("at >> 3 as byte", "cast(1 << (at & 7) as int) as bit")
     got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^21 rows
     out = np.zeros(1 << 21, np.uint8)
     out[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
@@ -466,14 +517,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     context = spark.sparkContext
-    order = context.broadcast(frequent(docs))
+    slots, listed = frequent(docs)
+    order = context.broadcast(slots)
     found = postings(docs, order)
     for _ in range(ROUNDS):
         found = rich(shared(found))
     groups = components(stored(bridges(found), "bridges"))
 
-    listed = stored(catalog(docs, context.broadcast(bitmap(groups)), order), "catalog")
-    sets = listed.filter("grams is not null").groupBy("id").agg(F.max("grams").alias("grams"), F.max("n_shingles").alias("n"))
+    # of the documents with a wanted set, the one with the smallest doc_id is read again
+    picked = listed.join(groups.select("id"), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    again = catalog(docs, context.broadcast(bitmap(picked, DOC_BIT)), context.broadcast(bitmap(groups, SET_BIT)), order)
+    sets = again.groupBy("id").agg(F.max("grams").alias("grams"), F.max("n").alias("n"))
     held = stored(sets.join(groups, "id").select("label", "id", (F.col("n") * 8 + OWN).alias("weight"), "grams"), "held")
     large = held.groupBy("label").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("many")).filter(f"weight > {BLOCK}")
     large = stored(large.select("label", blocks("weight").alias("k"), F.expr(f"greatest(1, many div {PILOTS})").alias("every")), "large")

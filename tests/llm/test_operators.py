@@ -491,3 +491,33 @@ def test_pipeline_of_awkward_rows(spark, awkward, empty):
 def test_registry():
     assert {int(k[2:].split("_")[0]) for k in L.QUERIES if k.startswith("op")} == set(range(1, 14)) and "pipeline" in L.QUERIES
     assert set(L.ORACLES) <= set(L.QUERIES)
+
+
+def test_shared_postings_do_not_grow_with_the_tasks(spark):
+    """Runs of sizes, gaps between them, copies from other tasks and batches of a few rows, against plain Python."""
+    from ledgerline.llm.ngram_join import PERCENT, SHARE, rich, shared
+
+    rng = random.Random(11)
+    sets = [(hashlib.md5(b"%d" % i).digest(), rng.choice([4, 5, 6, 7, 20, 24, 26, 40])) for i in range(120)]
+    found = sorted({(rng.randrange(30), n, name) for name, n in sets for _ in range(6)})
+    keep = set()
+    for t in range(30):
+        rows = [r for r in found if r[0] == t]
+        for a, b in zip(rows, rows[1:]):
+            if a[1] * 100 >= b[1] * PERCENT:
+                keep |= {a, b}
+    many = Counter(r[2] for r in keep)
+    few = {r for r in keep if many[r[2]] >= 1 + -(-r[1] * PERCENT // 100) * SHARE // 100}
+    assert 0 < len(few) < len(keep) < len(found)
+    df = spark.createDataFrame(found + found[::3], "token long, n int, id binary").repartition(5)
+    sizes = [spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")]
+    try:
+        for tasks, batch in (("2", "3"), ("16", "3"), ("1", "1"), ("3", "10000")):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for df_, want in ((shared(df), keep), (rich(shared(df)), few)):
+                got = [(r.token, r.n, bytes(r.id)) for r in df_.select("token", "n", "id").collect()]
+                assert len(got) == len(want) and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", sizes[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", sizes[1])
