@@ -22,20 +22,43 @@ SEGMENT_CODE = (
 SIC_CODE = f"case when c_custkey % 50 = 1 then 'n/a' when c_custkey % 50 <> 0 then {SEGMENT_CODE} end"
 
 
+#: Lines of a task that adds them up (an order has a few): some 100 MB with their orders, so that hashes and sorts stay in memory.
+#: Up to FEW tasks a shuffle writes without a buffer of its own; larger tables get more lines a task before they get more tasks.
+TASK_LINES = 500_000
+MOST_LINES = 1_500_000
+FEW = 200
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """Tasks for the joins of so many lines; none where Spark's own choice leaves each task few enough.
+
+    Spark merges parts by their compressed size and down to the number of slots, which says little about a hash table or a sort."""
+    if rows <= TASK_LINES * spark.sparkContext.defaultParallelism:
+        return None
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a join deals anew what is dealt to fewer
+    return max(least, min(FEW, -(-rows // TASK_LINES)), -(-rows // MOST_LINES))
+
+
+def dealt(df: DataFrame, tasks: int | None, key: str) -> DataFrame:
+    return df.repartition(tasks, key) if tasks else df
+
+
 def statements(spark: SparkSession, folder: str) -> DataFrame:
     """One wide row per filing."""
+    items = read(spark, folder, "lineitem")
+    tasks = tasks_for(spark, items.count())  # from the footers of the files
     lines = (
-        read(spark, folder, "lineitem")
-        .selectExpr(
+        items.selectExpr(
             "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity",
             "cast(round(l_extendedprice * 100) as bigint) as cents",
             "cast(round(l_discount * 100) as bigint) as discount",
             "cast(round(l_tax * 100) as bigint) as tax",
         )
+        .transform(dealt, tasks, "l_orderkey")
         .groupBy("l_orderkey")
         .agg(*[F.expr(e) for e in (
             "sum(cents) as all_cents",
@@ -50,7 +73,7 @@ def statements(spark: SparkSession, folder: str) -> DataFrame:
     base = (
         read(spark, folder, "orders")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .join(read(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(read(spark, folder, "customer").transform(dealt, tasks, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
         .selectExpr(
             "concat('C', o_custkey) as ticker",
             "cast(c_custkey as string) as cik",

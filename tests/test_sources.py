@@ -129,3 +129,23 @@ def test_aliases_of_a_stream_row_are_decided_by_row(spark):
     batch = Fe.standardize_names(df).select(F.col("assets_current")).collect()
     row = Fe.standardize_names(df, mode="row").select(F.col("assets_current")).collect()
     assert [r[0] for r in batch] == [None, 3.0] and [r[0] for r in row] == [5.0, 3.0]
+
+
+def test_lines_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    from ledgerline.sources import filings as S
+
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(str, S.statements(spark, folder).collect()))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = spark.sparkContext.defaultParallelism
+    assert S.tasks_for(spark, S.TASK_LINES * slots) is None
+    assert S.tasks_for(spark, 216_000_000) == max(least, S.FEW) and S.tasks_for(spark, 900_000_000) == max(least, 600)
+    monkeypatch.setattr(S, "TASK_LINES", 20)
+    monkeypatch.setattr(S, "MOST_LINES", 20)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    tasks = -(-lines // 20)
+    assert S.tasks_for(spark, lines) == tasks > least
+    dealt = S.statements(spark, folder)
+    assert sorted(map(str, dealt.collect())) == whole
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert f"{tasks}), REPARTITION_BY_NUM" in plan  # lines are neither merged nor gathered in fewer tasks
