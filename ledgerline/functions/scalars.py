@@ -26,7 +26,9 @@ def sealed(df: DataFrame) -> DataFrame:
     """Keep later filters above this point, and count the rows that pass it.
 
     A filter on a column at the end of a long chain would otherwise be pushed
-    below the chain with the whole chain copied into the condition.
+    below the chain with the whole chain copied into the condition.  The code
+    that Spark generates ends here too: a long chain without such points becomes
+    one method that the JVM finds too large to compile (over 8,000 bytes).
     """
     return df.observe(f"rows_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import constants as C
 from ..functions.scalars import (
     clip, count_present, ensure_columns, flag, num, number, risk_when_high, risk_when_low,
-    safe_divide, weighted_mean, weighted_sum, with_exprs,
+    safe_divide, sealed, weighted_mean, weighted_sum, with_exprs,
 )
 
 
@@ -192,19 +192,25 @@ def engineer(
     renormalize: bool = True,
     weights: dict | None = None,
 ) -> DataFrame:
-    """The full chain, in its fixed order.  Column expressions only: one narrow stage."""
+    """The full chain, in its fixed order.  Column expressions only: one narrow stage, sealed in parts that the JVM compiles."""
     out = (
         df.transform(standardize_names, names)
         .transform(coerce_money, fx, fx_rates)
         .transform(derived_values)
+        .transform(sealed)
         .transform(base_ratios, minimum)
         .transform(diagnostic_ratios, minimum)
+        .transform(sealed)
         .transform(ebitda_metrics, minimum)
         .transform(winsorize, caps)
         .transform(size_flags)
+        .transform(sealed)
         .transform(component_risks, rules)
+        .transform(sealed)
         .transform(structural_flags)
         .transform(structural_distress)
+        .transform(sealed)
         .transform(domain_risks, renormalize)
+        .transform(sealed)
     )
-    return with_exprs(out, {"scorecard_credit_score": credit_score(weights)})
+    return sealed(with_exprs(out, {"scorecard_credit_score": credit_score(weights)}))

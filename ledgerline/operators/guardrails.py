@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.scalars import case_map, existing, rule_holds, text, with_exprs
+from ..functions.scalars import case_map, existing, rule_holds, sealed, text, with_exprs
+
+#: Rules of one part of the generated code.
+RULES = 8
 
 
 def speculative_rating(c: str) -> str:
@@ -52,7 +55,9 @@ def apply_guardrails(df: DataFrame, external_rating: str | None = None, rules=No
     """Guardrail columns.  external_rating is a column name or one text for all rows."""
     found = guardrail_rules(df, rules, external_rating)
     marks = {flag: f"hit_{i}" for i, (flag, *_ ) in enumerate(found)}
-    df = with_exprs(df, {marks[flag]: cond for flag, _, _, cond in found})
+    df = sealed(df)
+    for at in range(0, len(found), RULES):
+        df = sealed(with_exprs(df, {marks[flag]: cond for flag, _, _, cond in found[at:at + RULES]}))
 
     def any_of(test):
         return "(" + (" or ".join(marks[f] for f, fam, sev, _ in found if test(f, fam, sev)) or "false") + ")"

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..functions.scalars import case_map, num, require_columns, rule_holds, text, with_exprs
+from ..functions.scalars import case_map, num, require_columns, rule_holds, sealed, text, with_exprs
 from .features import engineer, feature_coverage
 
 
@@ -97,16 +97,16 @@ def score_features(df: DataFrame, model: Model, temperature: float = 1.0, near_d
         "assigned_cluster": nearest(names),
         "distance_to_assigned_cluster": f"least({', '.join(names)})",
         **affinities(names, temperature),
-    })
+    }).transform(sealed)
     reach = worst is not None and 0 <= worst < model.k
-    return with_exprs(out, {
+    return sealed(with_exprs(out, {
         "cluster_label": case_map("assigned_cluster", model.labels),
         "risk_rank": f"cast({case_map('assigned_cluster', model.ranks)} as int)",
         "cluster_affinity": f"greatest({', '.join(f'cluster_{i}_affinity' for i in range(model.k))})",
         "near_default_affinity": f"cluster_{worst}_affinity" if reach else "cast(null as double)",
         "feature_coverage_pct": feature_coverage(model.features),
         "warning_flags": warning_flags(),
-    })
+    }))
 
 
 def score_companies(

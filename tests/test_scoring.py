@@ -194,3 +194,15 @@ def test_report_tables(companies):
     assert Re.dimension_table(scored, ["company_name"]).count() == 12
     table = Re.guardrails_table(scored, Sn.score_scenarios(companies, model))
     assert table.count() == 12 and table.columns[:2] == ["scope", "scenario"]
+
+
+def test_scoring_chain_is_generated_in_parts_the_jvm_compiles(spark):
+    model = Sc.Model(segment=C.TARGET_SEGMENT, features=list(C.DOMAINS), centroids=CENTROIDS, medians=dict.fromkeys(C.DOMAINS, 0.3),
+                     labels={c: C.RANK_LABELS[k] for c, k in RANKS.items()}, ranks=dict(RANKS))
+    rows = spark.createDataFrame([("C1", 2024, 3711)], "ticker string, fiscal_year int, sic int").selectExpr(
+        "*", *[f"cast({i + 1} * 1e6 as double) as {c}" for i, c in enumerate(C.CONCEPTS)])
+    out = Sn.score_scenarios(P.complete_panel(rows), model).select("ticker", "fiscal_year", *C.SCENARIO_SUMMARY_COLUMNS)
+    parts = out._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000, sizes
+    assert {r["scenario"] for r in out.collect()} == set(C.SCENARIOS)
