@@ -14,7 +14,7 @@ Two sets link when their Jaccard similarity is `PERCENT` / 100 or more.  The ste
    what is joined already and returns joining edges only, fewer than it has sets.
 5. A group too large for one task is dealt to blocks, each with the same few pilots of the group; `across` then compares
    block with block, but for what is already in the largest component of its group.
-6. `components` of the edges, and the smallest identifier in each.
+6. `components` of the edges, by contraction, and the smallest identifier in each.
 """
 
 from collections.abc import Iterator
@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.components import components as contracted
 from ..session import stored
 from .common import U, WordHashes, chunks, coded, mapped, mix, texts
 
@@ -488,22 +489,8 @@ def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest identifier reachable over the edges (a, b).
 
-    Each round takes the smallest label around, then the label of that label, and is a written table."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels, done = both.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), 0
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        if done:
-            jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-            step = step.join(jump, "new").select("id", "label", F.least("new", "far").alias("new"))
-        step = stored(step, "labels")
-        done += 1
-        changed = step.filter("new < label").limit(1).count()
-        labels = step.select("id", F.col("new").alias("label"))
-        if not changed:
-            break
-    return labels
+    The graph is contracted, so a round joins only the edges that the one before it left."""
+    return contracted(edges, []).select(F.col("node").alias("id"), "label")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

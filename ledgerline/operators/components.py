@@ -20,7 +20,7 @@ def _priority(step: int, by: list, node: Column) -> Column:
 def components(edges: DataFrame, by: list) -> DataFrame:
     """`by` columns, node, label for every node of an edge (`by`, a, b): the smallest node that is connected with it.
 
-    Nodes are numbers; graphs with different `by` values are apart.  Nodes without edges are not listed."""
+    Nodes are of any type that has an order; graphs with different `by` values are apart.  Nodes without edges are not listed."""
     turned = edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
     left = stored(edges.select(*by, "a", "b").unionByName(turned).filter("a <> b").distinct(), "edges")
     moves, step = [], 0

@@ -389,6 +389,27 @@ def test_components_of_documents(spark):
     assert got == slow_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_components_are_contracted(spark, monkeypatch):
+    """Labels of a shuffled chain, and few rows in all the tables that are written on the way."""
+    from ledgerline.llm import ngram_join
+    from ledgerline.operators import components
+
+    rows, stored = [], ngram_join.stored
+
+    def counted(df, name="step"):
+        df = stored(df, name)
+        rows.append(df.count())
+        return df
+
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "stored", counted)
+    names = [hashlib.md5(bytes(f"{i}", "ascii")).digest() for i in range(2_000)]
+    chains = [list(zip(part, part[1:])) for part in (names[:1_500], names[1_500:])]
+    got = ngram_join.components(spark.createDataFrame(chains[0] + chains[1], "a binary, b binary").repartition(3)).collect()
+    assert {bytes(r.id): bytes(r.label) for r in got} == {n: min(part) for part in (names[:1_500], names[1_500:]) for n in part}
+    assert sum(rows) <= 9 * len(names)  # labels for every node in each round: over 13 of them
+
+
 def test_components_of_divided_groups(spark, monkeypatch):
     """Groups of sets just above and below the threshold, divided into many blocks."""
     from ledgerline.llm import ngram_join
