@@ -7,7 +7,7 @@ Two sets link when their Jaccard similarity is `PERCENT` / 100 or more.  The ste
    each document, so that `catalog` later takes apart only the texts of sets that may link.
 2. `postings`: of each distinct set the first n - ceil(0.75 n) + k n-grams in the global order, k a tenth of n.  Linked
    sets share as many of them as the smaller k.  So `shared` and `rich` leave out sets with too few n-grams that any
-   other set has; what is left is looked at again, because its partners may have gone.
+   other set has.
 3. `bridges`: per n-gram, an edge from the smallest set of each run of compatible sizes to every other set of the run.
    Linked sets are in one component of these edges, a group.  The edges are as many as the postings at most.
 4. `joined`: a task holds the sets of a group in one prefix tree and walks it with many of them at a time.  It keeps
@@ -37,10 +37,13 @@ FREQUENT, MOST = 16, 1 << 18
 #: N-grams that one task counts before it sends them on, and sets or edges that it remembers in order not to repeat them.
 FLUSH, REMEMBERED = 4_000_000, 500_000
 #: N-grams of its prefix that a set shares with a partner, at least: one and this percentage of its size.  More of them
-#: make longer prefixes and leave out more sets; rounds in which sets are left out.
-SHARE, ROUNDS = 10, 2
+#: make longer prefixes and leave out more sets; rounds in which sets are left out.  A second round leaves out about 1 % more and
+#: moves all postings twice.
+SHARE, ROUNDS = 10, 1
 #: Bytes of the sets in one prefix tree (8 for an n-gram and OWN for a set), and about how many pilots a divided group has.
 BLOCK, OWN, PILOTS = 4 << 20, 512, 32
+#: Trees' worth of sets in each of two blocks that are compared: a set moves once for every block, so few large ones move less.
+WIDE = 2
 #: N-grams of a tree's edges that are compared in one step, and pairs of probe and path that are walked together.
 PIECE, PAIRS = 16, 200_000
 
@@ -462,9 +465,9 @@ def joined(rows: DataFrame) -> DataFrame:
     return mapped(dealt.sortWithinPartitions("label", "block", "id"), run, "a binary, b binary")
 
 
-def blocks(weight: str):
-    """How many trees sets of this weight fill."""
-    return F.ceil(F.col(weight) / BLOCK).cast("int")
+def blocks(weight: str, trees: int = 1):
+    """How many blocks of so many trees sets of this weight fill."""
+    return F.ceil(F.col(weight) / (BLOCK * trees)).cast("int")
 
 
 def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
@@ -476,7 +479,7 @@ def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
     parts = rows.groupBy("label", "sure").agg(F.sum("weight").alias("weight"))
     main = parts.groupBy("label").agg(F.max_by("sure", F.struct("weight", "sure")).alias("main"), F.max("weight").alias("d"), F.sum("weight").alias("all"))
     main = main.withColumn("rest", F.col("all") - F.col("d")).filter("rest > 0").select(
-        "label", "main", blocks("d").alias("kd"), blocks("rest").alias("km"))
+        "label", "main", blocks("d", WIDE).alias("kd"), blocks("rest", WIDE).alias("km"))
     own = rows.join(main, "label").withColumn("minor", F.expr("sure != main")).withColumn(
         "b", F.expr("if(minor, pmod(xxhash64(id), km), km + pmod(xxhash64(id), kd))"))
     # a small block meets every block, a block of the largest component the small ones
