@@ -474,7 +474,7 @@ def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
     """Joining edges between the blocks of the groups in `large`: sets outside the largest component of their group
     against one another and against that component, block by block."""
     sure = components(edges).select(F.col("id").alias("x"), F.col("label").alias("sure"))
-    rows = stored(held.join(large.select("label"), "label").join(sure, F.col("id") == F.col("x"), "left").select(
+    rows = stored(held.join(F.broadcast(large.select("label")), "label").join(sure, F.col("id") == F.col("x"), "left").select(
         "label", "id", F.coalesce("sure", "id").alias("sure"), "weight", "grams"), "divided")
     parts = rows.groupBy("label", "sure").agg(F.sum("weight").alias("weight"))
     main = parts.groupBy("label").agg(F.max_by("sure", F.struct("weight", "sure")).alias("main"), F.max("weight").alias("d"), F.sum("weight").alias("all"))
@@ -522,7 +522,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     large = held.groupBy("label").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("many")).filter(f"weight > {BLOCK}")
     large = stored(large.select("label", blocks("weight").alias("k"), F.expr(f"greatest(1, many div {PILOTS})").alias("every")), "large")
     pilot, own = F.expr("pmod(xxhash64(id, 1), every) = 0"), F.array(F.expr("cast(pmod(xxhash64(id), k) as int)"))
-    dealt = held.join(large, "label", "left").withColumn(
+    # one row per BLOCK of sets at most; a join by label would bring a whole group to one task
+    dealt = held.join(F.broadcast(large), "label", "left").withColumn(
         "block", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).when(pilot, F.expr("sequence(0, k - 1)")).otherwise(own)))
     edges = stored(joined(dealt.select("label", F.col("block").cast("long").alias("block"), "id", F.col("id").alias("sure"), F.lit(2).alias("side"), "grams")), "joins")
     if large.limit(1).count():
