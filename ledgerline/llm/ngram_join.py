@@ -480,7 +480,7 @@ def across(held: DataFrame, large: DataFrame, edges: DataFrame) -> DataFrame:
     main = parts.groupBy("label").agg(F.max_by("sure", F.struct("weight", "sure")).alias("main"), F.max("weight").alias("d"), F.sum("weight").alias("all"))
     main = main.withColumn("rest", F.col("all") - F.col("d")).filter("rest > 0").select(
         "label", "main", blocks("d", WIDE).alias("kd"), blocks("rest", WIDE).alias("km"))
-    own = rows.join(main, "label").withColumn("minor", F.expr("sure != main")).withColumn(
+    own = rows.join(F.broadcast(main), "label").withColumn("minor", F.expr("sure != main")).withColumn(
         "b", F.expr("if(minor, pmod(xxhash64(id), km), km + pmod(xxhash64(id), kd))"))
     # a small block meets every block, a block of the largest component the small ones
     met = own.withColumn("c", F.explode(F.expr("sequence(0, if(minor, km + kd, km) - 1)")))
