@@ -371,6 +371,41 @@ def test_pass_agrees_with_plain_sums(spark):
         assert np.allclose(got[:, 2:].sum(0), use.sum(0))
 
 
+def test_blocks_of_close_rows_are_added_as_a_whole(spark, monkeypatch):
+    """Many models over rows in near order: the totals are those of comparing all rows, most of which are not compared."""
+    rng = np.random.default_rng(21)
+    x = np.vstack([rng.normal(m, 0.1, (1500, 3)) for m in (0.1, 0.5, 0.9)] + [np.full((300, 3), 0.5)]).clip(0, 1)
+    points = Cl.close_rows(frame(spark, x).repartition(3), 3).toPandas()
+    assert sorted(map(tuple, points[["x_0", "x_1", "x_2"]].to_numpy())) == sorted(map(tuple, x))
+    xs, keys = points[["x_0", "x_1", "x_2"]].to_numpy(), points["row_key"].to_numpy()
+    specs = [Cl.Spec(str(i), 4, mask=(1.0, 0.0, 1.0) if i % 2 else None, share=0.6 if i % 3 else 1.0, sample=4) for i in range(600)]
+    centres = [xs[rng.integers(0, len(xs), 4)] for _ in specs]
+    centres[0] = np.array([[0.5] * 3, [0.5] * 3, [0.2] * 3, [0.9] * 3])  # two equal ones
+    compared, real = [], Cl.Stack._compared
+    monkeypatch.setattr(Cl.Stack, "_compared", lambda self, rows, columns, cross: compared.append(len(rows) * cross.shape[2]) or real(self, rows, columns, cross))
+    stacks = Cl._stacks(specs, centres, 3, close=True)
+    for stack in stacks:
+        stack.add(xs, keys)
+    seen = sum(s.sums()[:, 0].sum() for s in stacks)
+    assert 0 < sum(compared) < 0.6 * seen
+    for stack in stacks:
+        for at, m in list(enumerate(stack.members))[:40]:
+            use = xs if specs[m].share == 1 else xs[Cl._uniform(keys, specs[m].salt) < 0.6]
+            w = np.array(specs[m].mask or (1.0,) * 3)
+            d = (w * centres[m] ** 2).sum(1) - 2 * use @ (w * centres[m]).T
+            own = d.argmin(1)
+            got = stack.sums()[:, :, at]
+            assert got[:, 0].tolist() == np.bincount(own, minlength=4).tolist()
+            assert np.allclose(got[:, 2:], [use[own == c].sum(0) for c in range(4)])
+            assert got[:, 1].sum() == pytest.approx(((use ** 2) @ w + d.min(1)).sum())
+    # the same models whether rows are stored in near order or not
+    few = [Cl.Spec(str(i), 4, i) for i in range(5)]
+    plain = Cl.fit_many(frame(spark, x), 3, few)
+    monkeypatch.setattr(Cl, "MANY", 1)
+    for a, b in zip(plain, Cl.fit_many(frame(spark, x), 3, few)):
+        assert np.allclose(a.centroids, b.centroids) and a.inertia == pytest.approx(b.inertia) and a.iterations == b.iterations
+
+
 def test_equal_models_stand_for_each_other(spark, blobs):
     points = frame(spark, blobs[0])
     twins = [Cl.Spec("a", 3, 5), Cl.Spec("b", 3, 6), Cl.Spec("masked", 3, 6, mask=(1.0, 1.0, 0.0))]
