@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as C
 from ..functions.scalars import require_columns
-from ..operators.panel import missing_keys
 from ..session import listed
 
 FACT_SCHEMA = (
     "ticker string, cik string, company_name string, sic string, concept string, label string, "
     "numeric_value double, fiscal_year int, fiscal_period string, filing_date date"
 )
+#: Slots that keys are hashed to: 64 of them are a row of some 40 bytes.
+SLOTS = 1 << 24
 COMPANY_TEXT = ["company_name", "currency", "major_sector", "financial_flag"]
 COMPANY_SCHEMA = T.StructType(
     [T.StructField("company_name", T.StringType()), T.StructField("fiscal_year", T.IntegerType())]
@@ -78,6 +79,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def rows_by_keys(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """`df.join(keys, key, how)` for how = left_semi or left_anti where most rows stay in place; df is read twice.
+
+    The keys of df that are in `keys` and those that are not are marked in two sets of SLOTS bits (a table of fixed size, which is
+    broadcast).  A row whose slot is marked in one set only is settled; only rows of slots marked in both move to a join."""
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    own = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    keys = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    sides = own.join(keys.withColumn("in_", F.lit(True)), key, "left").withColumn("slot_", slot)
+    at = "cast(slot_ % 64 as int)"
+    words = sides.groupBy(F.expr("slot_ div 64").alias("word_")).agg(*[
+        F.expr(f"coalesce(bit_or(shiftleft(1L, {at})) filter (where in_ is {side}), 0L) as {name}") for side, name in (("not null", "in_bits_"), ("null", "out_bits_"))])
+    marked = df.withColumn("slot_", slot).withColumn("word_", F.expr("slot_ div 64")).join(F.broadcast(words), "word_", "left")
+    sure, unsure = ("in_bits_", "out_bits_") if how == "left_semi" else ("out_bits_", "in_bits_")
+    none = f"{key} is null" if how == "left_anti" else "false"
+    settled = marked.filter(f"{none} or ({key} is not null and getbit({sure}, {at}) = 1 and getbit({unsure}, {at}) = 0)")
+    open_ = marked.filter(f"{key} is not null and getbit({sure}, {at}) = 1 and getbit({unsure}, {at}) = 1")
+    # as plain joins with distinct keys: Spark would push a semi or anti join below the marks, to all rows
+    found = open_.select(*df.columns).join(keys.withColumn("in_", F.lit(True)), key, "inner" if how == "left_semi" else "left")
+    found = found if how == "left_semi" else found.filter("in_ is null")
+    return settled.select(*df.columns).unionByName(found.select(*df.columns))
+
+
 def batches_done(spark: SparkSession, out: str) -> DataFrame:
     """batch_id of every load that has ended.  Their list lies in a folder that readers of the facts skip."""
     path = f"{out}/_batches"
@@ -95,7 +119,9 @@ def ingest_remaining(spark: SparkSession, incoming: DataFrame, out: str, key: st
 
     Rows carry the load's `batch_id` (by default made from the rows) as a partition column.  A load writes its partitions, and
     its name last; one that was stopped in between has no name, so the same call finds the same keys missing and replaces
-    the partitions that are there.  A store that is there but cannot be read is an error, not an empty store."""
+    the partitions that are there.  A store that is there but cannot be read is an error, not an empty store.
+
+    incoming is read several times: pass a stored table.  Its rows are written by the tasks that read them, without a move by year."""
     odd = [f for f in listed(spark, out) if not f.startswith(("batch_id=", "_", "."))]
     if odd:
         raise ValueError(f"{out} is not a store of loads: it holds {odd[0]}")
@@ -103,9 +129,8 @@ def ingest_remaining(spark: SparkSession, incoming: DataFrame, out: str, key: st
     done = batches_done(spark, out)
     if not done.filter(F.col("batch_id") == batch).limit(1).count():
         stored = exists(spark, out) and done.limit(1).count()
-        rest = missing_keys(incoming, stored_facts(spark, out), key) if stored else incoming
-        rows = rest.withColumn("batch_id", F.lit(batch)).hint("rebalance", "fiscal_year")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", C.FACTS_PER_FILE).partitionBy(
+        rest = rows_by_keys(incoming, stored_facts(spark, out), key, "left_anti") if stored else incoming
+        rest.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", C.FACTS_PER_FILE).partitionBy(
             "batch_id", "fiscal_year").parquet(out)
         spark.createDataFrame([(batch,)], "batch_id string").coalesce(1).write.mode("append").parquet(f"{out}/_batches")
     return stored_facts(spark, out)

@@ -149,3 +149,17 @@ def test_lines_are_dealt_to_bounded_tasks(spark, monkeypatch):
     assert sorted(map(str, dealt.collect())) == whole
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert f"{tasks}), REPARTITION_BY_NUM" in plan  # lines are neither merged nor gathered in fewer tasks
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 24])
+def test_rows_by_keys_equal_the_plain_join(spark, monkeypatch, slots):
+    """Null and repeated keys on both sides; with few slots most rows are settled by the join, with many by the slots."""
+    monkeypatch.setattr(T, "SLOTS", slots)
+    df = spark.createDataFrame([(None if i % 9 == 0 else f"C{i % 200}", i) for i in range(1000)], "ticker string, v int")
+    keys = spark.createDataFrame([(None if i == 0 else f"C{i % 120}",) for i in range(300)], "ticker string")
+    for how in ("left_semi", "left_anti"):
+        got = sorted((r.ticker or "", r.v) for r in T.rows_by_keys(df, keys, "ticker", how).collect())
+        want = sorted((r.ticker or "", r.v) for r in df.join(keys, "ticker", how).collect())
+        assert got == want and want
+    only = T.rows_by_keys(df, keys.limit(0), "ticker", "left_anti")
+    assert only.count() == 1000 and T.rows_by_keys(df.limit(0), keys, "ticker", "left_semi").count() == 0
