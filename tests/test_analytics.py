@@ -275,6 +275,22 @@ def test_ward_of_more_rows_than_cells_follows_the_exact_tree(spark):
     assert Hi.summaries(points, 3, 20)[1].count() <= 20
 
 
+def test_ward_of_many_cells_is_the_exact_tree(spark):
+    """More rows than a cell holds, in rounds: the same cuts as one chain over all rows, far pairs and repeated rows included."""
+    rng = np.random.default_rng(14)
+    far = np.array([[9.0, 9.0, 9.0], [9.1, 9.0, 9.0], [-7.0, 0.0, 0.0]])
+    x = np.vstack([rng.random((700, 3)), rng.normal(0.5, 0.02, (300, 3)), far, rng.random((20, 3)).repeat(4, 0)])
+    distinct, n = np.unique(x, axis=0, return_counts=True)
+    merges = Hi.ward_merges(distinct, n.astype(float))
+    ks = (2, 3, 5, 8)
+    for groups in (40, 300, 4000):
+        got = Hi.ward_labels(frame(spark, x, i=np.arange(len(x))), 3, ks, groups=groups, keep=["i"]).toPandas().sort_values("i")
+        assert len(got) == len(x)
+        for k in ks:
+            want = dict(zip(map(tuple, distinct), Hi.cut(merges, len(distinct), k)))
+            assert got[f"ward_{k}"].tolist() == [want[tuple(r)] for r in x]
+
+
 def test_ward_labels_and_pca(spark, blobs):
     x, label = blobs
     points = frame(spark, x, truth=label)
