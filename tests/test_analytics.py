@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline import constants as C
 from ledgerline.operators import cluster as Cl, density as De, filters as Fi, hierarchy as Hi, metrics as Me, panel as P, profiles as Pr, projection as Pj, quantiles as Qu, robustness as Ro, training as Tr
 from ledgerline.operators.components import components
+from ledgerline import session as Se
 from ledgerline.session import stored
 
 
@@ -190,6 +191,31 @@ def test_dbscan_equals_brute_force(spark, monkeypatch, hot):
             assert lab[i] == (min(allowed) if allowed else -1)
 
 
+def test_dbscan_writes_no_row_per_setting(spark, blobs, monkeypatch):
+    """What is written of the points has one row per distinct point, and `stored_alone` leaves only the result."""
+    x = np.vstack([blobs[0], blobs[0][:50]])
+    points, sizes, real = frame(spark, x, i=np.arange(len(x))), {}, De.stored
+
+    def seen(df, name="step"):
+        out = real(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(De, "stored", seen)
+    eps, least = (0.1, 0.2, 0.4), (3, 5, 9)
+    made = Se._made.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    wide = Se.stored_alone(spark, lambda: De.dbscan_labels(points, 3, eps, least, keep=["i"]), "dbscan")
+    n = len(np.unique(x, axis=0))
+    assert "core" not in sizes and "placed" not in sizes and sizes["neighbours"] == sizes["found"] == n
+    assert len(made) == before + 1 and wide.count() == len(x)
+    long = De.by_setting(wide, 3, eps, least, keep=["i"])
+    assert long.count() == len(x) * 9
+    near = {(r["x_0"], r["x_1"], r["x_2"]): r["near"] for r in De.neighbour_arrays(points, 3, eps, 9).collect()}
+    for r in De.neighbour_table(points, 3, eps, 9).collect():
+        assert near[r["x_0"], r["x_1"], r["x_2"]][r["e"]] == r["neighbours"] == min(9, (((x - [r["x_0"], r["x_1"], r["x_2"]]) ** 2).sum(1) <= eps[r["e"]] ** 2).sum())
+
+
 def test_dbscan_rejects_cells_without_numbers(spark, blobs):
     with pytest.raises(ValueError, match="too small"):
         De.neighbour_table(frame(spark, blobs[0]), 3, (1e-7,), 10)
